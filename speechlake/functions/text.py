@@ -193,14 +193,13 @@ def limit_repeats(text: Column, max_repeat: int = 3) -> Column:
     return strip(chars)
 
 
-def postprocess(text: Column) -> Column:
-    """The fixed order in which recognised text is cleaned before scoring."""
-    return limit_repeats(spell_percent(spell_letters(spell_numbers(text))))
+def foreign_in_composed(text: Column) -> Column:
+    """Whether composed text holds anything but Hangul and whitespace."""
+    return F.coalesce(text.rlike(rf"{U}[^{HANGUL_RANGES}\s\x1c-\x1f]"), F.lit(False))
 
 
 def has_foreign_chars(text: Column) -> Column:
-    """Whether anything but Hangul and whitespace is left."""
-    return F.coalesce(nfc(text).rlike(rf"{U}[^{HANGUL_RANGES}\s\x1c-\x1f]"), F.lit(False))
+    return foreign_in_composed(nfc(text))
 
 
 def drop_punctuation(text: Column) -> Column:

@@ -10,6 +10,17 @@ from speechlake.functions import edits, text
 COUNTS = ["char_err", "char_len", "char_ns_err", "char_ns_len", "word_err", "word_len"]
 
 
+def postprocess(df: DataFrame, column: str) -> DataFrame:
+    """Clean recognised text in the fixed order: numbers, letters, percent signs, repeats.
+
+    One column per step, so every step reads a computed value instead of
+    repeating the expression below it.
+    """
+    spoken = df.withColumn(column, text.spell_numbers(F.col(column))).withColumn(column, text.spell_letters(F.col(column)))
+    spoken = spoken.withColumn(column, text.spell_percent(F.col(column)))
+    return spoken.withColumn(column, text.limit_repeats(F.col(column)))
+
+
 def _at_least_one(length: Column) -> Column:
     return F.when(length == 0, F.lit(1)).otherwise(length).cast("int")
 

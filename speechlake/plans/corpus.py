@@ -23,6 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by key before work that is costly per row.
+
+    The explicit count keeps adaptive execution from merging partitions that are
+    small in bytes but not in work; joins and groupings on the keys reuse it.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples of every utterance: utt, t, value, k, event_type."""
     events = table(spark, sf_dir, "events").select(
@@ -91,7 +100,9 @@ INTERVALS_SQL = (
 def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every user turn (target) with the assistant turn right after it (prediction)."""
     turns = table(spark, sf_dir, "conversations")
-    target = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("target"))
+    target = spread(
+        turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("target")), "conv_id", "turn"
+    )
     answer = turns.where("role = 'assistant'").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("prediction")
     )
@@ -135,10 +146,10 @@ def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RECORDINGS_SQL = """recordings AS (
   SELECT source AS session, 'silent' AS data_type, CAST(doc_id AS INT) AS data_num,
-         'corpus/silent/' || source || '/data/emg/emg_' || lpad(doc_id::VARCHAR, greatest(4, length(doc_id::VARCHAR)), '0') || '.npz' AS path
+         'corpus/silent/' || source || '/data/emg/emg_' || printf('%04d', doc_id) || '.npz' AS path
   FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)
   UNION ALL
   SELECT source, 'voiced', CAST(doc_id AS INT),
-         'corpus/voiced/' || source || '/data/emg/emg' || c.copy || '_' || lpad(doc_id::VARCHAR, greatest(4, length(doc_id::VARCHAR)), '0') || '.npz'
+         'corpus/voiced/' || source || '/data/emg/emg' || c.copy || '_' || printf('%04d', doc_id) || '.npz'
   FROM documents, (VALUES (''), ('b')) AS c(copy)
   WHERE doc_id % 11 <> 3 AND (c.copy = '' OR doc_id % 10 = 7))"""

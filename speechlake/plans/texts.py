@@ -294,15 +294,12 @@ def report_line(spark, sf_dir):
     )
 
 
-@query(
-    "postprocess_chain_p7",
-    None,
-)
+@query("postprocess_chain_p7")
 def postprocess_chain(spark, sf_dir):
     """Documents whose text still holds foreign characters after post-processing."""
-    made = text.postprocess(F.col("text"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", made.alias("made"))
-    return docs.where(text.has_foreign_chars(F.col("made"))).select("doc_id", F.md5("made").alias("digest"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("made"))
+    docs = evaluation.postprocess(docs, "made")
+    return docs.where(text.foreign_in_composed(F.col("made"))).select("doc_id", F.md5("made").alias("digest"))
 
 
 @query(
