@@ -94,3 +94,14 @@ def distance(a: Column, b: Column, eps: float = 0.0) -> Column:
 def mean_abs_difference(a: Column, b: Column) -> Column:
     gaps = F.zip_with(a, b, lambda x, y: F.abs(x - y))
     return F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x) / F.size(a)
+
+
+def drop_unit_axis(seq: Column) -> Column:
+    """First matrix of a stack of one; a larger stack is an error."""
+    wrong = F.raise_error(F.concat(F.lit("expected one matrix, found "), F.size(seq).cast("string")))
+    return F.when(F.size(seq) == 1, F.get(seq, F.lit(0))).otherwise(wrong)
+
+
+def has_width(matrix: Column, width: int) -> Column:
+    """Whether every step of a matrix has the expected width."""
+    return F.forall(matrix, lambda frame: F.size(frame) == width)
