@@ -84,8 +84,22 @@ def _matrices(rows: pd.Series) -> list[np.ndarray]:
     return [np.array([np.asarray(r, dtype=float) for r in m]) for m in rows]
 
 
+def _distances(y: np.ndarray, p: np.ndarray) -> np.ndarray:
+    gaps = y[:, None, :] - p[None, :, :]
+    return np.sqrt((gaps * gaps).sum(axis=2))
+
+
+def _log_softmax(scores: np.ndarray) -> np.ndarray:
+    top = scores.max(axis=1, keepdims=True)
+    return scores - (top + np.log(np.exp(scores - top).sum(axis=1, keepdims=True)))
+
+
+# The arguments of these functions should be columns or simple expressions: a
+# nested lambda over an outer variable is not evaluated below a Python function.
+
+
 @F.pandas_udf(DoubleType())
-def warp_cost(costs: pd.Series) -> pd.Series:
+def matrix_cost(costs: pd.Series) -> pd.Series:
     """End value of the accumulated cost of a matrix column."""
     made = [0.0] * len(costs)
     for at, cost, _ in _solve(_matrices(costs)):
@@ -94,7 +108,7 @@ def warp_cost(costs: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(ArrayType(IntegerType()))
-def align_rows(costs: pd.Series) -> pd.Series:
+def matrix_alignment(costs: pd.Series) -> pd.Series:
     """Matched column of every row of a matrix column."""
     made: list = [None] * len(costs)
     for at, _, matched in _solve(_matrices(costs)):
@@ -102,25 +116,40 @@ def align_rows(costs: pd.Series) -> pd.Series:
     return pd.Series(made)
 
 
+@F.pandas_udf(DoubleType())
+def warp_cost(target: pd.Series, pred: pd.Series) -> pd.Series:
+    """Accumulated Euclidean cost of two feature sequences."""
+    made = [0.0] * len(target)
+    for at, cost, _ in _solve([_distances(y, p) for y, p in zip(_matrices(target), _matrices(pred))]):
+        made[at] = cost
+    return pd.Series(made)
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def align_rows(target: pd.Series, pred: pd.Series) -> pd.Series:
+    """Predicted step for every target step of two feature sequences."""
+    made: list = [None] * len(target)
+    for at, _, matched in _solve([_distances(y, p) for y, p in zip(_matrices(target), _matrices(pred))]):
+        made[at] = matched
+    return pd.Series(made)
+
+
 def align_frames(phone_weight: float, noise: int | None, scale: float):
     """Column function: predicted frame for every target frame of a silent pair.
 
-    Takes predicted features, log probabilities, target features and target
-    phones; the cost of a noise target is its distance alone.
+    Takes predicted features and class scores, target features and target phones;
+    the cost of a noise target is its distance alone.
     """
 
     @F.pandas_udf(ArrayType(IntegerType()))
-    def align(pred: pd.Series, log_probs: pd.Series, target: pd.Series, phones: pd.Series) -> pd.Series:
+    def align(pred: pd.Series, scores: pd.Series, target: pd.Series, phones: pd.Series) -> pd.Series:
         costs = []
-        columns = zip(_matrices(pred), _matrices(log_probs), _matrices(target), phones)
-        for p, lp, y, labels in columns:
+        for p, s, y, labels in zip(_matrices(pred), _matrices(scores), _matrices(target), phones):
             labels = np.asarray(labels, dtype=int)
-            gaps = y[:, None, :] - p[None, :, :]
-            distance = np.sqrt((gaps * gaps).sum(axis=2)) / scale
-            phone_cost = phone_weight * -lp[:, labels].T / scale
+            phone_cost = phone_weight * -_log_softmax(s)[:, labels].T / scale
             if noise is not None:
                 phone_cost[labels == noise] = 0.0
-            costs.append(0.5 * distance + phone_cost)
+            costs.append(0.5 * _distances(y, p) / scale + phone_cost)
         made: list = [None] * len(pred)
         for at, _, matched in _solve(costs):
             made[at] = matched

@@ -49,9 +49,8 @@ def align_pairs(
     scale = float(dim) ** 0.5 if dimension_norm else 1.0
     n = F.size("y")
     align = warp.align_frames(phone_weight, noise, scale)
-    probed = pairs.withColumn("log_probs", F.transform("scores", arrays.log_softmax))
-    silent, voiced = probed.where("silent"), probed.where("NOT silent")
-    warped = silent.withColumn("alignment", align("feat", "log_probs", "y", "phones"))
+    silent, voiced = pairs.where("silent"), pairs.where("NOT silent")
+    warped = silent.withColumn("alignment", align("feat", "scores", "y", "phones"))
     same = F.when(F.size("feat") == n, F.sequence(F.lit(0), n - 1)).otherwise(
         F.raise_error(F.lit("voiced prediction and target differ in length"))
     )
@@ -61,17 +60,18 @@ def align_pairs(
 def aligned_frames(aligned: DataFrame, keys: list[str], noise: int | None) -> DataFrame:
     """One row per target frame with its distance, nll, predicted and target phone."""
     rows = aligned.select(
-        *keys, "silent", "feat", "scores", "log_probs",
+        *keys, "silent", "feat", "scores",
         F.posexplode(F.arrays_zip("y", "phones", "alignment")).alias("t", "f"),
     )
     at = F.col("f.alignment")
     eps = F.when(F.col("silent"), 0.0).otherwise(1e-6)
     gaps = F.zip_with(F.col("f.y"), F.get("feat", at), lambda y, p: y - p)
     dist = F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda s, g: s + (g + eps) * (g + eps)))
+    nll = arrays.cross_entropy(F.get("scores", at), F.col("f.phones"))
     valid = F.lit(True) if noise is None else F.col("f.phones") != noise
     return rows.select(
         *keys, "silent", "t", at.alias("pred_t"), dist.alias("dist"),
-        (-F.get(F.get("log_probs", at), F.col("f.phones"))).alias("nll"),
+        nll.alias("nll"),
         arrays.argmax(F.get("scores", at)).alias("pred"), F.col("f.phones").alias("target"), valid.alias("valid"),
     )
 

@@ -118,10 +118,8 @@ def aligned_distance(spark, sf_dir):
     return al.aligned_distance(pred, target, ["utt", "t"]).select("utt", "t", F.round("dist", 6).alias("dist"))
 
 
-def cost_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target-by-prediction distances of the silent pairs."""
-    silent = pairs(spark, sf_dir).where("silent")
-    return silent.select(*KEYS, al.distance_matrix(F.col("y"), F.col("feat")).alias("costs"))
+def silent_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs(spark, sf_dir).where("silent").select(*KEYS, "y", "feat")
 
 
 _PLAIN_WARP_SQL = "WITH RECURSIVE " + WARP_SQL.replace("list(cost ORDER BY j)", "list(dist ORDER BY j)")
@@ -129,7 +127,7 @@ _PLAIN_WARP_SQL = "WITH RECURSIVE " + WARP_SQL.replace("list(cost ORDER BY j)",
 
 @query("warp_cost_d1", f"{_PLAIN_WARP_SQL} SELECT utt, seg::INT AS seg, round(CASE WHEN n = 1 AND m > 1 OR m = 1 AND n > 1 THEN 'inf'::DOUBLE ELSE d[-1][-1] END, 6) AS cost FROM acc")
 def warp_cost(spark, sf_dir):
-    return cost_matrices(spark, sf_dir).select(*KEYS, F.round(warp.warp_cost("costs"), 6).alias("cost"))
+    return silent_pairs(spark, sf_dir).select(*KEYS, F.round(warp.warp_cost("y", "feat"), 6).alias("cost"))
 
 
 @query(
@@ -137,7 +135,7 @@ def warp_cost(spark, sf_dir):
     f"{_PLAIN_WARP_SQL} SELECT m.utt, m.seg::INT AS seg, m.t::INT AS t, m.j::INT AS pred_t FROM matches m WHERE m.utt % 2 = 0",
 )
 def align_rows(spark, sf_dir):
-    aligned = cost_matrices(spark, sf_dir).withColumn("a", warp.align_rows("costs"))
+    aligned = silent_pairs(spark, sf_dir).withColumn("a", warp.align_rows("y", "feat"))
     return aligned.select(*KEYS, F.posexplode("a").alias("t", "pred_t"))
 
 
