@@ -1,6 +1,6 @@
 """Runnable queries over the given tables; importing this package registers them."""
 
 from speechlake.plans.registry import REGISTRY, Query
-from speechlake.plans import alignments, annotations, manifests, sequences, signals, statistics, texts
+from speechlake.plans import alignments, annotations, files, manifests, sequences, signals, statistics, texts
 
 __all__ = ["REGISTRY", "Query"]

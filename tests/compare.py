@@ -13,6 +13,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import duckdb
 
+import __spark_entry__ as entry
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
@@ -48,7 +50,7 @@ def _rows(names, rows):
 
 def compare(spark, con, query, sf_dir):
     start = time.time()
-    df = query.plan(spark, sf_dir)
+    df = entry.queries()[query.name](spark, sf_dir)
     got = [tuple(r) for r in df.collect()]
     spent = time.time() - start
     if query.sql is None:
