@@ -85,7 +85,7 @@ def impulse_response(b: np.ndarray, a: np.ndarray) -> np.ndarray:
 def _causal(x: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Filter a block that was at rest at its first value for all earlier time."""
     held = np.concatenate([np.full(len(h), x[0]), x])
-    size = len(held) + len(h)
+    size = 1 << (len(held) + len(h) - 1).bit_length()
     out = np.fft.irfft(np.fft.rfft(held, size) * np.fft.rfft(h, size), size)
     return out[len(h) : len(held)]
 
@@ -125,3 +125,49 @@ def polyphase_taps(up: int, down: int) -> np.ndarray:
     m = np.arange(-half, half + 1)
     taps = np.sinc(m / widest) * np.i0(5 * np.sqrt(1 - (m / half) ** 2)) / np.i0(5.0)
     return taps / taps.sum() * up
+
+
+def chain_halo(design: tuple) -> int:
+    """Samples a block needs on each side so that its own samples come out right."""
+    return sum(len(h) + pad for h, pad in conditioning_chain(*design))
+
+
+def run_chain(x: np.ndarray, design: tuple) -> np.ndarray:
+    for h, pad in conditioning_chain(*design):
+        x = zero_phase(x, h, pad)
+    return x
+
+
+def polyphase_halo(up: int, down: int) -> int:
+    return 10 * max(up, down) // up + 2
+
+
+@lru_cache(maxsize=8)
+def _taps(up: int, down: int) -> np.ndarray:
+    return polyphase_taps(up, down)
+
+
+def polyphase_outputs(
+    x: np.ndarray, t0: int, start: int, count: int, n: int, up: int, down: int, target: int
+) -> tuple[int, np.ndarray]:
+    """Outputs that belong to samples start..start+count-1 of a sequence of n samples.
+
+    ``x`` begins at sample ``t0`` and includes a halo. The last block is cut or
+    extended with its last value to the target length.
+    """
+    taps = _taps(up, down)
+    half = len(taps) // 2
+    natural = -(-n * up // down)
+    first, end = -(-start * up // down), -(-(start + count) * up // down)
+    last_block = start + count == n
+    begin = min(first, natural - 1) if last_block else first
+    q = np.arange(begin, end)
+    reach = half // up + 1
+    k = (q * down // up)[:, None] + np.arange(-reach, reach + 1)[None, :]
+    at = q[:, None] * down - k * up + half
+    inside = (at >= 0) & (at < len(taps)) & (k >= t0) & (k < t0 + len(x))
+    weights = np.where(inside, taps[np.clip(at, 0, len(taps) - 1)], 0.0)
+    y = (weights * x[np.clip(k - t0, 0, len(x) - 1)]).sum(axis=1)
+    if last_block and target > natural:
+        y = np.concatenate([y, np.full(target - natural, y[-1])])
+    return first, y[first - begin : max(target - begin, first - begin)]

@@ -173,7 +173,8 @@ def limit_repeats(text: Column, max_repeat: int = 3) -> Column:
     """Keep at most ``max_repeat`` equal words in a row and equal characters in a word."""
     if max_repeat < 1:
         return F.when(text.isNotNull(), F.lit(""))
-    parts = F.regexp_extract_all(nfc(text), F.lit(f"{U}({SPACE}+|{NOT_SPACE}+)"), F.lit(1))
+    composed = nfc(text)
+    parts = F.regexp_extract_all(composed, F.lit(f"{U}({SPACE}+|{NOT_SPACE}+)"), F.lit(1))
 
     def limited(all_parts: Column) -> Column:
         def kept(part: Column, i: Column) -> Column:
@@ -190,7 +191,11 @@ def limit_repeats(text: Column, max_repeat: int = 3) -> Column:
     chars = F.regexp_replace(
         words, f"{U}({NOT_SPACE})\\1{{{max_repeat},}}", "$1" * max_repeat
     )
-    return strip(chars)
+    # Most texts repeat nothing that often; two scans tell and spare them the rest.
+    again = f"{{{max_repeat}}}"
+    word_run = rf"{U}(?<!{NOT_SPACE})({NOT_SPACE}++)(?:{SPACE}++\1(?!{NOT_SPACE})){again}"
+    char_run = rf"{U}({NOT_SPACE})\1{again}"
+    return strip(F.when(composed.rlike(word_run) | composed.rlike(char_run), chars).otherwise(composed))
 
 
 def foreign_in_composed(text: Column) -> Column:

@@ -10,10 +10,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from speechlake.functions import dsp
-from speechlake.operators.chunks import CHUNK, attach_stats, chunk_window, own_rows, with_halo
+from speechlake.operators.chunks import CHUNK, attach_stats, chunk_window, own_rows, spread, with_halo
 
 FRAME, HOP, BINS = 16, 6, 9
 
@@ -162,7 +162,7 @@ def log_mel(
     last = F.least(F.floor(F.col("u") / F.lit(reach)), F.floor((F.col("_frames") - 1) / F.lit(block)))
     blocked = padded.where(first <= last).withColumn("_block", F.explode(F.sequence(first, last)))
     inside = (F.col("u") >= F.col("_block") * reach) & (F.col("u") < (F.col("_block") + 1) * reach + n_fft - hop)
-    arrays = blocked.where(inside).groupBy(*keys, "_block").agg(
+    arrays = spread(blocked.where(inside), *keys, "_block").groupBy(*keys, "_block").agg(
         F.sort_array(F.collect_list(F.struct("u", "value"))).alias("_s")
     )
 
@@ -238,6 +238,41 @@ def soft_clip(x: Column, scale: float = 20.0, limit: float = 50.0) -> Column:
 
 # Conditioning -------------------------------------------------------------------
 
+_OUTPUT = StructType([StructField("start", LongType()), StructField("y", ArrayType(DoubleType()))])
+
+
+def _blocks(signal: DataFrame, keys: list[str], halo: int, size: int) -> DataFrame:
+    """One array row per chunk: its samples with a halo, their place and the sequence length."""
+    arrays = (
+        spread(with_halo(signal, before=halo, after=halo, size=size), *keys, "chunk")
+        .groupBy(*keys, "chunk")
+        .agg(
+            F.sort_array(F.collect_list(F.struct("t", "value"))).alias("_s"),
+            F.min(F.when(F.col("own"), F.col("t"))).alias("_from"),
+            F.count_if("own").alias("_count"),
+        )
+        .where("_count > 0")
+    )
+    spread = lengths(signal, keys).withColumn(
+        "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / F.lit(size))))
+    )
+    joined = arrays.join(spread, [*keys, "chunk"])
+    return joined.select(*keys, F.col("_s.value").alias("_x"), F.get("_s.t", F.lit(0)).alias("_t0"), "_from", "_count", "n")
+
+
+def _run_blocks(blocks: DataFrame, keys: list[str], kernel) -> DataFrame:
+    """Apply ``kernel(x, t0, start, count, n) -> (first index, values)`` to every block."""
+
+    @F.pandas_udf(_OUTPUT)
+    def run(x: pd.Series, t0: pd.Series, start: pd.Series, count: pd.Series, n: pd.Series) -> pd.DataFrame:
+        made = [kernel(np.asarray(v, dtype=float), *map(int, at)) for v, *at in zip(x, t0, start, count, n)]
+        return pd.DataFrame({"start": [m[0] for m in made], "y": [m[1] for m in made]})
+
+    done = blocks.select(*keys, run("_x", "_t0", "_from", "_count", "n").alias("_o"))
+    return done.select(*keys, "_o.start", F.posexplode("_o.y").alias("_i", "value")).select(
+        *keys, (F.col("start") + F.col("_i")).cast("int").alias("t"), "value"
+    )
+
 
 def condition(
     signal: DataFrame,
@@ -255,70 +290,43 @@ def condition(
     has faded below double precision, so cutting a long signal changes nothing.
     ``mains=0`` or ``cut=0`` leaves that filter out.
     """
-    chain = dsp.conditioning_chain(fs, mains, harmonics, q, cut)
-    halo = sum(len(h) + pad for h, pad in chain)
-    haloed = with_halo(signal, before=halo, after=halo, size=size)
-    arrays = (
-        haloed.groupBy(*keys, "chunk")
-        .agg(
-            F.sort_array(F.collect_list(F.struct("t", "value"))).alias("_s"),
-            F.min(F.when(F.col("own"), F.col("t"))).alias("_from"),
-            F.count_if("own").cast("int").alias("_count"),
-        )
-        .where("_count > 0")
-    )
+    design = (fs, mains, harmonics, q, cut)
 
-    @F.pandas_udf(ArrayType(DoubleType()))
-    def filtered(blocks: pd.Series) -> pd.Series:
-        filters = dsp.conditioning_chain(fs, mains, harmonics, q, cut)
+    def kernel(x, t0, start, count, n):
+        return start, dsp.run_chain(x, design)[start - t0 : start - t0 + count]
 
-        def run(x):
-            x = np.asarray(x, dtype=float)
-            for h, pad in filters:
-                x = dsp.zero_phase(x, h, pad)
-            return x
+    return _run_blocks(_blocks(signal, keys, dsp.chain_halo(design), size), keys, kernel)
 
-        return blocks.map(run)
 
-    start = (F.col("_from") - F.get(F.col("_s.t"), F.lit(0)) + 1).cast("int")
-    kept = arrays.select(*keys, "_from", F.slice(filtered(F.col("_s.value")), start, F.col("_count")).alias("_x"))
-    return kept.select(*keys, "_from", F.posexplode("_x").alias("_i", "value")).select(
-        *keys, (F.col("_from") + F.col("_i")).cast("int").alias("t"), "value"
-    )
-
-
-def resample(signal: DataFrame, keys: list[str], new: float, old: float) -> DataFrame:
-    """Polyphase resampling; the length is forced to round(N * new / old).
-
-    Every sample adds its weighted value to the outputs its filter reaches, so
-    the work is an explode and a partial sum.
-    """
+def resample(signal: DataFrame, keys: list[str], new: float, old: float, size: int = CHUNK) -> DataFrame:
+    """Polyphase resampling; the length is forced to round(N * new / old)."""
     up, down = dsp.rational_ratio(new, old)
     if float(new) == float(old):
         return signal.select(*keys, "t", "value")
-    taps = [float(v) for v in dsp.polyphase_taps(up, down)]
-    half = len(taps) // 2
-    joined = attach_stats(signal, lengths(signal, keys).withColumnRenamed("n", "_n"), keys, n="_n")
-    t, n = F.col("t"), F.col("_n")
-    natural = F.ceil(n * up / F.lit(down))
-    target = F.bround(n * F.lit(float(new) / float(old)), 0).cast("long")
-    first = F.greatest(F.ceil((t * up - half) / F.lit(down)), F.lit(0))
-    last = F.least(F.floor((t * up + half) / F.lit(down)), natural - 1)
-    spread = joined.withColumn("_q", F.explode(F.sequence(first, last)))
-    weight = F.get(F.lit(taps), (F.col("_q") * down - t * up + half).cast("int"))
-    summed = spread.groupBy(*keys, F.col("_q").alias("t")).agg(
-        F.sum(F.col("value") * weight).alias("value"), F.max(natural).alias("_natural"), F.max(target).alias("_target")
-    )
-    # The last output repeats where the forced length is beyond the natural one.
-    end = F.when(F.col("t") == F.col("_natural") - 1, F.greatest(F.col("_target") - 1, F.col("t"))).otherwise(F.col("t"))
-    return (
-        summed.where(F.col("t") < F.col("_target"))
-        .withColumn("t", F.explode(F.sequence(F.col("t"), end)))
-        .select(*keys, F.col("t").cast("int").alias("t"), "value")
-    )
 
+    def kernel(x, t0, start, count, n):
+        return dsp.polyphase_outputs(x, t0, start, count, n, up, down, round(n * (float(new) / float(old))))
+
+    return _run_blocks(_blocks(signal, keys, dsp.polyphase_halo(up, down), size), keys, kernel)
 
-def load_signal(signal: DataFrame, keys: list[str], frame_rate: float, fs: float = 250.0, per_frame: int = 4) -> DataFrame:
-    """Raw recording to model input: conditioned, resampled to four samples per frame, clipped."""
-    made = resample(condition(signal, keys, fs), keys, frame_rate * per_frame, fs)
+
+def load_signal(
+    signal: DataFrame, keys: list[str], frame_rate: float, fs: float = 250.0, per_frame: int = 4, size: int = CHUNK
+) -> DataFrame:
+    """Raw recording to model input: conditioned, resampled to four samples per frame, clipped.
+
+    Both filters run on one block, so the samples are shuffled once.
+    """
+    new = float(frame_rate) * per_frame
+    up, down = dsp.rational_ratio(new, fs)
+    design = (fs, 60.0, 2, 30.0, 2.0)
+    halo = dsp.chain_halo(design) + dsp.polyphase_halo(up, down)
+
+    def kernel(x, t0, start, count, n):
+        clean = dsp.run_chain(x, design)
+        if new == fs:
+            return start, clean[start - t0 : start - t0 + count]
+        return dsp.polyphase_outputs(clean, t0, start, count, n, up, down, round(n * (new / fs)))
+
+    made = _run_blocks(_blocks(signal, keys, halo, size), keys, kernel)
     return made.withColumn("value", soft_clip(F.col("value")))

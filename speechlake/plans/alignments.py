@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from speechlake.functions import warp
 from speechlake.operators import alignment as al
 from speechlake.operators import evaluation
-from speechlake.operators.chunks import chunk_of
-from speechlake.plans.corpus import PHONES, SAMPLES_SQL, samples, signal, spread
+from speechlake.operators.chunks import chunk_of, spread
+from speechlake.plans.corpus import PHONES, SAMPLES_SQL, samples, signal
 from speechlake.plans.registry import query
 
 SEGMENT = 32

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from speechlake.operators.chunks import spread
 from speechlake.operators.ordering import dense_index
 
 # The event kinds in id order, playing the phoneme inventory.
@@ -23,13 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition by key before work that is costly per row.
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for work that is costly per text.
 
-    The explicit count keeps adaptive execution from merging partitions that are
-    small in bytes but not in work; joins and groupings on the keys reuse it.
+    A corpus of many files is read where it lies. Fewer files than tasks that can
+    run at once are spread first, else some cores would have nothing to do.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    docs = table(spark, sf_dir, "documents")
+    few = len(docs.inputFiles()) < spark.sparkContext.defaultParallelism
+    return spread(docs.select("doc_id", "text"), "doc_id") if few else docs
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from speechlake.functions import edits, text
 from speechlake.operators import evaluation
-from speechlake.plans.corpus import PAIRS_SQL, table, turn_pairs
+from speechlake.plans.corpus import PAIRS_SQL, documents, turn_pairs
 from speechlake.plans.registry import query
 
 
 def _per_document(spark: SparkSession, sf_dir: str, form: Callable[[Column], Column]) -> DataFrame:
     """Length and digest of a text form of every whole document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", form(F.col("text")).alias("made"))
+    docs = documents(spark, sf_dir).select("doc_id", form(F.col("text")).alias("made"))
     return docs.select("doc_id", F.length("made").alias("n"), F.md5("made").alias("digest"))
 
 
@@ -153,7 +153,7 @@ def normalize_unicode(spark, sf_dir):
     ).replace("FROM documents)\n    SELECT", "FROM documents_)\n    SELECT"),
 )
 def adaptive_form(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("text").alias("same"))
+    docs = documents(spark, sf_dir).select("doc_id", "text", F.col("text").alias("same"))
     chosen = evaluation.scored_forms(docs, "same", "text")
     return chosen.select("doc_id", F.length("text").alias("n"), F.md5("text").alias("digest"))
 
@@ -297,7 +297,7 @@ def report_line(spark, sf_dir):
 @query("postprocess_chain_p7")
 def postprocess_chain(spark, sf_dir):
     """Documents whose text still holds foreign characters after post-processing."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("made"))
+    docs = documents(spark, sf_dir).select("doc_id", F.col("text").alias("made"))
     docs = evaluation.postprocess(docs, "made")
     return docs.where(text.foreign_in_composed(F.col("made"))).select("doc_id", F.md5("made").alias("digest"))
 
@@ -309,6 +309,6 @@ def postprocess_chain(spark, sf_dir):
 )
 def foreign_chars(spark, sf_dir):
     """The predicate on every document and on its all-Hangul shadow."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     shadow = docs.withColumn("text", F.regexp_replace("text", r"\S", "가"))
     return docs.unionByName(shadow).select("doc_id", text.has_foreign_chars(F.col("text")).alias("flagged"))

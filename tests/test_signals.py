@@ -142,3 +142,15 @@ def test_channel_order(spark):
     df = spark.createDataFrame([(1, c, 0, float(c)) for c in range(4)], "utt int, ch int, t int, value double")
     made = {r.ch: r.value for r in signals.pick_channels(df, [3, 1]).collect()}
     assert made == {0: 3.0, 1: 1.0}
+
+
+def test_resampling_and_loading_in_chunks(spark):
+    x = np.random.default_rng(5).normal(size=12001).cumsum()
+    df = frame(spark, x)
+    for new in (400.0, 100.0, 344.52):
+        whole, cut = back(signals.resample(df, KEYS, new, 250.0)), back(signals.resample(df, KEYS, new, 250.0, size=1000))
+        assert len(whole) == len(cut) == round(12001 * (new / 250)) and np.abs(whole - cut).max() < 1e-9
+    steps = signals.soft_clip(F.col("value"))
+    apart = back(signals.resample(signals.condition(df, KEYS), KEYS, 400.0, 250.0).withColumn("value", steps))
+    assert np.abs(back(signals.load_signal(df, KEYS, 100.0)) - apart).max() < 1e-9
+    assert np.abs(back(signals.load_signal(df, KEYS, 100.0, size=3000)) - apart).max() < 1e-7
