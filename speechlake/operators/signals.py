@@ -253,10 +253,10 @@ def _blocks(signal: DataFrame, keys: list[str], halo: int, size: int) -> DataFra
         )
         .where("_count > 0")
     )
-    spread = lengths(signal, keys).withColumn(
+    per_chunk = lengths(signal, keys).withColumn(
         "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / F.lit(size))))
     )
-    joined = arrays.join(spread, [*keys, "chunk"])
+    joined = arrays.join(per_chunk, [*keys, "chunk"])
     return joined.select(*keys, F.col("_s.value").alias("_x"), F.get("_s.t", F.lit(0)).alias("_t0"), "_from", "_count", "n")
 
 

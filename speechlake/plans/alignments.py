@@ -56,7 +56,7 @@ sz AS (SELECT utt, seg, count(*) AS n FROM fr GROUP BY 1, 2),
 pr AS (SELECT p.utt, p.seg, p.utt % 2 = 0 AS silent, CASE WHEN p.utt % 2 = 0 THEN p.n ELSE least(p.n, y.n) END AS n,
     CASE WHEN p.utt % 2 = 0 THEN y.n ELSE least(p.n, y.n) END AS m FROM sz p JOIN sz y ON y.utt = p.utt + 1 AND y.seg = p.seg),
 sc AS (SELECT utt, seg, i, c, -abs(value - 20 * c) / 10 AS s FROM fr, (SELECT unnest(range({len(PHONES)})) AS c)),
-lse AS (SELECT utt, seg, i, ln(sum(exp(s))) AS l, arg_max(c, s) AS best FROM (SELECT * FROM sc ORDER BY c DESC) GROUP BY 1, 2, 3),
+lse AS (SELECT utt, seg, i, ln(sum(exp(s))) AS l, (list(c ORDER BY s DESC, c))[1] AS best FROM sc GROUP BY 1, 2, 3),
 cells AS (
   SELECT pr.utt, pr.seg, pr.silent, pr.n, pr.m, y.i AS t, p.i AS j, y.phone,
     sqrt((y.f0 - p.f0) * (y.f0 - p.f0) + (y.f1 - p.f1) * (y.f1 - p.f1)) AS dist, lse.l - sc.s AS nll, lse.best

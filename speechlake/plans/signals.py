@@ -15,13 +15,18 @@ MEL = {"n_fft": 16, "n_mels": 4, "sr": 250.0, "hop": 4, "win": 16, "fmin": 0.0,
 NEW_RATE, OLD_RATE = 400.0, 250.0
 
 
+def _nudge(digits: int) -> float:
+    """Moves exact halves, which decimal inputs do produce, off the rounding border."""
+    return 0.0123456789 * 10.0**-digits
+
+
 def r(column: str, digits: int = 6):
     """Rounded for comparison; adding zero turns a negative zero into zero."""
-    return (F.round(column, digits) + F.lit(0.0)).alias(column)
+    return (F.round(F.col(column) + F.lit(_nudge(digits)), digits) + F.lit(0.0)).alias(column)
 
 
 def rsql(x: str, name: str, digits: int = 6) -> str:
-    return f"round({x}, {digits}) + 0.0::DOUBLE AS {name}"
+    return f"round({x} + {_nudge(digits)!r}::DOUBLE, {digits}) + 0.0::DOUBLE AS {name}"
 
 
 def _list(values) -> str:
@@ -102,11 +107,11 @@ def short_time_spectrum(spark, sf_dir):
       SELECT utt, frame, ch * 14 + k AS dim, v AS x FROM (SELECT utt, frame, ch, unnest(range(5)) AS k,
         unnest([w_mean, w_rms, r_rms, p_zcr, r_mean]) AS v FROM stats)
       UNION ALL SELECT utt, frame, ch * 14 + 5 + bin, sqrt(re * re + im * im) FROM spectrum)
-    SELECT utt, frame, CAST(dim AS INT) AS dim, {rsql('x', 'x', 4)} FROM long""",
+    SELECT utt, frame, CAST(dim AS INT) AS dim, {rsql('x', 'x')} FROM long""",
 )
 def feature_vectors(spark, sf_dir):
     vectors = s.feature_vectors(s.frame_features(signal(spark, sf_dir), KEYS), ["utt"])
-    return vectors.select("utt", "frame", F.posexplode("x").alias("dim", "x")).select("utt", "frame", "dim", r("x", 4))
+    return vectors.select("utt", "frame", F.posexplode("x").alias("dim", "x")).select("utt", "frame", "dim", r("x"))
 
 
 def _mel_sql(value: str) -> str:
