@@ -21,7 +21,9 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     The explicit count keeps adaptive execution from merging partitions that are
     small in bytes but not in work; joins and groupings on the keys reuse it.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    session = df.sparkSession
+    wanted = int(session.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(wanted, session.sparkContext.defaultParallelism), *keys)
 
 
 def chunk_of(t: str | Column = "t", size: int = CHUNK) -> Column:

@@ -17,6 +17,7 @@ from speechlake.operators import evaluation
 from speechlake.operators.chunks import chunk_of, spread
 from speechlake.plans.corpus import PHONES, SAMPLES_SQL, samples, signal
 from speechlake.plans.registry import query
+from speechlake.sources.scratch import stored
 
 SEGMENT = 32
 WEIGHT = 0.5
@@ -36,12 +37,14 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(al.segment_arrays(frames(spark, sf_dir), "utt", SEGMENT, ["feat", "phone", "scores"]), *KEYS)
+    """Stored once: a pair reads the segments as prediction and as target."""
+    cut = al.segment_arrays(frames(spark, sf_dir), "utt", SEGMENT, ["feat", "phone", "scores"])
+    return stored(cut, "segments")
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     segs = segments(spark, sf_dir)
-    pred = segs.select("utt", "seg", "feat", "scores")
+    pred = spread(segs.select("utt", "seg", "feat", "scores"), *KEYS)
     target = segs.select((F.col("utt") - 1).alias("utt"), "seg", F.col("feat").alias("y"), F.col("phone").alias("phones"))
     both = pred.join(target, KEYS).withColumn("silent", F.col("utt") % 2 == 0)
     n = F.least(F.size("feat"), F.size("y"))

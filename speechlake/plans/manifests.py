@@ -8,13 +8,19 @@ from pyspark.sql import functions as F
 from speechlake.operators import manifest as m
 from speechlake.plans.corpus import RECORDINGS_SQL, recordings, table
 from speechlake.plans.registry import query
+from speechlake.sources.scratch import stored
 
 RATIO = (0.85, 0.075, 0.075)
 
 
+def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Split of every silent key; the keys are stored because ranking reads them several times."""
+    keys = recordings(spark, sf_dir).where("data_type = 'silent'").select(*m.KEY).distinct()
+    return m.assign_splits(stored(keys, "keys"), RATIO)
+
+
 def split_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    recs = recordings(spark, sf_dir)
-    return m.split_manifest(recs, m.assign_splits(recs.where("data_type = 'silent'"), RATIO))
+    return m.split_manifest(recordings(spark, sf_dir), assigned(spark, sf_dir))
 
 
 SPLITS_SQL = (
@@ -35,7 +41,7 @@ split_table AS (SELECT session, data_type, data_num, path, split FROM recordings
 
 @query("seeded_split_l1", f"WITH {SPLITS_SQL} SELECT * FROM splits")
 def seeded_split(spark, sf_dir):
-    return m.assign_splits(recordings(spark, sf_dir).where("data_type = 'silent'"), RATIO)
+    return assigned(spark, sf_dir)
 
 
 @query("paired_modality_j1", f"WITH {SPLITS_SQL} SELECT * FROM split_table")

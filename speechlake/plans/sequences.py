@@ -11,6 +11,7 @@ from speechlake.operators import sequences as q
 from speechlake.plans.corpus import SAMPLES_SQL, SIGNAL_SQL, samples, signal, table
 from speechlake.plans.registry import query
 from speechlake.plans.signals import r, rsql
+from speechlake.sources.scratch import stored
 
 KEYS = ["utt", "ch"]
 SEED = 42
@@ -308,7 +309,8 @@ def repeat_upsample(spark, sf_dir):
 
 
 def batched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return b.assign_batches(lengths(spark, sf_dir), "utt", 32, SEED)
+    """Utterances with their batch; the lengths are stored because ranking reads them several times."""
+    return b.assign_batches(stored(lengths(spark, sf_dir), "lengths"), "utt", 32, SEED)
 
 
 BATCHES_SQL = f"""{LENGTHS_SQL}, batched AS (
@@ -334,7 +336,7 @@ def batches(spark, sf_dir):
 )
 def ordered_batches(spark, sf_dir):
     """Validation batches: one utterance each, in key order."""
-    return b.assign_batches(lengths(spark, sf_dir), "utt", 1).select("utt", "batch")
+    return b.assign_batches(stored(lengths(spark, sf_dir), "lengths"), "utt", 1).select("utt", "batch")
 
 
 @query(
@@ -346,7 +348,8 @@ def batch_order(spark, sf_dir):
 
 
 def capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return b.cap_lengths(batched(spark, sf_dir), FRAME_RATE, 8.0, 4, VIDEO_FPS)
+    caps = b.cap_lengths(stored(batched(spark, sf_dir), "batches"), FRAME_RATE, 8.0, 4, VIDEO_FPS)
+    return stored(caps, "caps")
 
 
 @query(

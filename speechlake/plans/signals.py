@@ -148,7 +148,7 @@ def zero_output(spark, sf_dir):
 
 @query(
     "log_compression_w8",
-    "SELECT event_id, round(ln(greatest(value, 1e-5)), 6) + 0.0::DOUBLE AS compressed, round(greatest(value, 1e-5), 6) AS expanded FROM events",
+    f"SELECT event_id, {rsql('ln(greatest(value, 1e-5))', 'compressed')}, round(greatest(value, 1e-5), 6) AS expanded FROM events",
 )
 def log_compression(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", s.log_compress(F.col("value")).alias("compressed"))
