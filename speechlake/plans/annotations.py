@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from speechlake.functions.text import phone_label
 from speechlake.operators import intervals as iv
-from speechlake.plans.corpus import INTERVALS_SQL, NOISE, SILENCE, intervals, table
+from speechlake.plans.corpus import INTERVALS_SQL, NOISE, SAMPLES_SQL, SILENCE, intervals, samples, table
 from speechlake.plans.registry import query
 from speechlake.sources import textgrid
 from speechlake.sources.scratch import scratch_path
@@ -111,32 +111,40 @@ def inventory(spark, sf_dir):
     return iv.inventory(intervals(spark, sf_dir), "phones", [NOISE, SILENCE])
 
 
-@query(
-    "noise_files_p8",
-    f"WITH {INTERVALS_SQL} SELECT utt, bool_or(label = 'error' AND idx < 3) AS found FROM intervals GROUP BY 1",
-)
+def noisy_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals in which only the errors with the highest k are noise; ``again`` is the label after a rerun."""
+    kind, k = F.col("event_type"), F.col("k")
+    noise = (kind == NOISE) & (k > 95)
+    calm = F.when(kind == NOISE, "click").otherwise(kind)
+    start = F.col("t") * 0.2
+    return samples(spark, sf_dir).select(
+        "utt", F.lit("phones").alias("tier"), F.col("t").alias("idx"), start.alias("xmin"), (start + 0.2).alias("xmax"),
+        F.when(noise, NOISE).otherwise(calm).alias("label"),
+        F.when(noise & (k % 2 == 1), NOISE).otherwise(calm).alias("again"),
+    )
+
+
+_NOISE_SQL = f"""{SAMPLES_SQL}, f AS (SELECT utt, bool_or(event_type = 'error' AND k > 95) AS noisy,
+  bool_or(event_type = 'error' AND k > 95 AND k % 2 = 1) AS still FROM samples GROUP BY 1)"""
+
+
+@query("noise_files_p8", f"WITH {_NOISE_SQL} SELECT utt, noisy AS found FROM f")
 def noise_files(spark, sf_dir):
-    """Utterances whose opening three phones contain noise."""
-    opening = intervals(spark, sf_dir).where("idx < 3")
-    return iv.has_label(opening, "phones", NOISE)
+    return iv.has_label(noisy_intervals(spark, sf_dir), "phones", NOISE)
 
 
 @query(
     "reprocess_set_j13",
-    f"""WITH {INTERVALS_SQL}, f AS (SELECT utt, bool_or(label = 'error' AND idx < 3) AS noisy,
-      bool_or(label = 'error' AND idx < 3 AND xmax - xmin > 0.15) AS still FROM intervals GROUP BY 1)
-    SELECT utt, CASE WHEN NOT noisy THEN 'skipped' WHEN utt % 10 <> 0 AND NOT still THEN 'fixed' ELSE 'failed' END AS status FROM f""",
+    f"""WITH {_NOISE_SQL} SELECT utt, CASE WHEN NOT noisy THEN 'skipped' WHEN utt % 10 <> 0 AND NOT still THEN 'fixed' ELSE 'failed' END AS status FROM f""",
 )
 def reprocess_set(spark, sf_dir):
-    """A rerun that clears short noise; every tenth file has no number in its name."""
-    opening = intervals(spark, sf_dir).where("idx < 3")
-    rerun = opening.where("NOT (label = 'error' AND xmax - xmin <= 0.15)")
+    """A rerun that clears noise with an even k; every tenth file has no number in its name."""
+    rows = noisy_intervals(spark, sf_dir)
     name = F.when(F.col("utt") % 10 == 0, F.lit("tg_x.TextGrid")).otherwise(F.format_string("tg_%04d.TextGrid", "utt"))
-    utts = opening.select("utt").distinct()
-    before, after = iv.has_label(opening, "phones", NOISE), iv.has_label(rerun, "phones", NOISE)
-    # A file whose only phones were cleared is clean, not missing.
-    after = utts.join(after, "utt", "left").withColumn("found", F.coalesce("found", F.lit(False)))
-    return iv.reprocess_report(utts.withColumn("path", name), before, after)
+    files = rows.select("utt").distinct().withColumn("path", name)
+    before = iv.has_label(rows, "phones", NOISE)
+    after = iv.has_label(rows.withColumn("label", F.col("again")), "phones", NOISE)
+    return iv.reprocess_report(files, before, after)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

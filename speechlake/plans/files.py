@@ -70,12 +70,12 @@ def split_csv_sink(spark, sf_dir):
 
 @query(
     "metadata_s3",
-    f"""SELECT doc_id::VARCHAR || '.wav' AS id, {_basic_sql("regexp_replace(text, '[|\\n\\r]', ' ', 'g')")} AS text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)""",
+    f"""SELECT doc_id::VARCHAR || '.wav' AS id, {_basic_sql("regexp_replace(text, '[|\\n\\r]', ' ', 'g')")} AS text FROM documents""",
 )
 def metadata(spark, sf_dir):
-    """Labelled documents as ``id|text|normalised`` lines, some of them blank, read back as id and text."""
+    """Documents as ``id|text|normalised`` lines, some of them blank, read back as id and text."""
     path = scratch_path(spark, "metadata")
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_semi")
+    docs = table(spark, sf_dir, "documents")
     body = F.regexp_replace("text", r"[|\n\r]", " ")
     line = F.concat_ws("|", F.concat(F.lit("wavs/"), F.col("doc_id").cast("string"), F.lit(".wav")), body, F.lower(body))
     docs.select(F.explode(F.array(line, F.lit(""))).alias("value")).write.text(path)

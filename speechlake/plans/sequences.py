@@ -412,14 +412,14 @@ def batch_report(spark, sf_dir):
 
 @query(
     "array_padding_b5",
-    """SELECT vec_id, CAST(vec_id % 100 AS INT) AS n, CAST(least(64, vec_id % 100) AS INT) AS kept,
-      CAST(greatest(vec_id % 100 - 64, 0) AS INT) AS masked, round(list_sum(list_transform(embedding[1:vec_id % 100], lambda x: x::DOUBLE)), 5) + 0.0::DOUBLE AS total
-    FROM embeddings WHERE vec_id % 100 > 0""",
+    """SELECT vec_id, CAST((vec_id % 100 + 1) AS INT) AS n, CAST(least(64, (vec_id % 100 + 1)) AS INT) AS kept,
+      CAST(greatest((vec_id % 100 + 1) - 64, 0) AS INT) AS masked, round(list_sum(list_transform(embedding[1:(vec_id % 100 + 1)], lambda x: x::DOUBLE)), 5) + 0.0::DOUBLE AS total
+    FROM embeddings""",
 )
 def array_padding(spark, sf_dir):
     """Array forms: vectors cut or filled with zeros, and their masks."""
-    n = (F.col("vec_id") % 100).cast("int")
-    rows = table(spark, sf_dir, "embeddings").where("vec_id % 100 > 0").select(
+    n = (F.col("vec_id") % 100 + 1).cast("int")
+    rows = table(spark, sf_dir, "embeddings").select(
         "vec_id",
         arrays.pad_to(F.col("embedding").cast("array<double>"), n, F.lit(0.0)).alias("x"),
         arrays.padding_mask(F.lit(64), n).alias("m"),
