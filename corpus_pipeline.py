@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from speechlake.llm import quality
+from speechlake.llm import quality, simhash
 from speechlake.llm.common import ship, table
 from speechlake.sources.scratch import stored
 
@@ -15,7 +15,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_documents(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash class stays."""
+    ship(spark)
+    return simhash.keep_one(docs)
+
+
+STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates)]
 ORACLE_SQL = None
 
 

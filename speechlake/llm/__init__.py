@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("quality",)
+MODULES = ("quality", "simhash")
 
 
 def load() -> tuple[dict, dict]:
