@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("quality", "simhash")
+MODULES = ("quality", "simhash", "tokencounts")
 
 
 def load() -> tuple[dict, dict]:
