@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from speechlake.llm import quality, simhash
+from speechlake.llm import decontamination, quality, simhash
 from speechlake.llm.common import ship, table
 from speechlake.sources.scratch import stored
 
@@ -21,7 +21,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.keep_one(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates)]
+def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark window go."""
+    return decontamination.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("benchmark_decontamination", without_benchmarks)]
 ORACLE_SQL = None
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("quality", "simhash", "tokencounts")
+MODULES = ("quality", "simhash", "tokencounts", "decontamination")
 
 
 def load() -> tuple[dict, dict]:
