@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from speechlake.llm import decontamination, quality, simhash
+from speechlake.llm import decontamination, pii, quality, simhash
 from speechlake.llm.common import ship, table
 from speechlake.sources.scratch import stored
 
@@ -26,7 +27,18 @@ def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return decontamination.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("benchmark_decontamination", without_benchmarks)]
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and the terms that reveal it are masked; ``n_chars`` follows."""
+    clean = pii.sanitise(docs)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_decontamination", without_benchmarks),
+    ("pii_sanitisation", without_personal_data),
+]
 ORACLE_SQL = None
 
 
