@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechlake.llm import decontamination, pii, quality, simhash
+from speechlake.llm import decontamination, pieces, pii, quality, simhash
 from speechlake.llm.common import ship, table
 from speechlake.sources.scratch import stored
 
@@ -33,11 +33,17 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, n_pieces, decodes_back, ids`` of every document."""
+    return pieces.with_pieces(docs)
+
+
 STAGES = [
     ("quality_rules", quality_rules),
     ("near_duplicates", near_duplicates),
     ("benchmark_decontamination", without_benchmarks),
     ("pii_sanitisation", without_personal_data),
+    ("sentencepiece_encoding", encoded),
 ]
 ORACLE_SQL = None
 
