@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("quality", "simhash", "tokencounts", "decontamination", "pii", "pieces")
+MODULES = ("quality", "simhash", "tokencounts", "decontamination", "pii", "pieces", "urls")
 
 
 def load() -> tuple[dict, dict]:

@@ -99,13 +99,10 @@ def _distinct_units(model: str):
     return run
 
 
-def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """The edges ``uid, unit, n, start, end, id, score`` of ``uid, unit, n``.
-
-    ``unit`` and ``n`` are on the first edge only. An edge without a piece is
-    one character; its id is minus its code point.
-    """
-    unit, starts = F.col("unit"), F.col("starts")
+def substrings_of(units: DataFrame, longest: int) -> DataFrame:
+    """``uid, unit, n, start, end, piece``: all substrings of up to ``longest``
+    characters, with ``unit`` and ``n`` on the first of a unit only."""
+    unit = F.col("unit")
     segments = F.transform(
         F.sequence(F.lit(0), F.floor((F.length(unit) - 1) / SEGMENT).cast("int")),
         lambda s: F.struct((s * SEGMENT).alias("first"), F.substring(unit, s * SEGMENT + 1, F.lit(SEGMENT + longest - 1)).alias("part")),
@@ -124,9 +121,14 @@ def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
         .select("uid", F.when(F.col("s.first") == 0, unit).alias("unit"), "n", F.explode(substrings(F.col("s.part"), F.col("s.first"))).alias("e"))
     )
     first = (F.col("e.start") == 0) & (F.col("e.end") == 1)
+    return cuts.select("uid", F.when(first, unit).alias("unit"), F.when(first, F.col("n")).alias("n"), "e.start", "e.end", "e.piece")
+
+
+def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
+    """The edges ``uid, unit, n, start, end, id, score``. An edge without a
+    piece is one character; its id is minus its code point."""
     # The piece table is the model file's vocabulary, so its size is fixed.
-    edges = cuts.select("uid", F.when(first, unit).alias("unit"), F.when(first, F.col("n")).alias("n"), "e.start", "e.end", "e.piece")
-    edges = edges.join(F.broadcast(pieces), "piece", "left").where("id IS NOT NULL OR end = start + 1")
+    edges = substrings_of(units, longest).join(F.broadcast(pieces), "piece", "left").where("id IS NOT NULL OR end = start + 1")
     least = pieces.agg((F.min(F.when(F.col("score") > -1e8, F.col("score"))) - 10).alias("least"))  # one row
     return edges.join(F.broadcast(least)).select(
         "uid", "unit", "n", "start", "end", F.coalesce("id", -F.ascii("piece")).alias("id"), F.coalesce("score", "least").alias("score")
