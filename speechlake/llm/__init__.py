@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("quality", "simhash", "tokencounts", "decontamination", "pii", "pieces", "urls", "preferences", "scoring")
+MODULES = ("quality", "simhash", "tokencounts", "decontamination", "pii", "pieces", "urls", "preferences", "scoring", "passages")
 
 
 def load() -> tuple[dict, dict]:

@@ -133,7 +133,8 @@ def judged(pages: DataFrame, words: DataFrame, url: str = "url") -> DataFrame:
         .select(F.col("key").alias("_key"), "host", "path", "rule", verdict.alias("verdict")),
         "verdicts",
     )
-    return pages.join(known, F.coalesce(F.col(url), F.lit("")) == F.col("_key")).drop("_key")
+    own = pages.drop("host", "path", "rule", "verdict")
+    return own.join(known, F.coalesce(F.col(url), F.lit("")) == F.col("_key")).drop("_key")
 
 
 @query("op10_url_filters")
