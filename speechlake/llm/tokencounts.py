@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechlake.llm.common import query, ship, table
+from speechlake.llm.common import most_frequent, query, ship, table
 from speechlake.sources.scratch import stored
 
 TOKENIZER = "word_bpe_49k.json"
@@ -164,13 +164,17 @@ def vocabulary(docs: DataFrame, tokenizer: str = TOKENIZER, text: str = "text")
     return counted.mapInArrow(_count_pieces(tokenizer), "piece string, n long, tokens long")
 
 
+def frequent(pieces: DataFrame, most: int = HOT_PIECES) -> DataFrame:
+    """The most frequent short pre-tokens, ``most`` at most."""
+    return most_frequent(pieces.where(F.length("piece") <= HOT_LENGTH), most)
+
+
 def count_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_tokens`` for every row."""
     spark = docs.sparkSession
     ship(spark)
     pieces = stored(vocabulary(docs, tokenizer, text), "pieces")
-    frequent = pieces.where(F.length("piece") <= HOT_LENGTH).orderBy(F.desc("n"), "piece").limit(HOT_PIECES)
-    hot = spark.sparkContext.broadcast({r.piece: r.tokens for r in frequent.select("piece", "tokens").collect()})
+    hot = spark.sparkContext.broadcast({r.piece: r.tokens for r in frequent(pieces).select("piece", "tokens").collect()})
     id_type = docs.schema[doc_id].dataType.simpleString()
     found = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string")).mapInArrow(
         _frequencies(tokenizer, hot), f"doc_id {id_type}, n_bytes long, n long, rare array<string>, counts array<long>"
