@@ -126,12 +126,12 @@ def substrings_of(units: DataFrame, longest: int) -> DataFrame:
 
 def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     """The edges ``uid, unit, n, start, end, id, score``. An edge without a
-    piece is one character; its id is minus its code point."""
+    piece is one character; its id is minus its end, so minus its place from 1."""
     # The piece table is the model file's vocabulary, so its size is fixed.
     edges = substrings_of(units, longest).join(F.broadcast(pieces), "piece", "left").where("id IS NOT NULL OR end = start + 1")
     least = pieces.agg((F.min(F.when(F.col("score") > -1e8, F.col("score"))) - 10).alias("least"))  # one row
     return edges.join(F.broadcast(least)).select(
-        "uid", "unit", "n", "start", "end", F.coalesce("id", -F.ascii("piece")).alias("id"), F.coalesce("score", "least").alias("score")
+        "uid", "unit", "n", "start", "end", F.coalesce("id", -F.col("end")).alias("id"), F.coalesce("score", "least").alias("score")
     )
 
 
@@ -174,11 +174,11 @@ def best_path(edges: Column) -> Column:
     return let(ways, walk)
 
 
-def _with_bytes(ids: Column, first_byte: int) -> Column:
-    """Negative ids (code points) as the ids of their UTF-8 bytes."""
+def _with_bytes(ids: Column, unit: Column, first_byte: int) -> Column:
+    """Negative ids (places in the unit) as the ids of the character's UTF-8 bytes."""
 
     def of(i: Column) -> Column:
-        code = F.hex(F.encode(F.chr(-i), "UTF-8"))
+        code = F.hex(F.encode(F.substring(unit, -i, F.lit(1)), "UTF-8"))
         byte = lambda k: F.conv(F.substring(code, 2 * k + 1, F.lit(2)), 16, 10).cast("int") + first_byte
         return F.when(i >= 0, F.array(i)).otherwise(F.transform(F.sequence(F.lit(0), (F.length(code) / 2).cast("int") - 1), byte))
 
@@ -196,7 +196,7 @@ def encode_units(docs: DataFrame, model: str = MODEL, text: str = "text") -> Dat
     grouped = edges.groupBy("uid").agg(
         F.collect_list(F.struct("end", "start", "id", "score")).alias("edges"), F.max("unit").alias("piece"), F.max("n").alias("n")
     )
-    ids = _with_bytes(best_path(F.col("edges")), processor(model).piece_to_id("<0x00>"))
+    ids = _with_bytes(best_path(F.col("edges")), F.col("piece"), processor(model).piece_to_id("<0x00>"))
     return grouped.select("piece", "n", ids.alias("ids"))
 
 
