@@ -81,10 +81,11 @@ def clean_text(text: Column) -> Column:
 
 
 def text_to_ids(text: Column) -> Column:
-    """Position of every character in the alphabet; null for unknown characters."""
+    """Position of every character of a clean text in the alphabet; any other is an error."""
     chars = F.filter(F.split(text, ""), lambda c: c != "")
-    alphabet = F.lit(ALPHABET)
-    return F.transform(chars, lambda c: F.nullif(F.instr(alphabet, c) - 1, F.lit(-1)))
+    unknown = lambda c: F.raise_error(F.concat(F.lit("character outside the alphabet: "), c)).cast("int")
+    place = lambda c: F.instr(F.lit(ALPHABET), c)
+    return F.transform(chars, lambda c: F.when(place(c) > 0, place(c) - 1).otherwise(unknown(c)))
 
 
 def ids_to_text(ids: Column) -> Column:

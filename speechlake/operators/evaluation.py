@@ -98,7 +98,12 @@ def confusion_counts(frames: DataFrame, pred: str = "pred", target: str = "targe
 
 
 def confused_pairs(counts: DataFrame, n: int = 10) -> DataFrame:
-    """The n label pairs with the highest symmetric confusion.
+    """The n label pairs with the highest symmetric confusion."""
+    return pair_confusions(counts).orderBy(F.desc("confusion"), F.desc("p"), F.desc("q")).limit(n)
+
+
+def pair_confusions(counts: DataFrame) -> DataFrame:
+    """Symmetric confusion of every label pair that was ever confused.
 
     A cell (p, q) counts for the unordered pair, so no label is joined with all
     others; totals and the diagonal come back by equality on the label. The pair
@@ -120,11 +125,7 @@ def confused_pairs(counts: DataFrame, n: int = 10) -> DataFrame:
     )
     both = F.coalesce("p_total", F.lit(1e-4)) + F.coalesce("q_total", F.lit(1e-4))
     hits = F.coalesce("p_hits", F.lit(0)) + F.coalesce("q_hits", F.lit(0))
-    return (
-        pairs.select("p", "q", (F.col("swapped") / both).alias("confusion"), (hits / both).alias("accuracy"))
-        .orderBy(F.desc("confusion"), F.desc("p"), F.desc("q"))
-        .limit(n)
-    )
+    return pairs.select("p", "q", (F.col("swapped") / both).alias("confusion"), (hits / both).alias("accuracy"))
 
 
 def masked_accuracy(frames: DataFrame, pred: str, target: str, noise: str | None, *by: str) -> DataFrame:

@@ -154,7 +154,8 @@ def log_mel(
             F.when((t >= n - 1 - pad) & (t <= n - 2), 2 * (n - 1) - t + pad),
         )
     )
-    padded = joined.where(n > pad).withColumn("u", F.explode(places)).withColumn(
+    long_enough = F.when(n > pad, F.col("value")).otherwise(F.raise_error(F.lit("a signal is not longer than its padding")).cast("double"))
+    padded = joined.withColumn("value", long_enough).withColumn("u", F.explode(places)).withColumn(
         "_frames", F.floor((n + 2 * pad - n_fft) / F.lit(hop)) + 1
     )
     reach = block * hop

@@ -25,14 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents for work that is costly per text.
-
-    A corpus of many files is read where it lies. Fewer files than tasks that can
-    run at once are spread first, else some cores would have nothing to do.
-    """
-    docs = table(spark, sf_dir, "documents")
-    few = len(docs.inputFiles()) < spark.sparkContext.defaultParallelism
-    return spread(docs.select("doc_id", "text"), "doc_id") if few else docs
+    """Documents for work that is costly per text, dealt out evenly."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:

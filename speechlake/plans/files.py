@@ -28,25 +28,19 @@ from speechlake.streaming import running
 
 @query(
     "manifest_scan_s1",
-    "SELECT DISTINCT lang AS data_type, source AS session, CAST(doc_id % 2 AS INT) AS data_num, true AS filled FROM documents",
+    "SELECT DISTINCT lang AS data_type, source AS session, CAST(doc_id AS INT) AS data_num, 'emg' AS modality, true AS filled FROM documents",
 )
 def manifest_scan(spark, sf_dir):
     """Recordings written one folder per number, listed again without reading them."""
     root = scratch_path(spark, "corpus")
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", F.col("lang").alias("data_type"), F.col("source").alias("session"), F.lit("data").alias("top"),
-        F.lit("emg").alias("kind"), F.format_string("emg_%04d.npz", F.col("doc_id") % 2).alias("item"),
+        F.lit("emg").alias("kind"), F.format_string("emg_%04d.npz", F.col("doc_id")).alias("item"),
     )
     parts = ["data_type", "session", "top", "kind", "item"]
     docs.repartition(*parts).write.partitionBy(*parts).parquet(root)
-    # The number is in the folder of a file here, so the last component goes first.
-    files = tables.scan_files(spark, root, "*.parquet")
-    recording = F.regexp_replace(F.regexp_extract("path", "^(.*)/[^/]+$", 1), "/[a-z_]+=", "/")
-    p = tables.path_part
-    return files.select(recording.alias("path"), "length").select(
-        p(F.col("path"), 5).alias("data_type"), p(F.col("path"), 4).alias("session"),
-        tables.file_number(F.col("path")).alias("data_num"), (F.col("length") > 0).alias("filled"),
-    ).distinct()
+    files = tables.scan_manifest(spark, root, "*.parquet", foldered=True)
+    return files.select("data_type", "session", "data_num", "modality", (F.col("length") > 0).alias("filled"))
 
 
 @query("split_csv_s2", f"WITH {SPLITS_SQL} SELECT session, data_type, data_num, path, split FROM split_table")
@@ -138,18 +132,22 @@ def eval_log(spark, sf_dir):
     return tables.parse_eval_log(spark.read.text(path))
 
 
+def _phones_sql(words: str) -> str:
+    return f"array_to_string(list_transform({words}, lambda w: CASE WHEN list_contains(l, w) THEN translate(w, 'aeiou', 'AEIOU') ELSE w END), ' ')"
+
+
 @query(
     "phoneme_error_rate_t17",
-    f"""WITH {_SCORED_SQL}, spoken AS (
-      SELECT conv_id, turn, array_to_string(list_transform(pw, lambda w: CASE WHEN length(w) > 2 THEN translate(w, 'aeiou', 'AEIOU') ELSE w END), ' ') AS p,
-        array_to_string(list_transform(tw, lambda w: CASE WHEN length(w) > 2 THEN translate(w, 'aeiou', 'AEIOU') ELSE w END), ' ') AS t FROM listed)
+    f"""WITH {_SCORED_SQL}, known AS (
+      SELECT list(DISTINCT w) AS l FROM (SELECT unnest(string_split({_basic_sql('strip_accents(text)')}, ' ')) AS w FROM benchmark) WHERE length(w) > 2),
+    spoken AS (SELECT conv_id, turn, {_phones_sql('pw')} AS p, {_phones_sql('tw')} AS t FROM listed, known)
     SELECT CAST(conv_id % 16 AS INT) AS session, round(sum(levenshtein(p, t)) / sum(length(t)), 6) AS rate FROM spoken GROUP BY 1""",
 )
 def phoneme_error_rate(spark, sf_dir):
-    """Both texts of a pair pronounced by lexicon; words it lacks keep their letters."""
+    """Both texts of a pair pronounced by the lexicon of another corpus; words it lacks keep their letters."""
     forms = evaluation.scored_forms(turn_pairs(spark, sf_dir), "prediction", "target")
-    words = forms.select(F.explode(F.concat(edits.words(F.col("prediction")), edits.words(F.col("target")))).alias("word"))
-    known = words.where(F.length("word") > 2).distinct().withColumn("phones", F.translate("word", "aeiou", "AEIOU"))
+    listed = table(spark, sf_dir, "benchmark").select(F.explode(F.split(text.normalize_basic(text.fold_accents(F.col("text"))), " ")).alias("word"))
+    known = listed.where(F.length("word") > 2).distinct().withColumn("phones", F.translate("word", "aeiou", "AEIOU"))
     spoken = lexicon.pronounce(forms, ["conv_id", "turn"], ["prediction", "target"], known)
     by = spoken.withColumn("session", (F.col("conv_id") % 16).cast("int"))
     rates = evaluation.symbol_error_rate(by, "prediction", "target", "session")
@@ -222,13 +220,14 @@ def normaliser_store(spark, sf_dir):
 
 @query(
     "feature_sink_s11",
-    f"WITH {SPLITS_SQL} SELECT split, data_type, session, count(*) AS n, sum(data_num)::BIGINT AS total FROM split_table WHERE split = 'valid' GROUP BY 1, 2, 3",
+    f"WITH {SPLITS_SQL} SELECT split, data_type, session, count(*) AS n, sum(data_num)::BIGINT AS total FROM split_table GROUP BY 1, 2, 3",
 )
 def feature_sink(spark, sf_dir):
-    """Partitioned features; reading one split touches only its folders."""
+    """Partitioned features, read back split by split: each read touches only its folders."""
     path = scratch_path(spark, "features")
     tables.write_features(split_table(spark, sf_dir), path)
-    rows = spark.read.parquet(path).where("split = 'valid'")
+    read = spark.read.parquet(path)
+    rows = read.where("split = 'train'").union(read.where("split = 'valid'")).union(read.where("split = 'test'"))
     return rows.groupBy("split", "data_type", "session").agg(F.count(F.lit(1)).alias("n"), F.sum("data_num").alias("total"))
 
 

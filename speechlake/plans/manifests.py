@@ -62,16 +62,16 @@ def unmatched_report(spark, sf_dir):
 
 @query(
     "mandatory_lookup_j3",
-    f"""WITH {RECORDINGS_SQL} SELECT s.session, s.data_num, min(v.path) AS voiced_path
-    FROM recordings s JOIN recordings v USING (session, data_num)
-    WHERE s.data_type = 'silent' AND v.data_type = 'voiced' GROUP BY 1, 2""",
+    f"""WITH {RECORDINGS_SQL} SELECT s.session, s.data_num, s.data_type, s.path, d.lang
+    FROM recordings s JOIN documents d ON d.source = s.session AND d.doc_id = s.data_num""",
 )
 def mandatory_lookup(spark, sf_dir):
-    """Voiced file of every silent recording that is expected to have one."""
+    """The transcript's language of every recording; one without a transcript is an error."""
     recs = recordings(spark, sf_dir)
-    silent = recs.where("data_type = 'silent' AND data_num % 11 <> 3").select(*m.KEY)
-    voiced = m.first_path(recs.where("data_type = 'voiced'"), m.KEY).withColumnRenamed("path", "voiced_path")
-    return m.mandatory_lookup(silent, voiced, m.KEY, "voiced_path")
+    spoken = table(spark, sf_dir, "documents").select(
+        F.col("source").alias("session"), F.col("doc_id").cast("int").alias("data_num"), "lang"
+    )
+    return m.mandatory_lookup(recs, spoken, m.KEY, "lang")
 
 
 @query(

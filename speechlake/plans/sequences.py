@@ -166,17 +166,21 @@ def split_by_lengths(spark, sf_dir):
 
 @query(
     "splice_w19",
-    f"""WITH {SAMPLES_SQL}, seg AS (SELECT utt, t // 20 AS seg, t % 20 AS i, value, count(*) OVER (PARTITION BY utt, t // 20) AS n FROM samples),
+    f"""WITH {SAMPLES_SQL}, sized AS (SELECT utt, t, value, count(*) OVER (PARTITION BY utt) AS size FROM samples),
+    cut AS (SELECT utt, t, value, CASE WHEN size % 20 < 4 THEN least(t // 20, size // 20 - 1) ELSE t // 20 END AS seg FROM sized),
+    seg AS (SELECT utt, seg, t - seg * 20 AS i, value, count(*) OVER (PARTITION BY utt, seg) AS n FROM cut),
     w AS (SELECT utt, seg * 16 + i AS t, value * CASE WHEN i < 4 THEN i / 3.0::DOUBLE ELSE 1 END
-        * CASE WHEN n - 1 - i < 4 THEN (n - 1 - i) / 3.0::DOUBLE ELSE 1 END AS value FROM seg WHERE n >= 4)
+        * CASE WHEN n - 1 - i < 4 THEN (n - 1 - i) / 3.0::DOUBLE ELSE 1 END AS value FROM seg)
     SELECT utt, t, {rsql('sum(value)', 'value')} FROM w GROUP BY 1, 2""",
 )
 def splice(spark, sf_dir):
-    """Twenty-sample chunks overlapped by four; a rest shorter than the overlap is no chunk."""
+    """Twenty-sample chunks overlapped by four; a rest shorter than the overlap joins the chunk before."""
     x = first_channel(spark, sf_dir)
-    seg = x.select("utt", F.floor(F.col("t") / 20).alias("seg"), (F.col("t") % 20).alias("i"), "value")
-    long_enough = seg.groupBy("utt", "seg").agg(F.count(F.lit(1)).alias("n")).where("n >= 4").drop("n")
-    return q.splice(seg.join(long_enough, ["utt", "seg"], "left_semi"), ["utt"], 4).select("utt", "t", r("value"))
+    size, at = F.col("size"), F.floor(F.col("t") / 20)
+    seg = F.when(size % 20 < 4, F.least(at, F.floor(size / 20) - 1)).otherwise(at)
+    sized = x.join(x.groupBy("utt").agg(F.count(F.lit(1)).alias("size")), "utt").withColumn("seg", seg)
+    chunks = sized.select("utt", "seg", (F.col("t") - F.col("seg") * 20).alias("i"), "value")
+    return q.splice(chunks, ["utt"], 4).select("utt", "t", r("value"))
 
 
 @query(

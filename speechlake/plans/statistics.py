@@ -148,12 +148,14 @@ def top_k_mask(spark, sf_dir):
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Class scores of a frame (first entries of a vector) and its target class."""
-    scores = F.slice(F.col("embedding").cast("array<double>"), 1, CLASSES)
-    return vectors(spark, sf_dir).select("vec_id", "label", scores.alias("scores"))
+    """Class scores of a frame and its target class: class c gets the sum of
+    every CLASSES-th entry of the vector from c on."""
+    values = F.col("embedding").cast("array<double>")
+    total = lambda c: F.aggregate(F.filter(values, lambda _, i: i % CLASSES == c), F.lit(0.0), lambda s, x: s + x)
+    return vectors(spark, sf_dir).select("vec_id", "label", F.array(*map(total, range(CLASSES))).alias("scores"))
 
 
-FRAMES_SQL = f"""{VALUES_SQL}, sc AS (SELECT vec_id, label, dim AS c, x FROM vals WHERE dim < {CLASSES}),
+FRAMES_SQL = f"""{VALUES_SQL}, sc AS (SELECT vec_id, label, dim % {CLASSES} AS c, sum(x ORDER BY dim) AS x FROM vals GROUP BY 1, 2, 3),
   lse AS (SELECT vec_id, label, ln(sum(exp(x))) AS l FROM sc GROUP BY 1, 2),
   best AS (SELECT vec_id, label AS target, c AS pred FROM sc
     QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, c) = 1)"""
@@ -225,8 +227,7 @@ def top_confusions(spark, sf_dir):
 def label_pairs(spark, sf_dir):
     """All unordered label pairs that were ever confused."""
     counts = evaluation.confusion_counts(judged(spark, sf_dir))
-    all_pairs = evaluation.confused_pairs(counts, CLASSES * (CLASSES - 1) // 2)
-    return all_pairs.select("p", "q", F.round("confusion", 6).alias("confusion"), F.round("accuracy", 6).alias("accuracy"))
+    return evaluation.pair_confusions(counts).select("p", "q", F.round("confusion", 6).alias("confusion"), F.round("accuracy", 6).alias("accuracy"))
 
 
 @query(

@@ -42,7 +42,16 @@ for _letter, _spelled in text._SPELLED.items():
     _SPELLED_SQL = f"replace({_SPELLED_SQL}, '{_letter}', '{_spelled}')"
 
 
-@query("clean_text_t1", _documents_sql(rf"lower(regexp_replace({_SPELLED_SQL}, '[[:punct:]\p{{P}}]+', '', 'g'))"))
+_CLEAN_SQL = rf"lower(regexp_replace({_SPELLED_SQL}, '[[:punct:]\p{{P}}]+', '', 'g'))"
+# The alphabet has one kind of blank.
+_SPACED_SQL = rf"regexp_replace({_CLEAN_SQL}, '\s', ' ', 'g')"
+
+
+def _spaced(x):
+    return F.regexp_replace(text.clean_text(x), r"\s", " ")
+
+
+@query("clean_text_t1", _documents_sql(_CLEAN_SQL))
 def clean_text(spark, sf_dir):
     return _per_document(spark, sf_dir, text.clean_text)
 
@@ -50,17 +59,17 @@ def clean_text(spark, sf_dir):
 @query(
     "text_to_ids_t2",
     _documents_sql(
-        f"""list_aggregate(list_transform(string_split(regexp_replace({_basic_sql('text')}, '[^a-z0-9 ]', '', 'g'), ''),
+        f"""list_aggregate(list_transform(string_split({_SPACED_SQL}, ''),
         lambda c: instr('{text.ALPHABET}', c) - 1), 'string_agg', ',')"""
     ),
 )
 def text_to_ids(spark, sf_dir):
-    return _per_document(spark, sf_dir, lambda t: F.array_join(text.text_to_ids(text.normalize_basic(t)), ","))
+    return _per_document(spark, sf_dir, lambda t: F.array_join(text.text_to_ids(_spaced(t)), ","))
 
 
-@query("ids_to_text_t2", _documents_sql(_basic_sql("text")))
+@query("ids_to_text_t2", _documents_sql(_SPACED_SQL))
 def ids_to_text(spark, sf_dir):
-    return _per_document(spark, sf_dir, lambda t: text.ids_to_text(text.text_to_ids(text.normalize_basic(t))))
+    return _per_document(spark, sf_dir, lambda t: text.ids_to_text(text.text_to_ids(_spaced(t))))
 
 
 def _digit_sql(place: int) -> str:
@@ -221,25 +230,30 @@ def edit_script(spark, sf_dir):
 _PUNCT_SQL = lambda x: _strip_sql(rf"regexp_replace(regexp_replace({x}, '\p{{P}}+', '', 'g'), '  +', ' ', 'g')")
 
 
+def _char_codes_sql(x: str) -> str:
+    """One byte per character, as the SQL distance counts bytes."""
+    return f"array_to_string(list_transform(string_split({x}, ''), lambda c: chr(coalesce(list_position(abc, c), 127)::INT)), '')"
+
+
 @query(
     "punctuation_free_rates_t15",
     f"""WITH {PAIRS_SQL}, plain AS (
-      SELECT regexp_replace(strip_accents(prediction), '[^\\x00-\\x7F]', '', 'g') AS prediction,
-             regexp_replace(strip_accents(target), '[^\\x00-\\x7F]', '', 'g') AS target FROM pairs),
+      SELECT strip_accents(prediction) AS prediction, strip_accents(target) AS target FROM pairs),
     forms AS (SELECT {_PUNCT_SQL('prediction')} AS p, {_PUNCT_SQL('target')} AS t FROM plain),
     listed AS (SELECT *, regexp_extract_all(p, '\\S+') AS pw, regexp_extract_all(t, '\\S+') AS tw,
       regexp_replace(p, '\\s', '', 'g') AS pn, regexp_replace(t, '\\s', '', 'g') AS tn FROM forms),
     coded AS (
       SELECT *, array_to_string(list_transform(pw, lambda w: chr(coalesce(list_position(tw, w), 127)::INT)), '') AS pc,
-             array_to_string(list_transform(tw, lambda w: chr(list_position(tw, w)::INT)), '') AS tc FROM listed)
-    SELECT round(sum(levenshtein(p, t)) / sum(length(t)), 6) AS cer,
-           round(sum(levenshtein(pn, tn)) / sum(length(tn)), 6) AS cer_wo_space,
+             array_to_string(list_transform(tw, lambda w: chr(list_position(tw, w)::INT)), '') AS tc,
+             list_distinct(string_split(t, '')) AS abc FROM listed)
+    SELECT round(sum(levenshtein({_char_codes_sql('p')}, {_char_codes_sql('t')})) / sum(length(t)), 6) AS cer,
+           round(sum(levenshtein({_char_codes_sql('pn')}, {_char_codes_sql('tn')})) / sum(length(tn)), 6) AS cer_wo_space,
            round(sum(levenshtein(pc, tc)) / sum(len(tw)), 6) AS wer
     FROM coded""",
 )
 def punctuation_free_rates(spark, sf_dir):
     """Rates over texts without punctuation; micro-averaged over the pairs."""
-    plain = lambda c: F.regexp_replace(text.fold_accents(F.col(c)), r"[^\x00-\x7F]", "")
+    plain = lambda c: text.fold_accents(F.col(c))
     forms = turn_pairs(spark, sf_dir).select(
         text.drop_punctuation(plain("prediction")).alias("p"), text.drop_punctuation(plain("target")).alias("t")
     )

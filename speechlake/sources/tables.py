@@ -27,10 +27,18 @@ def scan_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     return files.select("path", "length")
 
 
-def scan_manifest(spark: SparkSession, root: str, pattern: str = "*.npz", style: str = "split") -> DataFrame:
-    """Files named ``…/data_type/session/data/kind/file`` with their keys."""
+def scan_manifest(spark: SparkSession, root: str, pattern: str = "*.npz", style: str = "split", foldered: bool = False) -> DataFrame:
+    """Files named ``…/data_type/session/data/kind/file`` with their keys.
+
+    With ``foldered`` a recording is a folder of that name with parts in it, as
+    partitioned writers leave it (``key=`` before a name does not count).
+    """
     p = F.col("path")
-    keyed = scan_files(spark, root, pattern).select(
+    files = scan_files(spark, root, pattern)
+    if foldered:
+        folder = F.regexp_replace(F.regexp_extract("path", "^(.*)/[^/]+$", 1), "/[a-z_]+=", "/")
+        files = files.groupBy(folder.alias("path")).agg(F.sum("length").alias("length"))
+    keyed = files.select(
         path_part(p, 5).alias("data_type"), path_part(p, 4).alias("session"), file_number(p, style).alias("data_num"),
         path_part(p, 2).alias("modality"), "path", "length",
     )
