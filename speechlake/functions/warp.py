@@ -6,7 +6,7 @@ left, so padding at the far ends never reaches a result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -54,7 +54,7 @@ def backtrack(total: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarr
 
 
 def _groups(shapes: list[tuple[int, int]]) -> Iterator[list[int]]:
-    """Runs of rows whose padded stack stays within a fixed number of cells."""
+    """Runs of pairs whose padded stack stays within a fixed number of cells."""
     group, height, width = [], 0, 0
     for at, (rows, cols) in enumerate(shapes):
         height, width = max(height, rows), max(width, cols)
@@ -66,27 +66,35 @@ def _groups(shapes: list[tuple[int, int]]) -> Iterator[list[int]]:
         yield group
 
 
-def _solve(matrices: list[np.ndarray]) -> Iterator[tuple[int, float, np.ndarray]]:
-    """(place, end cost, matched columns) of every matrix."""
-    for group in _groups([m.shape for m in matrices]):
-        rows = np.array([matrices[at].shape[0] for at in group])
-        cols = np.array([matrices[at].shape[1] for at in group])
+def _solve(shapes: list[tuple[int, int]], matrix: Callable[[int], np.ndarray]) -> Iterator[tuple[int, float, np.ndarray]]:
+    """(place, end cost, matched columns) of every pair.
+
+    ``matrix`` makes the costs of a pair when its group is solved, so no more
+    than one group of matrices exists at a time.
+    """
+    for group in _groups(shapes):
+        rows = np.array([shapes[at][0] for at in group])
+        cols = np.array([shapes[at][1] for at in group])
         stack = np.zeros((len(group), rows.max(), cols.max()))
         for slot, at in enumerate(group):
-            stack[slot, : rows[slot], : cols[slot]] = matrices[at]
+            stack[slot, : rows[slot], : cols[slot]] = matrix(at)
         total = warp(stack)
         matched = backtrack(total, rows.copy(), cols.copy())
         for slot, at in enumerate(group):
             yield at, float(total[slot, rows[slot] - 1, cols[slot] - 1]), matched[slot, : rows[slot]]
 
 
-def _matrices(rows: pd.Series) -> list[np.ndarray]:
-    return [np.array([np.asarray(r, dtype=float) for r in m]) for m in rows]
+def _matrix(rows) -> np.ndarray:
+    return np.array([np.asarray(r, dtype=float) for r in rows])
 
 
 def _distances(y: np.ndarray, p: np.ndarray) -> np.ndarray:
-    gaps = y[:, None, :] - p[None, :, :]
-    return np.sqrt((gaps * gaps).sum(axis=2))
+    """One dimension at a time, so no temporary is larger than the result."""
+    total = np.zeros((len(y), len(p)))
+    for d in range(y.shape[1]):
+        gap = y[:, d, None] - p[None, :, d]
+        total += gap * gap
+    return np.sqrt(total)
 
 
 def _log_softmax(scores: np.ndarray) -> np.ndarray:
@@ -98,11 +106,15 @@ def _log_softmax(scores: np.ndarray) -> np.ndarray:
 # nested lambda over an outer variable is not evaluated below a Python function.
 
 
+def _sized(rows: pd.Series, cols: pd.Series) -> list[tuple[int, int]]:
+    return [(len(r), len(c)) for r, c in zip(rows, cols)]
+
+
 @F.pandas_udf(DoubleType())
 def matrix_cost(costs: pd.Series) -> pd.Series:
     """End value of the accumulated cost of a matrix column."""
     made = [0.0] * len(costs)
-    for at, cost, _ in _solve(_matrices(costs)):
+    for at, cost, _ in _solve([(len(m), len(m[0])) for m in costs], lambda at: _matrix(costs.iloc[at])):
         made[at] = cost
     return pd.Series(made)
 
@@ -111,16 +123,26 @@ def matrix_cost(costs: pd.Series) -> pd.Series:
 def matrix_alignment(costs: pd.Series) -> pd.Series:
     """Matched column of every row of a matrix column."""
     made: list = [None] * len(costs)
-    for at, _, matched in _solve(_matrices(costs)):
+    for at, _, matched in _solve([(len(m), len(m[0])) for m in costs], lambda at: _matrix(costs.iloc[at])):
         made[at] = matched
     return pd.Series(made)
 
 
+@F.pandas_udf(ArrayType(ArrayType(DoubleType())))
+def distance_rows(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Euclidean distances of every step of ``a`` to every step of ``b``."""
+    return pd.Series([list(_distances(_matrix(x), _matrix(y))) for x, y in zip(a, b)])
+
+
+def _euclidean(target: pd.Series, pred: pd.Series) -> Callable[[int], np.ndarray]:
+    return lambda at: _distances(_matrix(target.iloc[at]), _matrix(pred.iloc[at]))
+
+
 @F.pandas_udf(DoubleType())
 def warp_cost(target: pd.Series, pred: pd.Series) -> pd.Series:
     """Accumulated Euclidean cost of two feature sequences."""
     made = [0.0] * len(target)
-    for at, cost, _ in _solve([_distances(y, p) for y, p in zip(_matrices(target), _matrices(pred))]):
+    for at, cost, _ in _solve(_sized(target, pred), _euclidean(target, pred)):
         made[at] = cost
     return pd.Series(made)
 
@@ -129,7 +151,7 @@ def warp_cost(target: pd.Series, pred: pd.Series) -> pd.Series:
 def align_rows(target: pd.Series, pred: pd.Series) -> pd.Series:
     """Predicted step for every target step of two feature sequences."""
     made: list = [None] * len(target)
-    for at, _, matched in _solve([_distances(y, p) for y, p in zip(_matrices(target), _matrices(pred))]):
+    for at, _, matched in _solve(_sized(target, pred), _euclidean(target, pred)):
         made[at] = matched
     return pd.Series(made)
 
@@ -143,15 +165,15 @@ def align_frames(phone_weight: float, noise: int | None, scale: float):
 
     @F.pandas_udf(ArrayType(IntegerType()))
     def align(pred: pd.Series, scores: pd.Series, target: pd.Series, phones: pd.Series) -> pd.Series:
-        costs = []
-        for p, s, y, labels in zip(_matrices(pred), _matrices(scores), _matrices(target), phones):
-            labels = np.asarray(labels, dtype=int)
-            phone_cost = phone_weight * -_log_softmax(s)[:, labels].T / scale
+        def costs(at: int) -> np.ndarray:
+            labels = np.asarray(phones.iloc[at], dtype=int)
+            phone_cost = phone_weight * -_log_softmax(_matrix(scores.iloc[at]))[:, labels].T / scale
             if noise is not None:
                 phone_cost[labels == noise] = 0.0
-            costs.append(0.5 * _distances(y, p) / scale + phone_cost)
+            return 0.5 * _distances(_matrix(target.iloc[at]), _matrix(pred.iloc[at])) / scale + phone_cost
+
         made: list = [None] * len(pred)
-        for at, _, matched in _solve(costs):
+        for at, _, matched in _solve(_sized(target, pred), costs):
             made[at] = matched
         return pd.Series(made)
 

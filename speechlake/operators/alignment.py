@@ -1,7 +1,7 @@
 """Frame alignment of predicted and target sequences.
 
-Pairs are independent rows: each holds two segments of bounded length (the
-corpus caps an utterance at a few seconds, longer ones are cut first).
+Pairs are independent rows that hold two whole sequences; the caller bounds
+their length, as batches do, and so the size of a row.
 """
 
 from __future__ import annotations
@@ -12,16 +12,10 @@ from pyspark.sql import functions as F
 from speechlake.functions import arrays, warp
 
 
-def segment_arrays(frames: DataFrame, key: str, length: int, columns: list[str]) -> DataFrame:
-    """Cut long frames (key, t, …) into segments of at most ``length`` array entries."""
+def sequence_arrays(frames: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """One row per sequence: its frames (key, t, …) as arrays in order."""
     packed = F.sort_array(F.collect_list(F.struct("t", *columns)))
-    segs = frames.groupBy(key, F.floor(F.col("t") / F.lit(length)).cast("int").alias("seg")).agg(packed.alias("_s"))
-    return segs.select(key, "seg", *[F.col(f"_s.{c}").alias(c) for c in columns])
-
-
-def distance_matrix(a: Column, b: Column) -> Column:
-    """Euclidean distance of every step of ``a`` to every step of ``b``."""
-    return F.transform(a, lambda x: F.transform(b, lambda y: arrays.distance(x, y)))
+    return frames.groupBy(key).agg(packed.alias("_s")).select(key, *[F.col(f"_s.{c}").alias(c) for c in columns])
 
 
 def aligned_distance(pred: DataFrame, target: DataFrame, keys: list[str], feature: str = "feat") -> DataFrame:
@@ -59,20 +53,20 @@ def align_pairs(
 
 def aligned_frames(aligned: DataFrame, keys: list[str], noise: int | None) -> DataFrame:
     """One row per target frame with its distance, nll, predicted and target phone."""
-    rows = aligned.select(
-        *keys, "silent", "feat", "scores",
-        F.posexplode(F.arrays_zip("y", "phones", "alignment")).alias("t", "f"),
-    )
-    at = F.col("f.alignment")
+    # The matched frames are gathered per pair, so a row that leaves holds one of each.
+    feat, scores = F.col("feat"), F.col("scores")
+    matched = F.transform("alignment", lambda i: F.struct(F.get(feat, i).alias("feat"), F.get(scores, i).alias("scores")))
+    gathered = aligned.select(*keys, "silent", F.arrays_zip("y", "phones", "alignment", matched.alias("m")).alias("_z"))
+    rows = gathered.select(*keys, "silent", F.posexplode("_z").alias("t", "f"))
     eps = F.when(F.col("silent"), 0.0).otherwise(1e-6)
-    gaps = F.zip_with(F.col("f.y"), F.get("feat", at), lambda y, p: y - p)
+    gaps = F.zip_with(F.col("f.y"), F.col("f.m.feat"), lambda y, p: y - p)
     dist = F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda s, g: s + (g + eps) * (g + eps)))
-    nll = arrays.cross_entropy(F.get("scores", at), F.col("f.phones"))
+    nll = arrays.cross_entropy(F.col("f.m.scores"), F.col("f.phones"))
     valid = F.lit(True) if noise is None else F.col("f.phones") != noise
     return rows.select(
-        *keys, "silent", "t", at.alias("pred_t"), dist.alias("dist"),
+        *keys, "silent", "t", F.col("f.alignment").alias("pred_t"), dist.alias("dist"),
         nll.alias("nll"),
-        arrays.argmax(F.get("scores", at)).alias("pred"), F.col("f.phones").alias("target"), valid.alias("valid"),
+        arrays.argmax(F.col("f.m.scores")).alias("pred"), F.col("f.phones").alias("target"), valid.alias("valid"),
     )
 
 

@@ -1,7 +1,9 @@
 """Sequence alignment queries.
 
-A pair is a 32-sample segment of an utterance (prediction) and the same segment
-of the next utterance (target); even utterances are silent, hence warped.
+A pair is an utterance (prediction) and the next one (target), both whole; even
+utterances are silent, hence warped. Voiced pairs are cut to their common length
+around the centre first, as recordings of one text are. Utterances of more than
+``MAX_FRAMES`` frames take no part, as in the batches.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechlake.functions import warp
+from speechlake.functions import arrays, warp
 from speechlake.operators import alignment as al
 from speechlake.operators import evaluation
 from speechlake.operators.chunks import chunk_of, spread
@@ -19,10 +21,11 @@ from speechlake.plans.corpus import PHONES, SAMPLES_SQL, samples, signal
 from speechlake.plans.registry import query
 from speechlake.sources.scratch import stored
 
-SEGMENT = 32
+# Eight seconds at 100 frames a second, the longest utterance of a batch.
+MAX_FRAMES = 800
 WEIGHT = 0.5
 NOISE_ID = PHONES.index("error")
-KEYS = ["utt", "seg"]
+KEYS = ["utt"]
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,76 +39,78 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored once: a pair reads the segments as prediction and as target."""
-    cut = al.segment_arrays(frames(spark, sf_dir), "utt", SEGMENT, ["feat", "phone", "scores"])
-    return stored(cut, "segments")
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored once: an utterance is read as prediction and as target."""
+    packed = al.sequence_arrays(frames(spark, sf_dir), "utt", ["feat", "phone", "scores"])
+    return stored(packed.where(F.size("feat") <= MAX_FRAMES), "sequences")
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segs = segments(spark, sf_dir)
-    pred = spread(segs.select("utt", "seg", "feat", "scores"), *KEYS)
-    target = segs.select((F.col("utt") - 1).alias("utt"), "seg", F.col("feat").alias("y"), F.col("phone").alias("phones"))
+    """Silent pairs as they are, voiced ones at the common length."""
+    seqs = sequences(spark, sf_dir)
+    pred = spread(seqs.select("utt", "feat", "scores"), *KEYS)
+    target = seqs.select((F.col("utt") - 1).alias("utt"), F.col("feat").alias("y"), F.col("phone").alias("phones"))
     both = pred.join(target, KEYS).withColumn("silent", F.col("utt") % 2 == 0)
     n = F.least(F.size("feat"), F.size("y"))
-    cut = lambda c: F.when(F.col("silent"), F.col(c)).otherwise(F.slice(c, F.lit(1), n))
+    cut = lambda c: F.when(F.col("silent"), F.col(c)).otherwise(arrays.center_trim(F.col(c), n))
     return both.select(*KEYS, "silent", *[cut(c).alias(c) for c in ("feat", "scores", "y", "phones")])
 
 
-PAIRS_SQL = f"""{SAMPLES_SQL}, fr AS (
-  SELECT utt, t // {SEGMENT} AS seg, (t % {SEGMENT})::INT AS i, value, value / 100 AS f0, k / 100 AS f1,
-    list_position({PHONES!r}, event_type) - 1 AS phone FROM samples),
-sz AS (SELECT utt, seg, count(*) AS n FROM fr GROUP BY 1, 2),
-pr AS (SELECT p.utt, p.seg, p.utt % 2 = 0 AS silent, CASE WHEN p.utt % 2 = 0 THEN p.n ELSE least(p.n, y.n) END AS n,
-    CASE WHEN p.utt % 2 = 0 THEN y.n ELSE least(p.n, y.n) END AS m FROM sz p JOIN sz y ON y.utt = p.utt + 1 AND y.seg = p.seg),
-sc AS (SELECT utt, seg, i, c, -abs(value - 20 * c) / 10 AS s FROM fr, (SELECT unnest(range({len(PHONES)})) AS c)),
-lse AS (SELECT utt, seg, i, ln(sum(exp(s))) AS l, (list(c ORDER BY s DESC, c))[1] AS best FROM sc GROUP BY 1, 2, 3),
+# A voiced side of n samples loses (n - common) // 2 of them at the start.
+PAIRS_SQL = f"""{SAMPLES_SQL}, sz AS (SELECT utt, count(*) AS n FROM samples GROUP BY 1 HAVING count(*) <= {MAX_FRAMES}),
+fr AS (
+  SELECT utt, t::INT AS i, value, value / 100 AS f0, k / 100 AS f1, list_position({PHONES!r}, event_type) - 1 AS phone FROM samples JOIN sz USING (utt)),
+pr AS (SELECT p.utt, p.utt % 2 = 0 AS silent, CASE WHEN p.utt % 2 = 0 THEN p.n ELSE least(p.n, y.n) END AS n,
+    CASE WHEN p.utt % 2 = 0 THEN y.n ELSE least(p.n, y.n) END AS m,
+    CASE WHEN p.utt % 2 = 0 THEN 0 ELSE (p.n - least(p.n, y.n)) // 2 END AS p0,
+    CASE WHEN p.utt % 2 = 0 THEN 0 ELSE (y.n - least(p.n, y.n)) // 2 END AS y0 FROM sz p JOIN sz y ON y.utt = p.utt + 1),
+pf AS (SELECT pr.utt, f.i - p0 AS i, f.i AS at, value, f0, f1 FROM pr JOIN fr f ON f.utt = pr.utt AND f.i >= p0 AND f.i < p0 + pr.n),
+yf AS (SELECT pr.utt, f.i - y0 AS i, f0, f1, phone FROM pr JOIN fr f ON f.utt = pr.utt + 1 AND f.i >= y0 AND f.i < y0 + pr.m),
+sc AS (SELECT utt, i, c, -abs(value - 20 * c) / 10 AS s FROM pf, (SELECT unnest(range({len(PHONES)})) AS c)),
+lse AS (SELECT utt, i, ln(sum(exp(s))) AS l, (list(c ORDER BY s DESC, c))[1] AS best FROM sc GROUP BY 1, 2),
 cells AS (
-  SELECT pr.utt, pr.seg, pr.silent, pr.n, pr.m, y.i AS t, p.i AS j, y.phone,
+  SELECT pr.utt, pr.silent, pr.n, pr.m, y.i AS t, p.i AS j, y.phone,
     sqrt((y.f0 - p.f0) * (y.f0 - p.f0) + (y.f1 - p.f1) * (y.f1 - p.f1)) AS dist, lse.l - sc.s AS nll, lse.best
-  FROM pr JOIN fr p ON p.utt = pr.utt AND p.seg = pr.seg AND p.i < pr.n
-  JOIN fr y ON y.utt = pr.utt + 1 AND y.seg = pr.seg AND y.i < pr.m
-  JOIN lse ON lse.utt = p.utt AND lse.seg = p.seg AND lse.i = p.i
-  JOIN sc ON sc.utt = p.utt AND sc.seg = p.seg AND sc.i = p.i AND sc.c = y.phone),
+  FROM pr JOIN pf p ON p.utt = pr.utt JOIN yf y ON y.utt = pr.utt
+  JOIN lse ON lse.utt = p.utt AND lse.i = p.i
+  JOIN sc ON sc.utt = p.utt AND sc.i = p.i AND sc.c = y.phone),
 costed AS (SELECT *, dist * 0.5 + CASE WHEN phone = {NOISE_ID} THEN 0 ELSE {WEIGHT} * nll END AS cost FROM cells)"""
 
 # Accumulated cost as a list of rows, then the way back one step at a time.
-WARP_SQL = f"""{PAIRS_SQL}, rows AS (SELECT utt, seg, n, m, t, list(cost ORDER BY j) AS r FROM costed WHERE silent GROUP BY ALL),
-mats AS (SELECT utt, seg, n, m, list(r ORDER BY t) AS c FROM rows GROUP BY ALL),
-acc AS (SELECT utt, seg, n, m, list_reduce(list_transform(c[2:], lambda r: [r]), lambda a, r:
+WARP_SQL = f"""{PAIRS_SQL}, rows AS (SELECT utt, n, m, t, list(cost ORDER BY j) AS r FROM costed WHERE silent GROUP BY ALL),
+mats AS (SELECT utt, n, m, list(r ORDER BY t) AS c FROM rows GROUP BY ALL),
+acc AS (SELECT utt, n, m, list_reduce(list_transform(c[2:], lambda r: [r]), lambda a, r:
     list_append(a, list_reduce(range(2, n + 1), lambda row, j:
       list_append(row, r[1][j] + least(a[-1][j], row[j - 1], a[-1][j - 1])), ['inf'::DOUBLE])),
     [list_concat([0::DOUBLE], list_transform(range(1, n), lambda x: 'inf'::DOUBLE))]) AS d FROM mats),
 back AS (
-  SELECT utt, seg, m - 1 AS i, n - 1 AS j FROM acc
+  SELECT utt, m - 1 AS i, n - 1 AS j FROM acc
   UNION ALL
-  SELECT b.utt, b.seg, CASE WHEN up <= least(side, diag) OR diag < side THEN b.i - 1 ELSE b.i END,
+  SELECT b.utt, CASE WHEN up <= least(side, diag) OR diag < side THEN b.i - 1 ELSE b.i END,
     CASE WHEN up <= least(side, diag) THEN b.j ELSE b.j - 1 END
   FROM (SELECT b.*, d[b.i][b.j + 1] AS up, d[b.i + 1][b.j] AS side, d[b.i][b.j] AS diag
-    FROM back b JOIN acc USING (utt, seg) WHERE b.i > 0 AND b.j > 0) b),
-hits AS (SELECT utt, seg, i AS t, min(j) AS j FROM back WHERE i > 0 AND j > 0 GROUP BY 1, 2, 3),
+    FROM back b JOIN acc USING (utt) WHERE b.i > 0 AND b.j > 0) b),
+hits AS (SELECT utt, i AS t, min(j) AS j FROM back WHERE i > 0 AND j > 0 GROUP BY 1, 2),
 matches AS (
-  SELECT g.utt, g.seg, g.t, coalesce(h.j, 0) AS j FROM (SELECT utt, seg, unnest(range(m)) AS t FROM acc) g LEFT JOIN hits h USING (utt, seg, t)
-  UNION ALL SELECT utt, seg, t, t FROM (SELECT utt, seg, unnest(range(m)) AS t FROM pr WHERE NOT silent)),
-voiced AS (SELECT p.utt, p.seg, p.i AS t, sqrt(power(y.f0 - p.f0 + 1e-6, 2) + power(y.f1 - p.f1 + 1e-6, 2)) AS vdist
-  FROM fr p JOIN fr y ON y.utt = p.utt + 1 AND y.seg = p.seg AND y.i = p.i),
+  SELECT g.utt, g.t, coalesce(h.j, 0) AS j FROM (SELECT utt, unnest(range(m)) AS t FROM acc) g LEFT JOIN hits h USING (utt, t)
+  UNION ALL SELECT utt, t, t FROM (SELECT utt, unnest(range(m)) AS t FROM pr WHERE NOT silent)),
+voiced AS (SELECT p.utt, p.i AS t, sqrt(power(y.f0 - p.f0 + 1e-6, 2) + power(y.f1 - p.f1 + 1e-6, 2)) AS vdist
+  FROM pf p JOIN yf y ON y.utt = p.utt AND y.i = p.i),
 frames AS (
-  SELECT c.utt, c.seg, c.silent, c.t, c.j, CASE WHEN c.silent THEN c.dist ELSE v.vdist END AS dist, c.nll, c.best AS pred,
+  SELECT c.utt, c.silent, c.t, c.j, CASE WHEN c.silent THEN c.dist ELSE v.vdist END AS dist, c.nll, c.best AS pred,
     c.phone AS target, c.phone <> {NOISE_ID} AS valid
-  FROM matches m JOIN costed c ON c.utt = m.utt AND c.seg = m.seg AND c.t = m.t AND c.j = m.j
-  LEFT JOIN voiced v ON v.utt = c.utt AND v.seg = c.seg AND v.t = c.t)"""
+  FROM matches m JOIN costed c ON c.utt = m.utt AND c.t = m.t AND c.j = m.j
+  LEFT JOIN voiced v ON v.utt = c.utt AND v.t = c.t)"""
 
 
 @query(
     "distance_matrix_j10",
-    f"""WITH {PAIRS_SQL} SELECT utt, seg::INT AS seg, j AS pred_t, round(min(dist), 6) AS nearest, round(sum(dist), 5) AS total
-    FROM cells GROUP BY 1, 2, 3""",
+    f"""WITH {PAIRS_SQL} SELECT utt, j AS pred_t, round(min(dist), 6) AS nearest, round(sum(dist), 5) AS total
+    FROM cells GROUP BY 1, 2""",
 )
 def distance_matrix(spark, sf_dir):
-    """All distances inside a bounded pair, reported per predicted frame."""
-    rows = pairs(spark, sf_dir).select(
-        *KEYS, F.posexplode(al.distance_matrix(F.col("feat"), F.col("y"))).alias("pred_t", "row")
-    )
+    """All distances inside a pair, reported per predicted frame."""
+    rows = pairs(spark, sf_dir).select(*KEYS, F.posexplode(warp.distance_rows("feat", "y")).alias("pred_t", "row"))
     total = F.aggregate("row", F.lit(0.0), lambda s, x: s + x)
     return rows.select(*KEYS, "pred_t", F.round(F.array_min("row"), 6).alias("nearest"), F.round(total, 5).alias("total"))
 
@@ -128,14 +133,14 @@ def silent_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PLAIN_WARP_SQL = "WITH RECURSIVE " + WARP_SQL.replace("list(cost ORDER BY j)", "list(dist ORDER BY j)")
 
 
-@query("warp_cost_d1", f"{_PLAIN_WARP_SQL} SELECT utt, seg::INT AS seg, round(CASE WHEN n = 1 AND m > 1 OR m = 1 AND n > 1 THEN 'inf'::DOUBLE ELSE d[-1][-1] END, 6) AS cost FROM acc")
+@query("warp_cost_d1", f"{_PLAIN_WARP_SQL} SELECT utt, round(CASE WHEN n = 1 AND m > 1 OR m = 1 AND n > 1 THEN 'inf'::DOUBLE ELSE d[-1][-1] END, 6) AS cost FROM acc")
 def warp_cost(spark, sf_dir):
     return silent_pairs(spark, sf_dir).select(*KEYS, F.round(warp.warp_cost("y", "feat"), 6).alias("cost"))
 
 
 @query(
     "align_rows_d2",
-    f"{_PLAIN_WARP_SQL} SELECT m.utt, m.seg::INT AS seg, m.t::INT AS t, m.j::INT AS pred_t FROM matches m WHERE m.utt % 2 = 0",
+    f"{_PLAIN_WARP_SQL} SELECT m.utt, m.t::INT AS t, m.j::INT AS pred_t FROM matches m WHERE m.utt % 2 = 0",
 )
 def align_rows(spark, sf_dir):
     aligned = silent_pairs(spark, sf_dir).withColumn("a", warp.align_rows("y", "feat"))
@@ -149,8 +154,8 @@ def aligned_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "pair_scores_d3",
-    f"""WITH RECURSIVE {WARP_SQL} SELECT utt, seg::INT AS seg, round(sum(dist * 0.5 + CASE WHEN valid THEN {WEIGHT} * nll ELSE 0 END), 5) AS cost,
-      round(sum(dist), 5) AS dist, round(sum(CASE WHEN valid THEN nll ELSE 0 END), 5) AS nll, count(*) AS frames FROM frames GROUP BY 1, 2""",
+    f"""WITH RECURSIVE {WARP_SQL} SELECT utt, round(sum(dist * 0.5 + CASE WHEN valid THEN {WEIGHT} * nll ELSE 0 END), 5) AS cost,
+      round(sum(dist), 5) AS dist, round(sum(CASE WHEN valid THEN nll ELSE 0 END), 5) AS nll, count(*) AS frames FROM frames GROUP BY 1""",
 )
 def pair_scores(spark, sf_dir):
     scores = al.pair_scores(aligned_frames(spark, sf_dir), KEYS, WEIGHT)
@@ -159,16 +164,16 @@ def pair_scores(spark, sf_dir):
 
 @query(
     "alignment_gather_j11",
-    f"""WITH RECURSIVE {WARP_SQL} SELECT m.utt, m.seg::INT AS seg, m.t::INT AS t, m.j::INT AS pred_t, p.value
-    FROM matches m JOIN fr p ON p.utt = m.utt AND p.seg = m.seg AND p.i = m.j""",
+    f"""WITH RECURSIVE {WARP_SQL} SELECT m.utt, m.t::INT AS t, m.j::INT AS pred_t, round(p.value, 6) AS value
+    FROM matches m JOIN pf p ON p.utt = m.utt AND p.i = m.j""",
 )
 def alignment_gather(spark, sf_dir):
     """The predicted sample behind every target frame, by an equality join."""
     matches = aligned_frames(spark, sf_dir).select(*KEYS, "t", "pred_t")
-    pred = samples(spark, sf_dir).select(
-        "utt", F.floor(F.col("t") / SEGMENT).cast("int").alias("seg"), (F.col("t") % SEGMENT).alias("t"), "value"
-    )
-    return al.gather(pred, matches, KEYS)
+    both = pairs(spark, sf_dir)
+    # The first feature is a hundredth of the value.
+    pred = both.select(*KEYS, F.posexplode("feat").alias("t", "f")).select(*KEYS, "t", (F.get("f", F.lit(0)) * 100).alias("value"))
+    return al.gather(pred, matches, KEYS).withColumn("value", F.round("value", 6))
 
 
 @query(
@@ -210,12 +215,12 @@ def channel_extension(spark, sf_dir):
 
 @query(
     "pair_extension_u2",
-    f"""WITH {PAIRS_SQL} SELECT utt, seg::INT AS seg, m AS frames FROM pr""",
+    f"""WITH {PAIRS_SQL} SELECT utt, m AS frames FROM pr""",
 )
 def pair_extension(spark, sf_dir):
     """A user scorer per pair."""
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"utt": pdf["utt"], "seg": pdf["seg"], "frames": pdf["y"].map(len)})
+        return pd.DataFrame({"utt": pdf["utt"], "frames": pdf["y"].map(len)})
 
-    return al.score_pairs(pairs(spark, sf_dir).select(*KEYS, "y"), count, KEYS, "utt long, seg int, frames long")
+    return al.score_pairs(pairs(spark, sf_dir).select(*KEYS, "y"), count, KEYS, "utt long, frames long")
