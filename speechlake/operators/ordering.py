@@ -1,13 +1,15 @@
 """Positions and running totals that survive a hot key.
 
 A plain ``row_number() over (partition by key)`` sends every row of a key to
-one task. Here the heaviest keys are cut into consecutive buckets of the order
-column first; the window runs inside (key, bucket) and the totals of the
-earlier buckets are added afterwards. The large input is shuffled once.
-
-Both side tables have a fixed bound: at most ``MAX_HOT_KEYS`` keys are split (any
-other key holds less than 1/MAX_HOT_KEYS of the rows) and all of them together
-get at most ``2 * MAX_BUCKETS`` buckets, so both may be broadcast.
+one task. Here a key of more than ``HOT_ROWS`` rows is first cut at quantiles of
+the order column, taken from a sketch of that key, into as many buckets as its
+rows call for; the window runs inside (key, bucket) and the totals of the
+earlier buckets are added afterwards. Where no key is hot, the plain window is
+the whole plan.
+
+The table of hot keys has at most one cut per ``HOT_ROWS`` rows of the data; it
+and the bucket totals are written out, so the planner knows their size and
+broadcasts them only if they are small.
 """
 
 from __future__ import annotations
@@ -16,42 +18,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-MAX_HOT_KEYS = 4096
-MAX_BUCKETS = 4096
-HOT_ROWS = 1 << 20
-
+from speechlake.functions.let import let
+from speechlake.sources.scratch import stored
 
-def _hot_keys(df: DataFrame, keys: list[str], position: Column, hot_rows: int) -> DataFrame:
-    """Keys to split, with the value range of the position and a bucket count."""
-    per_key = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min(position).alias("_lo"),
-        F.max(position).alias("_hi"),
-    )
-    top = per_key.orderBy(F.col("_n").desc()).limit(MAX_HOT_KEYS).where(F.col("_n") > hot_rows)
-    share = F.col("_n") / F.sum("_n").over(Window.partitionBy(F.lit(0)))
-    wanted = F.ceil(F.col("_n") / F.lit(hot_rows))
-    return top.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        "_lo",
-        "_hi",
-        F.least(wanted, F.ceil(share * MAX_BUCKETS)).cast("int").alias("_buckets"),
-    )
+HOT_ROWS = 1 << 20
 
 
-def _bucketed(df: DataFrame, keys: list[str], position: Column, hot_rows: int) -> DataFrame:
-    hot = F.broadcast(_hot_keys(df, keys, position, hot_rows))
-    on = [F.col(k) == F.col(f"_k_{k}") for k in keys]
-    width = (F.col("_hi") - F.col("_lo")).cast("double") + 1.0
-    slot = F.floor((position - F.col("_lo")).cast("double") / width * F.col("_buckets"))
+def _hot_keys(df: DataFrame, keys: list[str], position: Column, hot_rows: int) -> DataFrame | None:
+    """Keys to split and their cuts in order, in runs of about equal number."""
+    counts = stored(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows), "hot-keys")
+    largest = counts.agg(F.max("_n")).first()[0]
+    if largest is None:
+        return None
+    buckets = -(-largest // hot_rows)
+    run = int(buckets**0.5) + 1
+    named = counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    sketch = F.percentile_approx(F.col("_at"), shares, max(10_000, 4 * buckets))
+    cuts = F.array_sort(F.array_distinct("_cuts"))
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("_cuts") - 1) / run).cast("int")), lambda i: F.slice("_cuts", i * run + 1, run))
+    made = df.withColumn("_at", position.cast("double")).join(named, on, "left_semi").groupBy(*keys).agg(sketch.alias("_cuts"))
+    return stored(made.withColumn("_cuts", cuts).select(*[F.col(k).alias(f"_k_{k}") for k in keys], runs.alias("_runs"), F.lit(run).alias("_run")), "cuts")
+
+
+def _bucketed(df: DataFrame, keys: list[str], position: Column, hot: DataFrame) -> DataFrame:
+    """Adds ``_bucket``: how many cuts of its key lie below the position."""
+    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    at = position.cast("double")
+    full = F.size(F.filter("_runs", lambda r: F.element_at(r, -1) < at))
+    part = lambda n: n * F.col("_run") + F.size(F.filter(F.coalesce(F.get("_runs", n), F.array().cast("array<double>")), lambda c: c < at))
+    slot = F.when(F.col("_runs").isNull() | at.isNull(), 0).otherwise(let(full, part))
     return (
         df.join(hot, on, "left")
-        .withColumn("_split", F.col("_buckets").isNotNull())
-        .withColumn(
-            "_bucket",
-            F.coalesce(F.least(slot, F.col("_buckets") - 1), F.lit(0)).cast("int"),
-        )
-        .drop("_lo", "_hi", "_buckets", *[f"_k_{k}" for k in keys])
+        .withColumn("_split", F.col("_runs").isNotNull())
+        .withColumn("_bucket", slot.cast("int"))
+        .drop("_runs", "_run", *[f"_k_{k}" for k in keys])
     )
 
 
@@ -68,32 +70,23 @@ def _with_total(
     added = not keys
     if added:
         df, keys = df.withColumn("_all", F.lit(0)), ["_all"]
-    rows = _bucketed(df.withColumn("_w", weight), keys, position, hot_rows)
-    totals = (
-        rows.where("_split")
-        .groupBy(*keys, "_bucket")
-        .agg(F.sum("_w").alias("_total"))
-        .withColumn(
-            "_before",
-            F.sum("_total").over(
-                Window.partitionBy(*keys)
-                .orderBy("_bucket")
-                .rowsBetween(Window.unboundedPreceding, -1)
-            ),
-        )
-        .select(*keys, "_bucket", "_before")
-    )
-    local = (
-        Window.partitionBy(*keys, "_bucket")
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
     zero = F.lit(0)
+    earlier = lambda *by: Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    hot = _hot_keys(df, keys, position, hot_rows)
+    weighed = df.withColumn("_w", weight)
+    if hot is None:
+        out = weighed.withColumn(name, F.coalesce(F.sum("_w").over(earlier(*keys)), zero)).drop("_w")
+        return out.drop("_all") if added else out
+    rows = _bucketed(weighed, keys, position, hot)
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.where("_split").groupBy(*keys, "_bucket").agg(F.sum("_w").alias("_total"))
+    totals = stored(totals.withColumn("_before", F.sum("_total").over(before)).select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bucket").alias("_of"), "_before"), "bucket-totals")
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_bucket") == F.col("_of")]
     out = (
-        rows.withColumn("_local", F.coalesce(F.sum("_w").over(local), zero))
-        .join(F.broadcast(totals), [*keys, "_bucket"], "left")
+        rows.withColumn("_local", F.coalesce(F.sum("_w").over(earlier(*keys, "_bucket")), zero))
+        .join(totals, same, "left")
         .withColumn(name, F.col("_local") + F.coalesce("_before", zero))
-        .drop("_w", "_bucket", "_split", "_local", "_before")
+        .drop("_w", "_bucket", "_split", "_local", "_before", "_of", *[f"_k_{k}" for k in keys])
     )
     return out.drop("_all") if added else out
 

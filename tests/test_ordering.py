@@ -36,6 +36,13 @@ def test_running_offset(skewed, hot_rows):
         total += at
 
 
+def test_an_outlier_does_not_fill_one_bucket(spark):
+    df = spark.range(100_000).select(F.lit("k").alias("key"), F.when(F.col("id") == 7, 10**15).otherwise(F.col("id")).alias("at"))
+    hot = ordering._hot_keys(df, ["key"], F.col("at"), 1000)
+    sizes = [r["count"] for r in ordering._bucketed(df, ["key"], F.col("at"), hot).groupBy("_bucket").count().collect()]
+    assert len(sizes) > 80 and max(sizes) < 2500
+
+
 def test_split_is_the_same_with_hot_sessions(spark):
     keys = spark.createDataFrame([("s1", n) for n in range(200)] + [("s2", n) for n in range(3)] + [("s3", 1)], "session string, data_num int")
     plain = manifest.assign_splits(keys, (0.85, 0.075, 0.075))
