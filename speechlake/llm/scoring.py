@@ -37,9 +37,11 @@ from speechlake.sources.scratch import stored
 MIN_COUNT = 2
 BACKOFF = 0.4
 HOT_WORDS = 262144
-# Pairs that a bucket should hold, and documents of one block (a 16-bit index).
+# Pairs that a bucket should hold, and documents (a 16-bit index) and words of
+# one block; a longer document is a block of its own.
 BUCKET = 1_000_000
 BLOCK = 30_000
+BLOCK_WORDS = 800_000
 UNIT = 2**20
 # All word hashes have bit 62, so the start mark is no word.
 _WORD_BIT, _START = 1 << 62, 0
@@ -152,10 +154,13 @@ def _pairs(buckets: int, hot, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
+            ends, at = batch.column(1).offsets.to_numpy(), 0
+            while at < batch.num_rows:
+                fits = int(np.searchsorted(ends, ends[at] + BLOCK_WORDS, "right")) - 1 - at
+                part = batch.slice(at, min(max(fits, 1), BLOCK))
                 yield from block(part, base)
                 base += part.num_rows
+                at += part.num_rows
 
     return run
 
