@@ -35,12 +35,14 @@ from pyspark.sql import functions as F
 
 from speechlake.functions.let import let
 from speechlake.llm.common import query, ship, table
-from speechlake.llm.tokencounts import HELD, PLAIN, frequent
+from speechlake.llm.tokencounts import PLAIN, frequent
 from speechlake.sources.scratch import stored
 
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
-HOT_UNITS = 131072
+HOT_UNITS = 65536
+# Distinct units that a task holds before it passes them on.
+HELD = 150_000
 # Characters of a unit whose substrings one row carries.
 SEGMENT = 256
 
@@ -102,63 +104,70 @@ def _distinct_units(model: str):
 def substrings_of(units: DataFrame, longest: int) -> DataFrame:
     """``uid, unit, n, start, end, piece``: all substrings of up to ``longest``
     characters, with ``unit`` and ``n`` on the first of a unit only."""
-    unit = F.col("unit")
+    unit, part, at = F.col("unit"), F.col("s.part"), F.col("at")
     segments = F.transform(
         F.sequence(F.lit(0), F.floor((F.length(unit) - 1) / SEGMENT).cast("int")),
         lambda s: F.struct((s * SEGMENT).alias("first"), F.substring(unit, s * SEGMENT + 1, F.lit(SEGMENT + longest - 1)).alias("part")),
     )
-
-    def substrings(part: Column, first: Column) -> Column:
-        def from_start(i: Column) -> Column:
-            sizes = F.sequence(F.lit(1), F.least(F.lit(longest), F.length(part) - i))
-            return F.transform(sizes, lambda j: F.struct((first + i).alias("start"), (first + i + j).alias("end"), F.substring(part, i + 1, j).alias("piece")))
-
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.least(F.lit(SEGMENT), F.length(part)) - 1), from_start))
-
-    cuts = (
+    opening = (F.col("s.first") == 0) & (at == 0)
+    # Two plain explodes stay in generated code; nested lambdas would not.
+    starts = (
         units.repartition("uid")
         .select("uid", "unit", "n", F.explode(segments).alias("s"))
-        .select("uid", F.when(F.col("s.first") == 0, unit).alias("unit"), "n", F.explode(substrings(F.col("s.part"), F.col("s.first"))).alias("e"))
+        .select("uid", F.when(F.col("s.first") == 0, unit).alias("unit"), "n", "s", F.explode(F.sequence(F.lit(0), F.least(F.lit(SEGMENT), F.length(part)) - 1)).alias("at"))
+        .select("uid", F.when(opening, unit).alias("unit"), F.when(opening, F.col("n")).alias("n"), F.col("s.first").alias("first"), part.alias("part"), "at")
+    )
+    part, start = F.col("part"), F.col("first") + at
+    sizes = F.sequence(F.lit(1), F.least(F.lit(longest), F.length(part) - at))
+    cuts = starts.select("uid", "unit", "n", start.alias("start"), "at", "part", F.explode(sizes).alias("size"))
+    head = F.col("size") == 1
+    return cuts.select(
+        "uid",
+        F.when(head, unit).alias("unit"),
+        F.when(head, F.col("n")).alias("n"),
+        "start",
+        (F.col("start") + F.col("size")).alias("end"),
+        F.substring(part, at + 1, F.col("size")).alias("piece"),
     )
-    first = (F.col("e.start") == 0) & (F.col("e.end") == 1)
-    return cuts.select("uid", F.when(first, unit).alias("unit"), F.when(first, F.col("n")).alias("n"), "e.start", "e.end", "e.piece")
 
 
-def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
+def lattice(units: DataFrame, pieces: DataFrame, longest: int, least: float) -> DataFrame:
     """The edges ``uid, unit, n, start, end, id, score``. An edge without a
-    piece is one character; its id is minus its end, so minus its place from 1."""
+    piece is one character; its id is minus its end, so minus its place from 1,
+    and its score ``least``."""
+    theirs = pieces.select(F.xxhash64("piece").alias("_hash"), F.col("piece").alias("_piece"), "id", "score")
+    same = (F.xxhash64("piece") == F.col("_hash")) & (F.col("piece") == F.col("_piece"))
     # The piece table is the model file's vocabulary, so its size is fixed.
-    edges = substrings_of(units, longest).join(F.broadcast(pieces), "piece", "left").where("id IS NOT NULL OR end = start + 1")
-    least = pieces.agg((F.min(F.when(F.col("score") > -1e8, F.col("score"))) - 10).alias("least"))  # one row
-    return edges.join(F.broadcast(least)).select(
-        "uid", "unit", "n", "start", "end", F.coalesce("id", -F.col("end")).alias("id"), F.coalesce("score", "least").alias("score")
-    )
+    edges = substrings_of(units, longest).join(F.broadcast(theirs), same, "left").where("id IS NOT NULL OR end = start + 1")
+    return edges.select("uid", "unit", "n", "start", "end", F.coalesce("id", -F.col("end")).alias("id"), F.coalesce("score", F.lit(least)).alias("score"))
 
 
 def best_path(edges: Column) -> Column:
     """Ids along the best path; ``edges`` are ``end, start, id, score``.
 
-    In the order of their ends, the edges of one end choose the best entry
+    In the order of their ends, the edges of one end choose the best way there
     (sum, start, id), which joins the list when the end changes.
     """
-    entry = "struct<sum:double,start:int,id:int>"
-    none = F.lit(None).cast(entry)
+    way = "struct<sum:double,start:int,id:int>"
+    of = lambda s: F.struct(s["sum"].alias("sum"), s["start"].alias("start"), s["id"].alias("id"))
 
     def step(state: Column, e: Column) -> Column:
-        # Entry k of ``done`` is the best way to position k.
-        done = F.when(e["end"] == state["end"], state["done"]).otherwise(F.array_append(state["done"], state["best"]))
-        best = F.when(e["end"] == state["end"], state["best"])
-
-        def chosen(done: Column) -> Column:
-            total = F.get(done, e["start"])["sum"] + e["score"]
-            new = F.struct(total.alias("sum"), e["start"].alias("start"), e["id"].alias("id"))
-            return F.struct(done.alias("done"), F.when(best.isNull() | (total > best["sum"]), new).otherwise(best).alias("best"), e["end"].alias("end"))
-
-        return let(done, chosen)
-
-    origin = F.struct(F.lit(0.0).alias("sum"), F.lit(-1).alias("start"), F.lit(0).alias("id"))
-    start = F.struct(F.array().cast(f"array<{entry}>").alias("done"), origin.cast(entry).alias("best"), F.lit(0).alias("end"))
-    ways = F.aggregate(F.array_sort(edges), start, step, lambda s: F.array_append(s["done"], F.coalesce(s["best"], none)))
+        # Entry k of ``done`` is the best way to position k; the last is still in the state.
+        same = e["end"] == state["end"]
+        before = F.when(e["start"] == state["end"], state["sum"]).otherwise(F.get(state["done"], e["start"])["sum"])
+        better = ~same | (before + e["score"] > state["sum"])
+        return F.struct(
+            F.when(same, state["done"]).otherwise(F.array_append(state["done"], of(state))).alias("done"),
+            e["end"].alias("end"),
+            F.when(better, before + e["score"]).otherwise(state["sum"]).alias("sum"),
+            F.when(better, e["start"]).otherwise(state["start"]).alias("start"),
+            F.when(better, e["id"]).otherwise(state["id"]).alias("id"),
+        )
+
+    start = F.struct(
+        F.array().cast(f"array<{way}>").alias("done"), F.lit(0).alias("end"), F.lit(0.0).alias("sum"), F.lit(-1).alias("start"), F.lit(0).alias("id")
+    )
+    ways = F.aggregate(F.array_sort(edges), start, step, lambda s: F.array_append(s["done"], of(s)))
 
     def back(state: Column, way: Column) -> Column:
         # The ways are met from the last to the first; those on the path count.
@@ -192,7 +201,9 @@ def encode_units(docs: DataFrame, model: str = MODEL, text: str = "text") -> Dat
     pieces = spark.createDataFrame(known, "piece string, id int, score double")
     found = docs.select(F.col(text).cast("string")).mapInArrow(_distinct_units(model), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     units = stored(found.select(F.monotonically_increasing_id().alias("uid"), F.col("piece").alias("unit"), "n"), "units")
-    edges = lattice(units, pieces, max(len(p) for p, _, _ in known))
+    # A character without a piece costs more than any piece (but for those the file rules out).
+    least = min(score for _, _, score in known if score > -1e8) - 10
+    edges = lattice(units, pieces, max(len(p) for p, _, _ in known), least)
     grouped = edges.groupBy("uid").agg(
         F.collect_list(F.struct("end", "start", "id", "score")).alias("edges"), F.max("unit").alias("piece"), F.max("n").alias("n")
     )
@@ -200,10 +211,10 @@ def encode_units(docs: DataFrame, model: str = MODEL, text: str = "text") -> Dat
     return grouped.select("piece", "n", ids.alias("ids"))
 
 
-def _pack(ids: np.ndarray) -> bytes:
-    import zstandard
-
-    return zstandard.compress(ids.astype(np.int32).tobytes(), 3)
+def _wide(model: str) -> tuple[type, int]:
+    """The type of packed ids, and the value that marks a hole."""
+    kind = np.uint16 if processor(model).get_piece_size() < 2**16 else np.uint32
+    return kind, int(np.iinfo(kind).max)
 
 
 def _rare_units(model: str, hot):
@@ -219,48 +230,58 @@ def _rare_units(model: str, hot):
 
 
 def _packed(model: str, hot):
-    """Ids of a document; minus k is the k-th of its distinct rare units."""
+    """Packed ids of a document with a hole for every rare unit, and which of
+    its distinct rare units (from 1) each hole is."""
+    import zstandard
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, known = unit_cutter(model), hot.value
+        kind, mark = _wide(model)
+        hole = np.array([mark], kind).tobytes()
+        pack = zstandard.ZstdCompressor(level=5).compress
         for batch in batches:
-            out = []
-            for value in batch.column(batch.num_columns - 1):
-                ids: list[int] = []
+            out, holes, ends = [], [], [0]
+            for value in batch.column(2):
+                parts: list[bytes] = []
                 rare: dict[str, int] = {}
                 for unit in cut(value.as_py()):
-                    got = known.get(unit)
-                    if got is None:
-                        ids.append(-rare.setdefault(unit, len(rare) + 1))
-                    else:
-                        ids.extend(got)
-                out.append(_pack(np.array(ids, np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.binary())], [*batch.schema.names[:-1], "packed"])
+                    ids = known.get(unit)
+                    if ids is None:
+                        ids = hole
+                        holes.append(rare.setdefault(unit, len(rare) + 1))
+                    parts.append(ids)
+                out.append(pack(b"".join(parts)))
+                ends.append(len(holes))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(holes, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.binary()), lists], ["doc_id", "text_key", "packed", "holes"])
 
     return run
 
 
-def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Puts the rare units' ids into their places."""
+def _filled(model: str):
+    """Puts the rare units' ids into their holes."""
     import zstandard
 
-    for batch in batches:
-        lists = []
-        for packed, numbers, found in zip(batch.column("packed"), batch.column("numbers"), batch.column("found")):
-            ids = np.frombuffer(zstandard.decompress(packed.as_py()), np.int32)
-            if numbers.is_valid:
-                own = dict(zip(numbers.as_py(), found.as_py()))
-                holes = np.flatnonzero(ids < 0)
-                parts, at = [], 0
-                for hole in holes:
-                    parts += [ids[at:hole], np.array(own[int(-ids[hole])], np.int32)]
-                    at = hole + 1
-                ids = np.concatenate([*parts, ids[at:]])
-            lists.append(pa.array(ids, pa.int32()))
-        ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
-        values = pa.concat_arrays(lists) if lists else pa.array([], pa.int32())
-        keep = [n for n in batch.schema.names if n not in ("packed", "numbers", "found")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.ListArray.from_arrays(pa.array(ends), values)], [*keep, "ids"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, mark = _wide(model)
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            lists = []
+            for packed, holes, numbers, found in zip(*(batch.column(n) for n in ("packed", "holes", "numbers", "found"))):
+                ids = np.frombuffer(unpack(packed.as_py()), kind).astype(np.int32)
+                if numbers.is_valid:
+                    own = dict(zip(numbers.as_py(), (np.array(f, np.int32) for f in found.as_py())))
+                    parts, at = [], 0
+                    for place, number in zip(np.flatnonzero(ids == mark), holes.as_py()):
+                        parts += [ids[at:place], own[number]]
+                        at = place + 1
+                    ids = np.concatenate([*parts, ids[at:]])
+                lists.append(ids)
+            ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+            values = pa.array(np.concatenate([np.zeros(0, np.int32), *lists]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.ListArray.from_arrays(pa.array(ends), values)], ["doc_id", "text_key", "ids"])
+
+    return run
 
 
 def encode(docs: DataFrame, model: str = MODEL, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -268,7 +289,8 @@ def encode(docs: DataFrame, model: str = MODEL, doc_id: str = "doc_id", text: st
     spark = docs.sparkSession
     ship(spark)
     units = stored(encode_units(docs, model, text), "unit-ids")
-    hot = spark.sparkContext.broadcast({r.piece: tuple(r.ids) for r in frequent(units, HOT_UNITS).select("piece", "ids").collect()})
+    kind = _wide(model)[0]
+    hot = spark.sparkContext.broadcast({r.piece: np.array(r.ids, kind).tobytes() for r in frequent(units, HOT_UNITS).select("piece", "ids").collect()})
     id_type = docs.schema[doc_id].dataType.simpleString()
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_key"), F.col(text).cast("string").alias("text"))
     columns = f"doc_id {id_type}, text_key long"
@@ -276,10 +298,10 @@ def encode(docs: DataFrame, model: str = MODEL, doc_id: str = "doc_id", text: st
     rare = rare.select("doc_id", "text_key", F.posexplode("rare").alias("k", "piece")).join(units.select("piece", "ids"), "piece")
     own = rare.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct((F.col("k") + 1).alias("k"), "ids")).alias("own"))
     own = own.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("own.k").alias("numbers"), F.col("own.ids").alias("found"))
-    packed = keyed.mapInArrow(_packed(model, hot), f"{columns}, packed binary")
+    packed = keyed.mapInArrow(_packed(model, hot), f"{columns}, packed binary, holes array<int>")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
-    joined = packed.join(own, same, "left").select("doc_id", "text_key", "packed", "numbers", "found")
-    return joined.mapInArrow(_filled, f"{columns}, ids array<int>")
+    joined = packed.join(own, same, "left").select("doc_id", "text_key", "packed", "holes", "numbers", "found")
+    return joined.mapInArrow(_filled(model), f"{columns}, ids array<int>")
 
 
 def _decoded(model: str):
