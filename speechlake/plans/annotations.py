@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from speechlake.functions.text import phone_label
 from speechlake.operators import intervals as iv
@@ -147,15 +148,34 @@ def reprocess_set(spark, sf_dir):
     return iv.reprocess_report(files, before, after)
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Annotation documents of sixteen utterances each; every utterance is a tier."""
-    rows = intervals(spark, sf_dir)
-    return rows.select(
-        F.floor(F.col("utt") / F.lit(16)).alias("utt"), F.format_string("u%06d", "utt").alias("tier"), "idx", "xmin", "xmax", "label"
+def documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Annotation documents of sixteen utterances each, as tiers and intervals.
+
+    Every utterance is a tier, the last first; two tiers of one name that end
+    the document have no intervals, and documents start before their tiers.
+    """
+    rows = intervals(spark, sf_dir).select(
+        F.floor(F.col("utt") / 16).alias("utt"), F.format_string("u%06d", "utt").alias("tier"), (15 - F.col("utt") % 16).cast("int").alias("place"),
+        "idx", "xmin", "xmax", "label",
     )
+    spoken = rows.groupBy("utt", "tier", "place").agg(F.min("xmin").alias("xmin"), F.max("xmax").alias("xmax"))
+    bounds = spoken.groupBy("utt").agg((F.min("xmin") - 1).alias("doc_xmin"), (F.max("xmax") + 1).alias("doc_xmax"))
+    silent = bounds.select(
+        "utt", F.lit("noise").alias("tier"), F.explode(F.array(F.lit(16), F.lit(17))).alias("place"), F.col("doc_xmin").alias("xmin"), F.col("doc_xmax").alias("xmax")
+    )
+    number = F.row_number().over(Window.partitionBy("utt").orderBy("place")) - 1
+    tiers = spoken.unionByName(silent).join(bounds, "utt").withColumn("tier_no", number)
+    numbered = rows.join(tiers.select("utt", "place", "tier_no"), ["utt", "place"]).select("utt", "tier_no", "idx", "xmin", "xmax", "label")
+    return tiers.select("utt", "doc_xmin", "doc_xmax", "tier_no", "tier", "xmin", "xmax"), numbered
 
 
-_DOCS_SQL = f"""{INTERVALS_SQL}, docs AS (SELECT utt // 16 AS utt, printf('u%06d', utt) AS tier, idx, xmin, xmax, label FROM intervals)"""
+_DOCS_SQL = f"""{INTERVALS_SQL}, spans AS (
+  SELECT utt // 16 AS utt, printf('u%06d', utt) AS tier, 15 - utt % 16 AS place, min(xmin) AS lo, max(xmax) AS hi FROM intervals GROUP BY 1, 2, 3),
+bounds AS (SELECT utt, min(lo) - 1 AS dlo, max(hi) + 1 AS dhi FROM spans GROUP BY 1),
+tiers AS (SELECT utt, tier, lo, hi, dlo, dhi, (row_number() OVER (PARTITION BY utt ORDER BY place) - 1)::INT AS tier_no
+  FROM (SELECT * FROM spans UNION ALL SELECT utt, 'noise', unnest([16, 17]), dlo, dhi FROM bounds) JOIN bounds USING (utt)),
+docs AS (SELECT t.utt, t.tier_no, t.tier, i.idx, i.xmin, i.xmax, i.label
+  FROM tiers t LEFT JOIN intervals i ON i.utt // 16 = t.utt AND printf('u%06d', i.utt) = t.tier)"""
 
 
 def _fmt(x: str) -> str:
@@ -164,47 +184,59 @@ def _fmt(x: str) -> str:
 
 @query(
     "textgrid_lines_s12",
-    f"""WITH {_DOCS_SQL}, tiers AS (SELECT utt, tier, min(xmin) AS lo, max(xmax) AS hi, count(*) AS n,
-      row_number() OVER (PARTITION BY utt ORDER BY tier) AS no FROM docs GROUP BY 1, 2),
-    files AS (SELECT utt, min(lo) AS lo, max(hi) AS hi, count(*) AS n FROM tiers GROUP BY 1),
+    f"""WITH {_DOCS_SQL}, sized AS (SELECT utt, tier_no, tier, lo, hi, (SELECT count(d.idx) FROM docs d WHERE d.utt = t.utt AND d.tier_no = t.tier_no) AS n FROM tiers t),
+    files AS (SELECT utt, min(dlo) AS lo, max(dhi) AS hi, count(*) AS n FROM tiers GROUP BY 1),
     lines AS (
-      SELECT utt, '' AS tier, -1 AS idx, ['File type = "ooTextFile"', 'Object class = "TextGrid"', '', 'xmin = ' || {_fmt('lo')} || ' ',
+      SELECT utt, -1 AS tier_no, -1 AS idx, ['File type = "ooTextFile"', 'Object class = "TextGrid"', '', 'xmin = ' || {_fmt('lo')} || ' ',
         'xmax = ' || {_fmt('hi')} || ' ', 'tiers? <exists> ', 'size = ' || n || ' ', 'item []: '] AS l FROM files
-      UNION ALL SELECT utt, tier, -1, ['    item [' || no || ']:', '        class = "IntervalTier" ', '        name = "' || tier || '" ',
-        '        xmin = ' || {_fmt('lo')} || ' ', '        xmax = ' || {_fmt('hi')} || ' ', '        intervals: size = ' || n || ' '] FROM tiers
-      UNION ALL SELECT utt, tier, idx, ['        intervals [' || (idx + 1) || ']:', '            xmin = ' || {_fmt('xmin')} || ' ',
-        '            xmax = ' || {_fmt('xmax')} || ' ', '            text = "' || label || '" '] FROM docs)
-    SELECT utt, tier, idx, (unnest(range(len(l))))::INT AS k, unnest(l) AS line FROM lines""",
+      UNION ALL SELECT utt, tier_no, -1, ['    item [' || (tier_no + 1) || ']:', '        class = "IntervalTier" ', '        name = "' || tier || '" ',
+        '        xmin = ' || {_fmt('lo')} || ' ', '        xmax = ' || {_fmt('hi')} || ' ', '        intervals: size = ' || n || ' '] FROM sized
+      UNION ALL SELECT utt, tier_no, idx, ['        intervals [' || (idx + 1) || ']:', '            xmin = ' || {_fmt('xmin')} || ' ',
+        '            xmax = ' || {_fmt('xmax')} || ' ', '            text = "' || label || '" '] FROM docs WHERE idx IS NOT NULL)
+    SELECT utt, tier_no, idx, (unnest(range(len(l))))::INT AS k, unnest(l) AS line FROM lines""",
 )
 def textgrid_lines(spark, sf_dir):
-    return textgrid.textgrid_lines(documents(spark, sf_dir))
+    return textgrid.textgrid_lines(*documents(spark, sf_dir))
+
+
+def _scanned(spark, sf_dir) -> DataFrame:
+    """The corpus written as annotation files and scanned back."""
+    path = scratch_path(spark, "textgrid")
+    textgrid.write_textgrids(*documents(spark, sf_dir), path)
+    return textgrid.read_textgrids(spark, f"{path}/utt=*")
 
 
 @query(
     "textgrid_scan_s4",
-    f"WITH {_DOCS_SQL} SELECT utt, tier, idx, round(xmin, 6) AS xmin, round(xmax, 6) AS xmax, label FROM docs",
+    f"WITH {_DOCS_SQL} SELECT utt, tier_no, tier, idx, round(xmin, 6) AS xmin, round(xmax, 6) AS xmax, label FROM docs",
 )
 def textgrid_scan(spark, sf_dir):
-    """The corpus written as annotation files and scanned back."""
-    path = scratch_path(spark, "textgrid")
-    textgrid.write_textgrids(documents(spark, sf_dir), path)
-    parsed = textgrid.read_textgrids(spark, f"{path}/utt=*")
-    rows = textgrid.document_intervals(parsed)
-    return rows.select(
-        F.regexp_extract("path", r"utt=(\d+)", 1).cast("long").alias("utt"), "tier", "idx", "xmin", "xmax", "label"
-    )
+    """All intervals as read back; a tier without any has one row of nulls."""
+    rows = textgrid.document_intervals(_scanned(spark, sf_dir))
+    utt = F.regexp_extract("path", r"utt=(\d+)", 1).cast("long")
+    return rows.select(utt.alias("utt"), "tier_no", "tier", "idx", "xmin", "xmax", "label")
+
+
+@query(
+    "textgrid_tiers_s12",
+    f"""WITH {_DOCS_SQL} SELECT utt, round(dlo, 6) AS doc_xmin, round(dhi, 6) AS doc_xmax, tier_no, tier, round(lo, 6) AS xmin, round(hi, 6) AS xmax FROM tiers""",
+)
+def textgrid_tiers(spark, sf_dir):
+    """Bounds, order and names of all tiers as read back."""
+    utt = F.regexp_extract("path", r"utt=(\d+)", 1).cast("long")
+    return textgrid.document_tiers(_scanned(spark, sf_dir)).select(utt.alias("utt"), "doc_xmin", "doc_xmax", "tier_no", "tier", "xmin", "xmax")
 
 
 @query(
     "textgrid_rejects_s4",
-    f"""WITH {_DOCS_SQL}, kinds AS (SELECT DISTINCT utt, utt % 5 AS kind FROM docs)
+    f"""WITH {_DOCS_SQL}, kinds AS (SELECT DISTINCT utt, utt % 5 AS kind FROM tiers)
     SELECT utt, CASE kind WHEN 0 THEN 'not an annotation file' WHEN 1 THEN 'unsupported tier class TextTier'
       WHEN 2 THEN 'interval count mismatch' WHEN 3 THEN 'malformed interval' ELSE 'accepted' END AS verdict FROM kinds""",
 )
 def textgrid_rejects(spark, sf_dir):
     """Four documents of five are damaged, each in its own way."""
     path = scratch_path(spark, "textgrid")
-    textgrid.write_textgrids(documents(spark, sf_dir), path)
+    textgrid.write_textgrids(*documents(spark, sf_dir), path)
     files = spark.read.text(f"{path}/utt=*", wholetext=True)
     utt = F.regexp_extract(F.col("_metadata.file_path"), r"utt=(\d+)", 1).cast("long")
     kind, value = utt % 5, F.col("value")

@@ -264,7 +264,7 @@ def _event_files(spark, sf_dir, label):
 )
 def running_moments(spark, sf_dir):
     path, schema = _event_files(spark, sf_dir, "events")
-    made = running.run_complete(running.running_moments(running.file_stream(spark, path, schema), "event_type", "value"), "moments")
+    made = running.run_updated(running.running_moments(running.file_stream(spark, path, schema), "event_type", "value"), ["event_type"], "moments")
     return made.select("event_type", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
@@ -279,7 +279,7 @@ def running_rates(spark, sf_dir):
     pairs.repartition(2).write.parquet(path)
     scored = evaluation.error_counts(running.file_stream(spark, path, pairs.schema))
     sums = running.running_rates(scored.select("session", F.col("char_err").alias("err"), F.col("char_len").alias("len")), "session")
-    return running.run_complete(sums, "rates")
+    return running.run_updated(sums, ["session"], "rates")
 
 
 @query(

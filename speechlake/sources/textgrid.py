@@ -107,38 +107,56 @@ def _lines(rows: list[Column]) -> Column:
     return F.posexplode(F.array(*rows)).alias("k", "line")
 
 
-def textgrid_lines(intervals: DataFrame) -> DataFrame:
-    """Canonical text as ordered lines: (utt, tier, idx, k, line).
+def document_tiers(parsed: DataFrame) -> DataFrame:
+    """Header table of the accepted documents: their bounds and, in order, their tiers."""
+    kept = parsed.where("error is null").withColumnsRenamed({"xmin": "doc_xmin", "xmax": "doc_xmax"})
+    tiers = kept.select("path", "doc_xmin", "doc_xmax", F.posexplode("tiers").alias("tier_no", "t"))
+    return tiers.select("path", "doc_xmin", "doc_xmax", "tier_no", F.col("t.name").alias("tier"), F.col("t.xmin").alias("xmin"), F.col("t.xmax").alias("xmax"))
 
-    Headers come from aggregates (tier ``''`` and idx -1 sort first), so a
-    document is never gathered in one row. Tiers are ordered by name.
+
+def tiers_of(intervals: DataFrame) -> DataFrame:
+    """Header table for intervals (utt, tier, …) that come without one: tiers in
+    the order of their names, bounds from the intervals."""
+    tiers = intervals.groupBy("utt", "tier").agg(F.min("xmin").alias("xmin"), F.max("xmax").alias("xmax"))
+    files = tiers.groupBy("utt").agg(F.min("xmin").alias("doc_xmin"), F.max("xmax").alias("doc_xmax"))
+    number = F.row_number().over(Window.partitionBy("utt").orderBy("tier")) - 1
+    return tiers.withColumn("tier_no", number).join(files, "utt").select("utt", "doc_xmin", "doc_xmax", "tier_no", "tier", "xmin", "xmax")
+
+
+def textgrid_lines(tiers: DataFrame, intervals: DataFrame) -> DataFrame:
+    """Canonical text as ordered lines: (utt, tier_no, idx, k, line).
+
+    ``tiers`` is a header table (utt, doc_xmin, doc_xmax, tier_no, tier, xmin,
+    xmax), ``intervals`` is (utt, tier_no, idx, xmin, xmax, label). Header lines
+    have tier_no or idx -1 and sort first, so no document is gathered in one row.
     """
+    # The lines of the format.
     text = lambda *cols: F.concat(*[F.lit(c) if isinstance(c, str) else c for c in cols])
     num = lambda c: praat_number(F.col(c))
-    tiers = intervals.groupBy("utt", "tier").agg(
-        F.min("xmin").alias("xmin"), F.max("xmax").alias("xmax"), F.count("idx").alias("n")
-    )
-    files = tiers.groupBy("utt").agg(F.min("xmin").alias("xmin"), F.max("xmax").alias("xmax"), F.count(F.lit(1)).alias("n"))
-    numbered = tiers.withColumn("no", F.row_number().over(Window.partitionBy("utt").orderBy("tier")))
+    whole = lambda c: F.col(c).cast("string")
+    intervals = intervals.where("idx is not null")
+    sizes = intervals.groupBy("utt", "tier_no").agg(F.count("idx").alias("n"))
+    sized = tiers.join(sizes, ["utt", "tier_no"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    files = tiers.groupBy("utt").agg(F.min("doc_xmin").alias("xmin"), F.max("doc_xmax").alias("xmax"), F.count(F.lit(1)).alias("n"))
     top = files.select(
-        "utt", F.lit("").alias("tier"), F.lit(-1).alias("idx"),
+        "utt", F.lit(-1).alias("tier_no"), F.lit(-1).alias("idx"),
         _lines([
             F.lit('File type = "ooTextFile"'), F.lit('Object class = "TextGrid"'), F.lit(""),
             text("xmin = ", num("xmin"), " "), text("xmax = ", num("xmax"), " "), F.lit("tiers? <exists> "),
-            text("size = ", F.col("n").cast("string"), " "), F.lit("item []: "),
+            text("size = ", whole("n"), " "), F.lit("item []: "),
         ]),
     )
-    heads = numbered.select(
-        "utt", "tier", F.lit(-1).alias("idx"),
+    heads = sized.select(
+        "utt", "tier_no", F.lit(-1).alias("idx"),
         _lines([
-            text("    item [", F.col("no").cast("string"), "]:"), F.lit('        class = "IntervalTier" '),
+            text("    item [", (F.col("tier_no") + 1).cast("string"), "]:"), F.lit('        class = "IntervalTier" '),
             text('        name = "', F.col("tier"), '" '),
             text("        xmin = ", num("xmin"), " "), text("        xmax = ", num("xmax"), " "),
-            text("        intervals: size = ", F.col("n").cast("string"), " "),
+            text("        intervals: size = ", whole("n"), " "),
         ]),
     )
-    body = intervals.where("idx is not null").select(
-        "utt", "tier", "idx",
+    body = intervals.select(
+        "utt", "tier_no", "idx",
         _lines([
             text("        intervals [", (F.col("idx") + 1).cast("string"), "]:"),
             text("            xmin = ", num("xmin"), " "), text("            xmax = ", num("xmax"), " "),
@@ -148,19 +166,12 @@ def textgrid_lines(intervals: DataFrame) -> DataFrame:
     return top.unionByName(heads).unionByName(body)
 
 
-def write_textgrids(intervals: DataFrame, path: str, block: int = 1 << 20) -> None:
-    """One folder per utterance with its document in order.
+def write_textgrids(tiers: DataFrame, intervals: DataFrame, path: str) -> None:
+    """One folder and one file per utterance, whatever its size.
 
-    A document of up to ``block`` intervals shares one range key, hence one task
-    and file. A longer one is ranged by tier and block and becomes several files
-    that follow each other by name; an adaptive join may split its rows.
+    A document is one range key, so one task streams its sorted lines to its
+    file; the sort spills, nothing is gathered.
     """
-    sizes = intervals.groupBy("utt").agg(F.count("idx").alias("_n"))
-    long_docs = sizes.where(F.col("_n") > block).select("utt", F.lit(True).alias("_long"))
-    part = F.floor(F.greatest("idx", F.lit(0)) / F.lit(block))
-    lines = textgrid_lines(intervals).join(long_docs, "utt", "left")
-    tasks = lines.repartitionByRange(
-        "utt", F.when(F.col("_long"), F.col("tier")).otherwise(F.lit("")), F.when(F.col("_long"), part).otherwise(F.lit(0))
-    )
-    ordered = tasks.sortWithinPartitions("utt", "tier", "idx", "k")
+    lines = textgrid_lines(tiers, intervals)
+    ordered = lines.repartitionByRange("utt").sortWithinPartitions("utt", "tier_no", "idx", "k")
     ordered.select("utt", "line").write.partitionBy("utt").mode("overwrite").text(path)

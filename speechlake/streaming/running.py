@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from speechlake.sources.scratch import scratch_path
 
 
-def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
+def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1000) -> DataFrame:
+    """Arriving files; the caller says how many make a micro-batch."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
@@ -37,10 +38,11 @@ def daily_rates(stream: DataFrame, ts: str, key: str, delay: str) -> DataFrame:
     )
 
 
-def run_complete(result: DataFrame, label: str) -> DataFrame:
-    """Process all available input; return the last full result.
+def run_updated(result: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """Process all available input; return the last result of every key.
 
-    Every micro-batch writes its own folder, so a repeated batch replaces itself.
+    A micro-batch writes the keys it changed to a folder of its own, so a
+    repeated batch replaces itself; reading takes the latest row per key.
     """
     spark = result.sparkSession
     out = scratch_path(spark, label)
@@ -48,10 +50,11 @@ def run_complete(result: DataFrame, label: str) -> DataFrame:
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/table/batch={batch_id}")
 
-    stream = result.writeStream.outputMode("complete").foreachBatch(save)
+    stream = result.writeStream.outputMode("update").foreachBatch(save)
     stream.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
-    table = spark.read.parquet(f"{out}/table")
-    return table.where(F.col("batch") == table.agg(F.max("batch")).scalar()).drop("batch")
+    rest = [c for c in result.columns if c not in keys]
+    latest = F.max_by(F.struct(*rest), "batch").alias("_latest")
+    return spark.read.parquet(f"{out}/table").groupBy(*keys).agg(latest).select(*keys, "_latest.*").select(*result.columns)
 
 
 def run_append(result: DataFrame, label: str) -> DataFrame:

@@ -9,6 +9,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import __spark_entry__ as entry
 from speechlake.session import local_session
+from speechlake.sources.scratch import release
 
 
 @pytest.fixture(scope="session")
@@ -16,6 +17,7 @@ def spark():
     session = local_session(8, 4)
     entry._ship(session)
     yield session
+    release(session)
     session.stop()
 
 

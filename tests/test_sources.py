@@ -129,21 +129,31 @@ def test_textgrid_round_trip(spark, tmp_path):
         (20, "phones", 0, 0.0, 2.0, "a"),
     ] + [(3, "phones", i, i / 10, (i + 1) / 10, f"p{i}") for i in range(50)] + [(3, "words", i, i / 10, (i + 1) / 10, f"w{i}") for i in range(50)]
     df = spark.createDataFrame(rows, INTERVALS)
-    textgrid.write_textgrids(df, str(tmp_path / "small"))
-    parsed = textgrid.read_textgrids(spark, str(tmp_path / "small" / "utt=*"))
+    tiers = textgrid.tiers_of(df)
+    numbered = df.join(tiers.select("utt", "tier", "tier_no"), ["utt", "tier"])
+    textgrid.write_textgrids(tiers, numbered, str(tmp_path / "named"))
+    parsed = textgrid.read_textgrids(spark, str(tmp_path / "named" / "utt=*"))
     back = textgrid.document_intervals(parsed).select(
         F.regexp_extract("path", r"utt=(\d+)", 1).cast("int"), "tier", "idx", "xmin", "xmax", "label"
     )
     assert textgrid.rejected_documents(parsed).count() == 0
     assert sorted(tuple(r) for r in back.collect()) == sorted(rows)
-    # Long documents span several files whose order is the order of the lines.
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    textgrid.write_textgrids(df, str(tmp_path / "long"), block=7)
-    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    read = lambda kind, utt: "".join(p.read_text() for p in sorted((tmp_path / kind / f"utt={utt}").glob("part-*")))
-    assert len(list((tmp_path / "long" / "utt=3").glob("part-*"))) > 1
-    for utt in (1, 3, 20):
-        assert read("long", utt) == read("small", utt)
+
+
+def test_textgrid_keeps_order_bounds_and_empty_tiers(spark, tmp_path):
+    heads = [(1, -1.0, 9.0, 0, "words", 0.0, 9.0), (1, -1.0, 9.0, 1, "phones", -1.0, 8.5), (1, -1.0, 9.0, 2, "words", 0.0, 9.0), (2, 0.0, 1.0, 0, "x", 0.0, 1.0)]
+    rows = [(1, 0, i, i / 10, (i + 1) / 10, f"w{i}") for i in range(90)] + [(1, 2, 0, 0.0, 9.0, "again")]
+    tiers = spark.createDataFrame(heads, "utt int, doc_xmin double, doc_xmax double, tier_no int, tier string, xmin double, xmax double")
+    df = spark.createDataFrame(rows, "utt int, tier_no int, idx int, xmin double, xmax double, label string").repartition(7)
+    textgrid.write_textgrids(tiers, df, str(tmp_path / "docs"))
+    assert [len(list((tmp_path / "docs" / f"utt={u}").glob("part-*"))) for u in (1, 2)] == [1, 1]
+    parsed = textgrid.read_textgrids(spark, str(tmp_path / "docs" / "utt=*"))
+    assert textgrid.rejected_documents(parsed).count() == 0
+    utt = F.regexp_extract("path", r"utt=(\d+)", 1).cast("int").alias("utt")
+    back = textgrid.document_tiers(parsed).select(utt, "doc_xmin", "doc_xmax", "tier_no", "tier", "xmin", "xmax")
+    assert sorted(tuple(r) for r in back.collect()) == sorted(heads)
+    read = textgrid.document_intervals(parsed).where("idx is not null").select(utt, "tier_no", "idx", "xmin", "xmax", "label")
+    assert sorted(tuple(r) for r in read.collect()) == sorted(rows)
 
 
 GOOD = """File type = "ooTextFile"
@@ -190,8 +200,8 @@ def test_stream_in_batches_equals_batch(spark, tmp_path):
     events = spark.createDataFrame([(i % 3, float(i)) for i in range(90)], "k int, v double")
     for part in range(3):
         events.where(f"v % 3 = {part}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = running.file_stream(spark, str(tmp_path / "in"), events.schema)
-    made = {r.k: (r.n, r.mean, r["std"]) for r in running.run_complete(running.running_moments(stream, "k", "v"), "t").collect()}
+    stream = running.file_stream(spark, str(tmp_path / "in"), events.schema, files_per_batch=1)
+    made = {r.k: (r.n, r.mean, r["std"]) for r in running.run_updated(running.running_moments(stream, "k", "v"), ["k"], "t").collect()}
     want = {r.k: (r.n, r.mean, r["std"]) for r in running.running_moments(events, "k", "v").collect()}
     assert made.keys() == want.keys() and all(np.allclose(made[k], want[k]) for k in want)
 
