@@ -136,14 +136,12 @@ def log_mel(spark, sf_dir):
 
 @query(
     "zero_output_a17",
-    f"WITH {_mel_sql('value * 0')} SELECT utt, ch, band, {rsql('avg(x)', 'x', 5)} FROM mel GROUP BY 1, 2, 3",
+    f"WITH {_mel_sql('value * 0')} SELECT band, {rsql('avg(x)', 'x', 5)} FROM mel GROUP BY 1",
 )
 def zero_output(spark, sf_dir):
-    """Mean frame of silence of the length of every utterance."""
+    """The pad vector: the mean frame of silence."""
     silent = signal(spark, sf_dir).withColumn("value", F.col("value") * 0)
-    mel = s.log_mel(silent, KEYS, **MEL)
-    means = mel.select(*KEYS, F.posexplode("mel").alias("band", "x")).groupBy(*KEYS, "band").agg(F.avg("x").alias("x"))
-    return means.select(*KEYS, "band", r("x", 5))
+    return s.zero_output(s.log_mel(silent, KEYS, **MEL)).select("band", r("x", 5))
 
 
 @query(
@@ -181,19 +179,55 @@ def peak_pcm(spark, sf_dir):
     return scaled.select(*KEYS, "t", r("value", 9), "pcm", F.round(s.from_pcm(F.col("pcm")), 9).alias("back"))
 
 
-@query("notch_w11")
+def _causal_sql(x: str, b, a) -> tuple[str, str]:
+    """Difference equation over list ``x``, at rest at its first value before it:
+    the held list ``h`` that it reads, and the filtered list."""
+    order = len(a) - 1
+    gain = float(sum(b) / sum(a)) if abs(sum(b)) > 1e-12 else 0.0
+    held = f"list_concat(list_transform(range({order}), lambda z: {x}[1]), {x})"
+    taps = " + ".join(f"({float(w)!r}::DOUBLE) * h[i + {order - k}]" for k, w in enumerate(b))
+    past = "".join(f" - ({float(w)!r}::DOUBLE) * y[-{k}]" for k, w in enumerate(a) if k)
+    start = f"list_transform(range({order}), lambda z: {gain!r}::DOUBLE * {x}[1])"
+    run = f"list_reduce(range(1, len({x}) + 1), lambda y, i: list_append(y, {taps}{past}), {start})"
+    return held, f"({run})[{order + 1}:]"
+
+
+def _zero_phase_sql(source: str, name: str, b, a, pad: int) -> str:
+    """CTEs that filter the lists of ``source`` (utt, ch, x) forward and backward."""
+    held, run = _causal_sql("x", b, a)
+    return f"""{name}_e AS (SELECT utt, ch, list_concat(list_transform(range({pad}, 0, -1), lambda i: 2 * x[1] - x[i + 1]), x,
+      list_transform(range(1, {pad + 1}), lambda i: 2 * x[-1] - x[-1 - i])) AS x FROM {source}),
+    {name}_f AS (SELECT utt, ch, list_reverse({run}) AS x FROM (SELECT utt, ch, x, {held} AS h FROM {name}_e)),
+    {name} AS (SELECT utt, ch, (list_reverse({run}))[{pad + 1}:-{pad + 1}] AS x FROM (SELECT utt, ch, x, {held} AS h FROM {name}_f))"""
+
+
+def _condition_sql(notches: bool, drift: bool) -> str:
+    """CTEs of the conditioning chain; the last is ``clean``."""
+    designs = [dsp.notch(60.0 * k, 30.0, 250.0) for k in (1, 2)] if notches else []
+    designs += [dsp.high_pass3(2.0, 250.0)] if drift else []
+    parts, source = [f"{SIGNAL_SQL}, raw AS (SELECT utt, ch, list(value ORDER BY t) AS x FROM signal GROUP BY 1, 2)"], "raw"
+    for k, (b, a) in enumerate(designs):
+        parts.append(_zero_phase_sql(source, f"z{k}", b, a, 3 * len(a)))
+        source = f"z{k}"
+    parts.append(f"clean AS (SELECT utt, ch, unnest(range(len(x)))::INT AS t, unnest(x) AS value FROM {source})")
+    return ", ".join(parts)
+
+
+@query("notch_w11", f"WITH {_condition_sql(True, False)} SELECT utt, ch, t, {rsql('value', 'value', 4)} FROM clean")
 def notch(spark, sf_dir):
-    """Mains notches only; compared with a direct recursion in the tests."""
+    """Mains notches only."""
     return s.condition(signal(spark, sf_dir), KEYS, cut=0.0).select(*KEYS, "t", r("value", 4))
 
 
-@query("drift_removal_w12")
+@query("drift_removal_w12", f"WITH {_condition_sql(False, True)} SELECT utt, ch, t, {rsql('value', 'value', 4)} FROM clean")
 def drift_removal(spark, sf_dir):
     return s.condition(signal(spark, sf_dir), KEYS, mains=0.0).select(*KEYS, "t", r("value", 4))
 
 
 _UP, _DOWN = dsp.rational_ratio(NEW_RATE, OLD_RATE)
 _TAPS = dsp.polyphase_taps(_UP, _DOWN)
+_LOAD_UP, _LOAD_DOWN = dsp.rational_ratio(400.0, 250.0)
+_LOAD_TAPS = dsp.polyphase_taps(_LOAD_UP, _LOAD_DOWN)
 
 
 @query(
@@ -217,7 +251,15 @@ def soft_clip(spark, sf_dir):
     return events.select("event_id", F.round(s.soft_clip(F.col("value")), 6).alias("value"))
 
 
-@query("load_signal_w14")
+@query(
+    "load_signal_w14",
+    f"""WITH {_condition_sql(True, True)}, out AS (SELECT utt, ch, unnest(range(0, round_even(n * 1.6::DOUBLE, 0)::BIGINT))::INT AS q
+      FROM (SELECT utt, ch, count(*) AS n FROM clean GROUP BY 1, 2)),
+    up AS (SELECT o.utt, o.ch, o.q AS t, sum(x.value * ({_list(_LOAD_TAPS)})[o.q * {_LOAD_DOWN} - x.t * {_LOAD_UP} + {len(_LOAD_TAPS) // 2} + 1]) AS value
+      FROM out o JOIN clean x ON x.utt = o.utt AND x.ch = o.ch
+        AND o.q * {_LOAD_DOWN} - x.t * {_LOAD_UP} BETWEEN -{len(_LOAD_TAPS) // 2} AND {len(_LOAD_TAPS) // 2} GROUP BY 1, 2, 3)
+    SELECT utt, ch, t, {rsql('50 * tanh(value / 20 / 50)', 'value', 4)} FROM up""",
+)
 def load_signal(spark, sf_dir):
     """The whole conditioning path from raw samples to model input."""
     made = s.load_signal(signal(spark, sf_dir), KEYS, frame_rate=100.0)

@@ -21,6 +21,10 @@ TABLES = (
 ).split()
 
 
+# Queries without SQL and the test that checks their operator against a model.
+TESTED_ELSEWHERE = {"edit_script_t14": "tests/test_text.py"}
+
+
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
@@ -54,7 +58,8 @@ def compare(spark, con, query, sf_dir):
     got = [tuple(r) for r in df.collect()]
     spent = time.time() - start
     if query.sql is None:
-        return True, f"rows {len(got)} (no SQL)", spent
+        test = TESTED_ELSEWHERE.get(query.name)
+        return test is not None, f"rows {len(got)}, no SQL; see {test}", spent
     cur = con.execute(query.sql)
     names = [d[0] for d in cur.description]
     want = cur.fetchall()
