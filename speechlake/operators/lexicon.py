@@ -7,22 +7,17 @@ from pyspark.sql import functions as F
 
 from speechlake.functions.edits import words
 
-SALTS = 16
-
-
-def pronounce(df: DataFrame, keys: list[str], texts: list[str], lexicon: DataFrame, salts: int = SALTS) -> DataFrame:
+def pronounce(df: DataFrame, keys: list[str], texts: list[str], lexicon: DataFrame) -> DataFrame:
     """Replace every word of the text columns by its phones; unknown words stay.
 
-    ``lexicon`` has (word, phones). Frequent words are salted over several join
-    keys, and a text comes back together by its own key.
+    ``lexicon`` has (word, phones). Adaptive execution splits the join where a
+    word is frequent, and a text comes back together by its own key.
     """
     entries = df.select(
         *keys,
         F.inline(F.array(*[F.struct(F.lit(c).alias("_side"), words(F.col(c)).alias("_words")) for c in texts])),
     ).select(*keys, "_side", F.posexplode("_words").alias("_pos", "word"))
-    salted = entries.withColumn("_salt", F.pmod(F.xxhash64(*keys, "_side", "_pos"), F.lit(salts)).cast("int"))
-    copies = lexicon.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    spoken = salted.join(copies, ["word", "_salt"], "left").withColumn("_said", F.coalesce("phones", "word"))
+    spoken = entries.join(lexicon, "word", "left").withColumn("_said", F.coalesce("phones", "word"))
     said = lambda c: F.array_join(
         F.transform(
             F.sort_array(F.collect_list(F.when(F.col("_side") == c, F.struct("_pos", "_said")))), lambda w: w["_said"]

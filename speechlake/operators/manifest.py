@@ -151,7 +151,7 @@ def assign_splits(
     ranked = dense_index(
         hashed, ["session"], [F.col("_digest"), F.col("data_num")], hash_position(F.col("_digest")), "_rank", **extra
     )
-    sizes = keys.groupBy("session").agg(F.count_distinct("data_num").alias("_n"))
+    sizes = hashed.groupBy("session").agg(F.count(F.lit(1)).alias("_n"))
     placed = attach_stats(ranked, sizes, ["session"], n="_n", t="_rank")
     n = F.col("_n")
     train = F.bround(n * F.lit(ratio[0]), 0).cast("long")

@@ -149,11 +149,11 @@ def stored_or_computed(spark: SparkSession, path: str, compute) -> DataFrame:
 def write_features(df: DataFrame, path: str) -> None:
     """Features below split / data_type / session; rows of a folder meet in few files.
 
-    The hash of the row key spreads a very large session over 16 tasks.
+    Rebalancing deals the rows by folder and splits a large one over as many
+    tasks as its size calls for.
     """
-    salt = F.pmod(F.xxhash64("data_num"), F.lit(16))
     parts = ["split", "data_type", "session"]
-    df.repartition(*parts, salt).write.mode("overwrite").partitionBy(*parts).parquet(path)
+    df.hint("rebalance", *parts).write.mode("overwrite").partitionBy(*parts).parquet(path)
 
 
 def append_results(results: DataFrame, path: str) -> None:
