@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from speechlake.functions import arrays
 from speechlake.operators import batches as b
 from speechlake.operators import sequences as q
-from speechlake.plans.corpus import SAMPLES_SQL, SIGNAL_SQL, samples, signal, table
+from speechlake.operators.ordering import dense_index
+from speechlake.plans.corpus import PHONES, SAMPLES_SQL, SIGNAL_SQL, samples, signal, table
 from speechlake.plans.registry import query
 from speechlake.plans.signals import r, rsql
 from speechlake.sources.scratch import stored
@@ -135,6 +138,47 @@ def aligned_signal(spark, sf_dir):
     return q.center_trim(first_channel(spark, sf_dir), ["utt"], targets, "emg_to")
 
 
+def modalities(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Rows (utt, t, value) of every modality that ``lengths`` counts."""
+    x = samples(spark, sf_dir)
+    phone = (F.array_position(F.lit(PHONES), F.col("event_type")) - 1).cast("double")
+    every = F.col("t") % 4 == 0
+    pictures = x.where((F.col("t") % 16 == 0) & (F.col("k") % 3 != 0)).withColumnRenamed("t", "at")
+    return {
+        "speech": x.where(every).select("utt", F.floor(F.col("t") / 4).alias("t"), "value"),
+        "phone": x.where(every & (F.col("t") > 0)).select("utt", (F.floor(F.col("t") / 4) - 1).alias("t"), phone.alias("value")),
+        "emg": x.select("utt", "t", "value"),
+        "video": dense_index(pictures, ["utt"], [F.col("at")], F.col("at")).select("utt", "t", F.col("k").cast("double").alias("value")),
+        "voiced": x.where("utt % 2 = 1").select((F.col("utt") - 1).alias("utt"), "t", "value"),
+    }
+
+
+@query(
+    "aligned_modalities_w17",
+    f"""WITH {_targets_sql(4)}, mods AS (
+      SELECT utt, 'speech' AS modality, t // 4 AS t, value FROM samples WHERE t % 4 = 0
+      UNION ALL SELECT utt, 'phone', t // 4 - 1, list_position({PHONES!r}, event_type) - 1 FROM samples WHERE t % 4 = 0 AND t > 0
+      UNION ALL SELECT utt, 'emg', t, value FROM samples
+      UNION ALL SELECT utt, 'video', row_number() OVER (PARTITION BY utt ORDER BY t) - 1, k FROM samples WHERE t % 16 = 0 AND k % 3 <> 0
+      UNION ALL SELECT utt - 1, 'voiced', t, value FROM samples WHERE utt % 2 = 1),
+    wanted AS (
+      SELECT utt, 'speech' AS modality, speech_to AS w FROM targets UNION ALL SELECT utt, 'phone', phone_to FROM targets
+      UNION ALL SELECT utt, 'emg', emg_to FROM targets UNION ALL SELECT utt, 'video', video_to FROM targets
+      UNION ALL SELECT utt, 'voiced', voiced_to FROM targets WHERE silent),
+    sized AS (SELECT m.*, count(*) OVER (PARTITION BY m.utt, m.modality) AS n, greatest(w, 0) AS w FROM mods m JOIN wanted USING (utt, modality)),
+    cut AS (SELECT *, n - least(w, n) AS spare FROM sized)
+    SELECT utt, modality, (t - spare // 2)::INT AS t, {rsql('value', 'value')} FROM cut WHERE t >= spare // 2 AND t < n - (spare - spare // 2)""",
+)
+def aligned_modalities(spark, sf_dir):
+    """Speech, phones, signal, video and voiced signal, each cut to its target."""
+    targets = stored(q.alignment_targets(lengths(spark, sf_dir), FRAME_RATE, 4, VIDEO_FPS), "targets")
+    cut = lambda name, rows: q.center_trim(rows, ["utt"], targets, f"{name}_to").select(
+        "utt", F.lit(name).alias("modality"), F.col("t").cast("int").alias("t"), r("value")
+    )
+    parts = [cut(name, rows) for name, rows in modalities(spark, sf_dir).items()]
+    return reduce(DataFrame.union, parts)
+
+
 @query(
     "fixed_chunks_w18",
     f"""WITH {SAMPLES_SQL}, flat AS (SELECT row_number() OVER (ORDER BY utt, t) - 1 AS p, value FROM samples),
