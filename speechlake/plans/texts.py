@@ -11,6 +11,7 @@ from speechlake.functions import edits, text
 from speechlake.operators import evaluation
 from speechlake.plans.corpus import PAIRS_SQL, documents, turn_pairs
 from speechlake.plans.registry import query
+from speechlake.sources.scratch import stored
 
 
 def _per_document(spark: SparkSession, sf_dir: str, form: Callable[[Column], Column]) -> DataFrame:
@@ -341,3 +342,36 @@ def foreign_chars(spark, sf_dir):
     docs = documents(spark, sf_dir)
     shadow = docs.withColumn("text", F.regexp_replace("text", r"\S", "가"))
     return docs.unionByName(shadow).select("doc_id", text.has_foreign_chars(F.col("text")).alias("flagged"))
+
+
+def _chain_sql() -> str:
+    """The recognised side of every pair post-processed, then scored."""
+    before, made = _limit_sql("text")
+    percent = f"replace(replace(text, '％', '{text.PERCENT}'), '%', '{text.PERCENT}')"
+    steps = f"""heard AS (SELECT conv_id * 1000 + turn AS doc_id, prediction AS text FROM raw),
+    numbered AS (SELECT doc_id, {_NUMBERS_SQL} AS text FROM heard),
+    lettered AS (SELECT doc_id, {_letters_sql('text')} AS text FROM numbered),
+    spelled AS (SELECT doc_id, {percent} AS text FROM lettered),"""
+    return f"""{PAIRS_SQL.replace("pairs AS (", "raw AS (", 1)}, {steps} {before.replace("FROM documents)", "FROM spelled)")}
+    spoken AS (SELECT doc_id, {made} AS made FROM documents_),
+    pairs AS (SELECT conv_id, turn, target, made AS prediction FROM raw JOIN spoken ON doc_id = conv_id * 1000 + turn){_SCORED_SQL[len(PAIRS_SQL):]}"""
+
+
+@query(
+    "evaluation_chain_a7",
+    f"""WITH {_chain_sql()}, rated AS (SELECT CAST(conv_id % 16 AS INT) AS session, sum(char_err) / sum(char_len) AS c,
+      sum(char_ns_err) / sum(char_ns_len) AS n, sum(word_err) / sum(word_len) AS w FROM counts GROUP BY 1)
+    SELECT session, round(c, 6) AS cer, round(n, 6) AS cer_wo_space, round(w, 6) AS wer,
+      printf('CER: %.2f%%, CER without space: %.2f%%, WER: %.2f%%', c * 100, n * 100, w * 100) AS report FROM rated""",
+)
+def evaluation_chain(spark, sf_dir):
+    """Recognised text to report: post-processing, counts, rates and the line, per session."""
+    # Written out, so each form of a text is made from it once.
+    spoken = stored(evaluation.postprocess(turn_pairs(spark, sf_dir), "prediction"), "spoken")
+    counts = evaluation.error_counts(spoken).withColumn("session", (F.col("conv_id") % 16).cast("int"))
+    rates = evaluation.error_rates(counts, "session")
+    line = F.concat(
+        F.lit("CER: "), text.percent(F.col("cer")), F.lit("%, CER without space: "),
+        text.percent(F.col("cer_wo_space")), F.lit("%, WER: "), text.percent(F.col("wer")), F.lit("%"),
+    )
+    return rates.select("session", *[F.round(c, 6).alias(c) for c in ("cer", "cer_wo_space", "wer")], line.alias("report"))
