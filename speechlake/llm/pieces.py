@@ -42,7 +42,9 @@ MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
 HOT_UNITS = 65536
 # Distinct units that a task holds before it passes them on.
-HELD = 150_000
+HELD = 100_000
+# Documents whose ids a task holds at once.
+ROWS = 256
 # Characters of a unit whose substrings one row carries.
 SEGMENT = 256
 
@@ -167,7 +169,7 @@ def best_path(edges: Column) -> Column:
     start = F.struct(
         F.array().cast(f"array<{way}>").alias("done"), F.lit(0).alias("end"), F.lit(0.0).alias("sum"), F.lit(-1).alias("start"), F.lit(0).alias("id")
     )
-    ways = F.aggregate(F.array_sort(edges), start, step, lambda s: F.array_append(s["done"], of(s)))
+    ways = F.aggregate(F.sort_array(edges), start, step, lambda s: F.array_append(s["done"], of(s)))
 
     def back(state: Column, way: Column) -> Column:
         # The ways are met from the last to the first; those on the path count.
@@ -222,7 +224,7 @@ def _rare_units(model: str, hot):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, known = unit_cutter(model), hot.value
-        for batch in batches:
+        for batch in _slices(batches):
             rare = [[u for u in dict.fromkeys(cut(v.as_py())) if u not in known] for v in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rare, pa.list_(pa.string()))], ["doc_id", "text_key", "rare"])
 
@@ -239,7 +241,7 @@ def _packed(model: str, hot):
         kind, mark = _wide(model)
         hole = np.array([mark], kind).tobytes()
         pack = zstandard.ZstdCompressor(level=5).compress
-        for batch in batches:
+        for batch in _slices(batches):
             out, holes, ends = [], [], [0]
             for value in batch.column(2):
                 parts: list[bytes] = []
@@ -258,14 +260,35 @@ def _packed(model: str, hot):
     return run
 
 
-def _filled(model: str):
-    """Puts the rare units' ids into their holes."""
+def _speller(model: str) -> Callable[[np.ndarray], str]:
+    """A function that gives the text of ids."""
+    sp = processor(model)
+    first, blank = sp.piece_to_id("<0x00>"), BLANK.encode()
+    forms = [bytes([i - first]) if sp.is_byte(i) else sp.id_to_piece(i).encode() for i in range(sp.get_piece_size())]
+
+    def spell(ids: np.ndarray) -> str:
+        raw = b"".join([forms[i] for i in ids.tolist()]).replace(blank, b" ")
+        return (raw[1:] if raw.startswith(b" ") else raw).decode("utf-8", "replace")
+
+    return spell
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, as ids take several times the room of what they come from."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
+def _filled(model: str, spelled: bool):
+    """Puts the rare units' ids into their holes; adds the text if asked for."""
     import zstandard
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind, mark = _wide(model)
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        spell = _speller(model) if spelled else None
+        for batch in _slices(batches):
             lists = []
             for packed, holes, numbers, found in zip(*(batch.column(n) for n in ("packed", "holes", "numbers", "found"))):
                 ids = np.frombuffer(unpack(packed.as_py()), kind).astype(np.int32)
@@ -279,13 +302,17 @@ def _filled(model: str):
                 lists.append(ids)
             ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
             values = pa.array(np.concatenate([np.zeros(0, np.int32), *lists]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.ListArray.from_arrays(pa.array(ends), values)], ["doc_id", "text_key", "ids"])
+            columns, names = [*batch.columns[:2], pa.ListArray.from_arrays(pa.array(ends), values)], ["doc_id", "text_key", "ids"]
+            if spell:
+                columns, names = [*columns, pa.array([spell(ids) for ids in lists], pa.string())], [*names, "decoded"]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-def encode(docs: DataFrame, model: str = MODEL, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, text_key, ids`` for every row; ``text_key`` is the text's hash."""
+def encode(docs: DataFrame, model: str = MODEL, doc_id: str = "doc_id", text: str = "text", spelled: bool = False) -> DataFrame:
+    """``doc_id, text_key, ids`` for every row; ``text_key`` is the text's hash.
+    With ``spelled`` also ``decoded``, made in the same pass."""
     spark = docs.sparkSession
     ship(spark)
     units = stored(encode_units(docs, model, text), "unit-ids")
@@ -301,23 +328,14 @@ def encode(docs: DataFrame, model: str = MODEL, doc_id: str = "doc_id", text: st
     packed = keyed.mapInArrow(_packed(model, hot), f"{columns}, packed binary, holes array<int>")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
     joined = packed.join(own, same, "left").select("doc_id", "text_key", "packed", "holes", "numbers", "found")
-    return joined.mapInArrow(_filled(model), f"{columns}, ids array<int>")
+    return joined.mapInArrow(_filled(model, spelled), f"{columns}, ids array<int>" + ", decoded string" * spelled)
 
 
 def _decoded(model: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp = processor(model)
-        size, first = sp.get_piece_size(), sp.piece_to_id("<0x00>")
-        forms = [bytes([i - first]) if sp.is_byte(i) else sp.id_to_piece(i).encode() for i in range(size)]
-        blank = BLANK.encode()
-        for batch in batches:
-            at = batch.schema.get_field_index("ids")
-            lists = batch.column(at)
-            ends, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-            texts = []
-            for a, b in zip(ends, ends[1:]):
-                raw = b"".join([forms[i] for i in values[a:b].tolist()]).replace(blank, b" ")
-                texts.append(raw[1:].decode("utf-8", "replace") if raw.startswith(b" ") else raw.decode("utf-8", "replace"))
+        spell = _speller(model)
+        for batch in _slices(batches):
+            texts = [spell(ids.values.to_numpy(zero_copy_only=False)) for ids in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     return run
@@ -333,7 +351,7 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 def with_pieces(docs: DataFrame, model: str = MODEL, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_pieces, decodes_back, ids`` per row: its ids, their number,
     and whether they decode to the text."""
-    encoded = decode(encode(docs, model, doc_id, text), model)
+    encoded = encode(docs, model, doc_id, text, spelled=True)
     whole = F.xxhash64("decoded") == F.coalesce(F.nullif("text_key", F.xxhash64(F.lit(None).cast("string"))), F.xxhash64(F.lit("")))
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), whole.alias("decodes_back"), "ids")
 

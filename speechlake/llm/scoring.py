@@ -91,7 +91,12 @@ class _Hot:
         return np.where(self.words[at] == words, at, -1)
 
 
-_PAIRS = "bucket int, base long, first array<long>, sizes array<int>, next array<int>, rare array<long>, doc array<short>, times array<int>"
+# Places of words in the broadcast table; -1 is a rare word (hash in the list beside it), -2 the start mark.
+_RARE, _AT_START = -1, -2
+_PAIRS = (
+    "bucket int, base long, first array<int>, rare_first array<long>, sizes array<int>, next array<int>, rare array<long>, "
+    "doc array<short>, times array<int>"
+)
 
 
 def _list_array(ends: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
@@ -112,40 +117,44 @@ def _pairs(buckets: int, hot, id_type: pa.DataType):
         spread = (place >= 0) | (first == _START)
         bucket = (_mixed(np.where(spread, first * 31 + words, first)) % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((doc, words, first, bucket))
-        bucket, first, words, doc, place_next = (x[order] for x in (bucket, first, words, doc, place_next))
+        bucket, first, words, doc, place, place_next = (x[order] for x in (bucket, first, words, doc, place, place_next))
         new = np.ones(len(words), bool)
         new[1:] = (words[1:] != words[:-1]) | (first[1:] != first[:-1]) | (doc[1:] != doc[:-1])
         at = np.flatnonzero(new)
         times = np.diff(np.append(at, len(new)))
-        bucket, first, words, doc, place_next = (x[at] for x in (bucket, first, words, doc, place_next))
+        bucket, first, words, doc, place, place_next = (x[at] for x in (bucket, first, words, doc, place, place_next))
         cut = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
         group = np.ones(len(first), bool)
         group[1:] = (first[1:] != first[:-1]) | (bucket[1:] != bucket[:-1])
         starts = np.flatnonzero(group)
         rare = place_next < 0
         group_cut = np.searchsorted(starts, cut)
+        first, place = first[starts], np.where(first[starts] == _START, _AT_START, place[starts])
+        rare_first = place == _RARE
+        rare_first_cut = np.concatenate([[0], np.cumsum(rare_first)])[group_cut]
         rare_cut = np.concatenate([[0], np.cumsum(rare)])[cut]
         n = len(cut) - 1
         none = pa.nulls(n, pa.list_(id_type))
         columns = [
             pa.array(bucket[cut[:-1]], pa.int32()),
             pa.array(np.full(n, base), pa.int64()),
-            _list_array(group_cut, first[starts], pa.int64()),
-            _list_array(group_cut, np.diff(np.append(starts, len(first))), pa.int32()),
+            _list_array(group_cut, place, pa.int32()),
+            _list_array(rare_first_cut, first[rare_first], pa.int64()),
+            _list_array(group_cut, np.diff(np.append(starts, len(words))), pa.int32()),
             _list_array(cut, place_next, pa.int32()),
             _list_array(rare_cut, words[rare], pa.int64()),
             _list_array(cut, doc, pa.int16()),
             _list_array(cut, times, pa.int32()),
             none,
         ]
-        names = ["bucket", "base", "first", "sizes", "next", "rare", "doc", "times", "ids"]
+        names = ["bucket", "base", "first", "rare_first", "sizes", "next", "rare", "doc", "times", "ids"]
         if n:
             yield pa.RecordBatch.from_arrays(columns, names)
         whole = np.array([0, len(sizes)])
         empty = lambda kind: pa.nulls(1, pa.list_(kind))
         ids = pa.ListArray.from_arrays(pa.array(whole.astype(np.int32)), batch.column(0))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([base % buckets], pa.int32()), pa.array([base], pa.int64()), empty(pa.int64()), _list_array(whole, sizes, pa.int32())]
+            [pa.array([base % buckets], pa.int32()), pa.array([base], pa.int64()), empty(pa.int32()), empty(pa.int64()), _list_array(whole, sizes, pa.int32())]
             + [empty(kind) for kind in (pa.int32(), pa.int64(), pa.int16(), pa.int32())]
             + [ids],
             names,
@@ -193,7 +202,11 @@ def _bucket_scores(hot, id_type: pa.DataType):
 
     def scored(rows: pa.Table) -> pa.RecordBatch | None:
         known = hot.value
-        first = np.repeat(values(rows, "first"), values(rows, "sizes"))
+        place_first = values(rows, "first").astype(np.int64)
+        first = np.full(len(place_first), _START, np.int64)
+        first[place_first >= 0] = known.words[place_first[place_first >= 0]]
+        first[place_first == _RARE] = values(rows, "rare_first")
+        first = np.repeat(first, values(rows, "sizes"))
         doc, times, place = values(rows, "doc").astype(np.int64), values(rows, "times").astype(np.int64), values(rows, "next").astype(np.int64)
         lengths = np.diff(rows.column("next").combine_chunks().offsets.to_numpy())
         block = np.repeat(np.arange(len(lengths)), lengths)
