@@ -2,8 +2,9 @@
 
 A pair is an utterance (prediction) and the next one (target), both whole; even
 utterances are silent, hence warped. Voiced pairs are cut to their common length
-around the centre first, as recordings of one text are. Utterances of more than
-``MAX_FRAMES`` frames take no part, as in the batches.
+around the centre first, as recordings of one text are. Utterances end after
+``MAX_FRAMES`` frames, as in the batches; the SQL beside the queries leaves
+longer ones out, so the two agree where none is longer.
 """
 
 from __future__ import annotations
@@ -41,8 +42,8 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored once: an utterance is read as prediction and as target."""
-    packed = al.sequence_arrays(frames(spark, sf_dir), "utt", ["feat", "phone", "scores"])
-    return stored(packed.where(F.size("feat") <= MAX_FRAMES), "sequences")
+    kept = frames(spark, sf_dir).where(F.col("t") < MAX_FRAMES)
+    return stored(al.sequence_arrays(kept, "utt", ["feat", "phone", "scores"]), "sequences")
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from speechlake.functions import arrays, warp
 from speechlake.operators import alignment, batches, evaluation, intervals, sequences
+from speechlake.plans import alignments
 
 LENGTHS = "utt int, silent boolean, speech_len int, phone_len int, emg_len int, video_len int, voiced_len int"
 
@@ -218,3 +219,15 @@ def test_last_interval(spark):
     }
     fixed = intervals.repair_last_intervals(df, report).where("utt = 1").orderBy("idx").collect()
     assert [(r.idx, r.xmin, r.xmax, r.label) for r in fixed] == [(0, 0.0, 1.0, "z"), (1, 1.0, 1.3, "a"), (2, 1.3, 1.5, "")]
+
+
+def test_a_long_utterance_is_cut_and_keeps_its_pairs(spark, tmp_path):
+    sizes = {4: 30, 5: 805, 6: 20, 8: 900, 9: 5}
+    rows = [(u, 1_600_000_000 + t, 1000 * u + t, float(t), '{"k": 1}', "click") for u, n in sizes.items() for t in range(n)]
+    events = spark.createDataFrame(rows, "user_id long, ts long, event_id long, value double, props string, event_type string")
+    events.withColumn("ts", F.timestamp_seconds("ts")).write.parquet(str(tmp_path / "events.parquet"))
+    seqs = {r.utt: r.feat for r in alignments.sequences(spark, str(tmp_path)).collect()}
+    assert {u: len(f) for u, f in seqs.items()} == {u: min(n, 800) for u, n in sizes.items()}
+    assert [f[0] for f in seqs[5]] == [t / 100 for t in range(800)]
+    pairs = {r.utt: (len(r.feat), len(r.y)) for r in alignments.pairs(spark, str(tmp_path)).collect()}
+    assert pairs == {4: (30, 800), 5: (20, 20), 8: (800, 5)}
