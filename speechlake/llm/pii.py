@@ -1,11 +1,11 @@
 """Personal data: patterns, and terms that reveal them.
 
 Four kinds are found by pattern. Their values are the protected entities. The
-words around an entity are its context; over the whole corpus, the pointwise
-mutual information of entity and word, as a share of the entity's own
+document that holds an entity is its context; over the whole corpus, the
+pointwise mutual information of entity and word, as a share of the entity's own
 information content, says how much of the entity the word discloses (1: whoever
 reads the word knows the entity). Words that disclose ``GENERALISE_AT`` or more
-and were seen in at least ``MIN_CONTEXTS`` different contexts are masked in the
+and were seen in at least ``MIN_CONTEXTS`` different texts are masked in the
 documents that hold the entity: generalised to a class of words, or removed
 from ``REMOVE_AT`` on.
 
@@ -13,7 +13,7 @@ Everything is column functions: matches and the text between them give code
 point offsets, and the counts are two aggregations and equi-joins.
 
 Defined results: null, empty and blank texts have no spans; equal rows get equal
-results; copies of a context count as one context but as many occurrences; an
+results; copies of a text count as one context but as many documents; an
 empty table gives no rows; other columns are not looked at.
 """
 
@@ -40,9 +40,6 @@ _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _SPAN = "array<struct<start:int,end:int,value:string>>"
 _FOUND = "array<struct<start:int,kind:int,end:int,value:string>>"
 
-# Characters on each side of an entity that are its context.
-CONTEXT = 64
-MIN_LETTERS = 4
 MIN_CONTEXTS = 2
 GENERALISE_AT = 0.95
 REMOVE_AT = 0.99
@@ -107,47 +104,47 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w) >= MIN_LETTERS)
+    """The different words of a text, with letters and digits."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
 
 
 def contexts(keyed: DataFrame) -> DataFrame:
-    """``doc_id, text_key, entity, context`` per found entity; the words that
-    the window cuts are left out."""
-    spans = keyed.select("doc_id", "text_key", "text", base_spans(F.col("text")).alias("spans")).where(F.size("spans") > 0)
-    text = F.col("text")
-
-    def around(s: Column) -> Column:
-        first = F.greatest(s["start"] - CONTEXT, F.lit(0))
-        left, right = F.substring(text, first + 1, s["start"] - first), F.substring(text, s["end"] + 1, F.lit(CONTEXT))
-        whole_left = F.when(first > 0, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
-        whole_right = F.when(F.length(right) == CONTEXT, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
+    """``doc_id, text_key, entities`` of the documents that hold entities."""
+
+    def named(s: Column) -> Column:
         name = F.when(s["kind"] == 0, F.lower(s["value"])).otherwise(_digits(s["value"]))
-        entity = F.concat_ws(":", s["kind"].cast("string"), name)
-        return F.struct(entity.alias("entity"), F.concat(whole_left, F.lit(" "), whole_right).alias("context"))
+        return F.concat_ws(":", s["kind"].cast("string"), name)
 
-    return spans.select("doc_id", "text_key", F.explode(F.transform("spans", around)).alias("c")).select("doc_id", "text_key", "c.entity", "c.context")
+    spans = keyed.select("doc_id", "text_key", base_spans(F.col("text")).alias("spans")).where(F.size("spans") > 0)
+    return spans.select("doc_id", "text_key", F.array_distinct(F.transform("spans", named)).alias("entities"))
 
 
 def disclosing(keyed: DataFrame, seen: DataFrame) -> DataFrame:
     """``entity, term, removed`` of the terms above the threshold.
 
-    ``seen`` are the corpus's contexts. Counts are of occurrences: ``n`` of the
-    corpus, ``n_entity`` of the entity's contexts, ``n_term`` of the term and
-    ``n_both`` of the term in them.
+    ``seen`` are the corpus's contexts. Counts are of documents: ``n`` of the
+    corpus, ``n_entity`` with the entity, ``n_term`` with the term and
+    ``n_both`` with both.
     """
-    around = seen.select("entity", F.xxhash64("context").alias("context_key"), F.explode(_words(F.col("context"))).alias("term"))
-    both = stored(
-        around.groupBy("entity", "term", "context_key").count().groupBy("entity", "term").agg(F.sum("count").alias("n_both"), F.count("*").alias("n_contexts")),
-        "both",
+    texts = seen.groupBy("text_key").agg(F.any_value("entities").alias("entities"), F.count("*").alias("copies"))
+    held = stored(texts.select("text_key", "copies", F.explode("entities").alias("entity")), "held")
+    entities = stored(
+        held.groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.count("*").alias("n_contexts")).where(F.col("n_contexts") >= MIN_CONTEXTS)
+        .select("entity", "n_entity"),
+        "entities",
     )
-    entities = both.groupBy("entity").agg(F.sum("n_both").alias("n_entity"))
+    # An entity of fewer texts cannot meet a term in more.
+    often = stored(held.join(entities, "entity").groupBy("text_key", "copies").agg(F.collect_list("entity").alias("entities")), "often")
+    known = keyed.join(often.select("text_key"), "text_key", "left_semi").groupBy("text_key").agg(F.any_value("text").alias("text"))
+    pairs = often.join(known.select("text_key", _words(F.col("text")).alias("terms")), "text_key")
+    pairs = pairs.select("copies", "terms", F.explode("entities").alias("entity")).select("copies", "entity", F.explode("terms").alias("term"))
+    both = stored(pairs.groupBy("entity", "term").agg(F.sum("copies").alias("n_both"), F.count("*").alias("n_contexts")).where(F.col("n_contexts") >= MIN_CONTEXTS), "both")
     counts = stored(keyed.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")), "terms")
-    total = counts.agg(F.sum("n_term").alias("n"))
+    total = keyed.agg(F.count("*").alias("n"))
     content = -F.log2(F.col("n_entity") / F.col("n"))
     shared = F.log2(F.col("n_both") * F.col("n") / (F.col("n_entity") * F.col("n_term")))
     return (
-        both.where(F.col("n_contexts") >= MIN_CONTEXTS)
-        .join(counts, "term")
+        both.join(counts, "term")
         .join(entities, "entity")
         .join(F.broadcast(total))  # one row
         .where((content > 0) & (shared >= GENERALISE_AT * content))
@@ -160,7 +157,7 @@ def revealing_terms(keyed: DataFrame) -> DataFrame:
     an entity; a term that is removed for one entity is removed."""
     seen = stored(contexts(keyed), "contexts")
     chosen = stored(disclosing(keyed, seen), "disclosing")
-    held = seen.select("doc_id", "text_key", "entity").distinct()
+    held = seen.select("doc_id", "text_key", F.explode("entities").alias("entity")).distinct()
     terms = held.join(chosen, "entity").groupBy("doc_id", "text_key", "term").agg(F.max("removed").alias("removed"))
     return terms.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("term", "removed")).alias("terms"))
 
@@ -168,7 +165,7 @@ def revealing_terms(keyed: DataFrame) -> DataFrame:
 def all_spans(text: Column, base: Column, terms: Column) -> Column:
     """Base spans and those of the terms, without terms inside base spans."""
     words = F.array_join(F.transform(terms, lambda t: t["term"]), "|")
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), words, F.lit(r")(?!\p{L})"))
+    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), words, F.lit(r")(?![\p{L}\p{N}])"))
     free = F.filter(located(text, pattern), lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     tagged = F.transform(free, lambda s: F.struct(s["start"].alias("start"), F.lit(TERM).alias("kind"), s["end"].alias("end"), s["value"].alias("value")))
     return F.when(terms.isNull(), base).otherwise(F.array_sort(F.concat(base, tagged)))

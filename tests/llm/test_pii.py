@@ -60,3 +60,14 @@ def test_terms_that_reveal_are_masked(documents):
     assert all("writes" in clean[i] for i in range(3))  # most of its uses are elsewhere
     assert all(clean[d] == t for d, t in rows if d >= 10)
     assert pii.sanitise(documents(rows)).columns == documents(rows).columns
+
+
+def test_short_far_and_numbered_terms_are_masked(documents):
+    rows = [(i, f"Li R2D2 {prose(i, 60)} mail to li@doe.org please") for i in range(3)]
+    rows += [(10 + i, f"mail to nobody please {prose(100 + i, 30)}") for i in range(12)]
+    clean = {r.doc_id: r.text for r in pii.sanitise(documents(rows)).collect()}
+    for i in range(3):
+        words = clean[i].split()
+        assert "[EMAIL]" in words and "mail" in words and "please" in words
+        assert "Li" not in words and "R2D2" not in words
+    assert all(clean[d] == t for d, t in rows if d >= 10)
