@@ -184,14 +184,15 @@ def with_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
 def sanitised(text: Column, spans: Column, terms: Column) -> Column:
     """The text with every span replaced by its class in brackets, and terms
-    that must be removed by nothing. Of overlapping spans the first counts."""
+    that must be removed by nothing. The union of overlapping spans is masked."""
     gone = F.transform(F.filter(terms, lambda t: t["removed"]), lambda t: t["term"])
     labels = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS[:TERM]), F.lit("[WORD]"))
 
     def step(done: Column, s: Column) -> Column:
         label = F.when((s["kind"] == TERM) & F.coalesce(F.array_contains(gone, F.lower(s["value"])), F.lit(False)), "").otherwise(F.get(labels, s["kind"]))
-        parts = F.concat(done["parts"], F.array(F.substring(text, done["at"] + 1, s["start"] - done["at"]), label))
-        return F.when(s["start"] < done["at"], done).otherwise(F.struct(s["end"].alias("at"), parts.alias("parts")))
+        gap = F.greatest(s["start"] - done["at"], F.lit(0))
+        parts = F.concat(done["parts"], F.array(F.substring(text, done["at"] + 1, gap), label))
+        return F.when(s["end"] <= done["at"], done).otherwise(F.struct(s["end"].alias("at"), parts.alias("parts")))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
     rest = lambda done: F.concat(F.array_join(done["parts"], ""), F.substring(text, done["at"] + 1, F.length(text)))

@@ -71,3 +71,11 @@ def test_short_far_and_numbered_terms_are_masked(documents):
         assert "[EMAIL]" in words and "mail" in words and "please" in words
         assert "Li" not in words and "R2D2" not in words
     assert all(clean[d] == t for d, t in rows if d >= 10)
+
+
+def test_the_union_of_overlapping_spans_is_masked(documents):
+    card = next(c for c in (f"24 5555 5555 5555 55{k:02d}" for k in range(100)) if valid("card", c))
+    text = f"see 10.0.0.{card} now"
+    assert base(text).count(":") == 4
+    clean = pii.sanitise(documents([(1, text)])).first().text
+    assert clean == "see [IP][CARD] now"
