@@ -164,26 +164,35 @@ def links(prints: DataFrame) -> DataFrame:
     return grouped.repartition("g").sortWithinPartitions("g").mapInArrow(_group_links, "u long, v long")
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, fp, component_id`` for every row; the id is the smallest
-    document id that links reach."""
+def _class_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``doc_id, fp, component_id, root``; the root tells classes of equal ids apart."""
     ship(docs.sparkSession)
     rows = stored(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text)).alias("fp")), "fingerprints")
     prints = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "prints")
     roots = stored(components(links(prints)), "roots").withColumnRenamed("node", "fp")
     linked = stored(prints.join(roots, "fp"), "linked")
     smallest = stored(linked.groupBy("root").agg(F.min("first_doc").alias("component_id")), "smallest")
-    linked = linked.join(smallest, "root").select("fp", "component_id")
+    linked = linked.join(smallest, "root").select("fp", "component_id", "root")
     named = stored(
-        prints.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_doc").alias("component_id")), "classes"
+        prints.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_doc").alias("component_id"), F.coalesce("root", "fp").alias("root")), "classes"
     )
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(named, "fp").select("doc_id", "fp", "component_id", "root")
+
+
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, fp, component_id`` for every row; the id is the smallest
+    document id that links reach."""
+    return _class_rows(docs, doc_id, text).drop("root")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each class: the one whose id names it."""
-    found = stored(classes(docs, doc_id, text), "class-rows")
+    """One document of each class: the one whose id names it, of several the
+    one with the smallest fingerprint."""
+    found = stored(_class_rows(docs, doc_id, text), "class-rows")
     named = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    kept = stored(found.where(named).groupBy("root").agg(F.min("fp").alias("_kept")).select("_kept"), "kept")
+    found = found.join(kept, F.col("fp") == F.col("_kept"), "left")
+    named = named & F.col("_kept").isNotNull()
     gone = found.where(~named).select(F.col("doc_id").alias("_id"), F.col("fp").alias("_gone")).distinct()
     repeated = stored(
         found.where(named).groupBy("doc_id", "fp").count().where("count > 1").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_again")),

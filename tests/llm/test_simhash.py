@@ -80,3 +80,22 @@ def test_components_of_a_star_and_a_path(spark):
     edges = [(0, i) for i in range(1, 200)] + [(1000 + i, 1001 + i) for i in range(100)] + [(5, 5), (0, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(200)}, **{1000 + i: 1000 for i in range(101)}}
+
+
+def test_a_class_of_equal_ids_keeps_one_row(documents):
+    words = prose(1, 400).split()
+    texts, seen = [], set()
+    for i in range(400):  # one word less each, until two fingerprints are near
+        text = " ".join(words[: 400 - i])
+        fp = simhash.fingerprint_of(text)
+        if texts and fp not in seen and any((fp ^ x).bit_count() <= simhash.RADIUS for x in seen):
+            texts.append(text)
+            break
+        texts, seen = [text], {fp}
+    if len(texts) < 2:
+        raise AssertionError("no near texts")
+    other = prose(9, 90)
+    for one in (7, None):
+        rows = [(one, t) for t in texts] + [(one, other)]
+        kept = sorted(r.text for r in simhash.keep_one(documents(rows)).collect())
+        assert len(kept) == 2 and other in kept
