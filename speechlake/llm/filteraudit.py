@@ -145,7 +145,8 @@ def _update(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> It
 
 def run_counters(spark: SparkSession, path: str, labels: DataFrame, out: str, buckets: int, files_per_batch: int) -> None:
     """Process the files below ``path`` that ``out`` has not seen yet."""
-    stream = file_stream(spark, path, spark.read.parquet(path).schema, files_per_batch)
+    # A pattern, as a stream takes a plain path for a folder; the table may be one file.
+    stream = file_stream(spark, f"{path[:-1]}[{path[-1]}]", spark.read.parquet(path).schema, files_per_batch)
     rows = masked(stream, labels, buckets).mapInArrow(_merged, _ROW)
     changes = rows.groupBy("bucket").applyInPandasWithState(_update, _COUNTS, "rows binary", "append", GroupStateTimeout.NoTimeout)
 
