@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("quality", "simhash", "tokencounts", "decontamination", "pii", "pieces", "urls", "preferences", "scoring", "passages", "crosstokens", "filteraudit")
+MODULES = ("quality", "simhash", "tokencounts", "decontamination", "pii", "pieces", "urls", "preferences", "scoring", "passages", "crosstokens", "filteraudit", "supportvectors")
 
 
 def load() -> tuple[dict, dict]:
