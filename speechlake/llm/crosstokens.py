@@ -14,9 +14,9 @@ pass they meet the vector, the highest count of each B id (both bounded by the
 vocabularies) and the ``HOT_PAIRS`` most frequent other pairs; rarer pairs meet
 their counts in a shuffled join.
 
-Long texts are encoded in stretches of about ``CUT`` characters. They are cut
-before a single space between two other characters, where no token of either
-side reaches across.
+Texts are cut before single spaces between two other characters, where no token
+of either side reaches across. A task encodes each unit once as long as it
+remembers it, and a text is put together from its units.
 
 Defined results: texts that are null, empty, or not given back byte by byte by
 both tokenizers have zeros and an empty ``groups_sha256``; special strings in a
@@ -43,10 +43,11 @@ from speechlake.llm.common import most_frequent, query, ship, table
 from speechlake.sources.scratch import stored
 
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
-# Characters that are encoded at a time.
-CUT = 1 << 16
+# Characters of the texts that are worked on at a time.
+CUT = 1 << 20
 HOT_PAIRS = 65536
-# Distinct pairs that a task holds before it passes them on.
+# Distinct pairs that a task holds before it passes them on, and units that it
+# remembers (of 64 characters each on average).
 HELD = 200_000
 
 _PLACE = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
@@ -92,31 +93,20 @@ class Tokenizers:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def encode(self, text: str) -> tuple[list[int], list[int]] | None:
-        """Ids of both sides; None where one does not give the text back."""
-        if not text:
-            return None
-        a, b, whole = [], [], " " + text
-        for part in cuts(whole, CUT):
-            x, y = self.a.encode(part, add_special_tokens=False).ids, self.b.encode(part[1:], num_threads=1)
-            asked = part.encode()
-            if b"".join([self.a_bytes[i] for i in x]) != asked or b"".join([self.b_bytes[i] for i in y]) != asked:
-                return None
-            a += x
-            b += y
-        return a, b
-
-
-def cuts(text: str, size: int) -> Iterator[str]:
-    """Stretches of about ``size`` characters that begin with a single space."""
-    start = 0
-    while len(text) - start > size:
-        place = _PLACE.search(text, start + size)
-        if place is None:
-            break
-        yield text[start : place.start()]
-        start = place.start()
-    yield text[start:]
+    def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of both sides of texts; a space stands before each of them."""
+        left = self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)
+        return [x.ids for x in left], self.b.encode(units, num_threads=1)
+
+    def faithful(self, unit: str, a: list[int], b: list[int]) -> bool:
+        """Whether both sides give the text back byte by byte."""
+        whole = b" " + unit.encode()
+        return b"".join([self.a_bytes[i] for i in a]) == whole == b"".join([self.b_bytes[i] for i in b])
+
+
+def units_of(text: str | None) -> list[str]:
+    """A text cut at single spaces between other characters, which go."""
+    return _PLACE.split(text) if text else []
 
 
 @lru_cache(maxsize=1)
@@ -132,13 +122,50 @@ def groups(a: np.ndarray, b: np.ndarray, t: Tokenizers) -> tuple[np.ndarray, np.
     return last, at[last]
 
 
-def _spelt(a: list[int], b: list[int], x: np.ndarray, y: np.ndarray, names: list[str]) -> str:
-    left, right = [names[i] for i in a], [names[i] for i in b]
-    out, s, t = [], 0, 0
-    for e, f in zip((x + 1).tolist(), (y + 1).tolist()):
-        out.append(f"{left[s]}|{right[t]}" if e - s == 1 == f - t else f"{','.join(left[s:e])}|{','.join(right[t:f])}")
-        s, t = e, f
-    return ";".join(out)
+class Units:
+    """Encoded units, by number: what a text needs to know of each."""
+
+    def __init__(self, t: Tokenizers):
+        self.t = t
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.letters = 0
+        self.spelt: list[str] = []
+        # Tokens of A and B, groups, and whether both sides are faithful; per unit.
+        self.facts = np.zeros((0, 4), np.int64)
+        self.links, self.alone = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.first = np.zeros(1, np.int64)
+
+    def add(self, units: list[str]) -> None:
+        """Encode units that are not known; all at once, as no group crosses units."""
+        t = self.t
+        if not units:
+            return
+        a, b = t.encode(units)
+        good = [t.faithful(u, x, y) for u, x, y in zip(units, a, b)]
+        a, b = ([x if g else [] for x, g in zip(side, good)] for side in (a, b))
+        left, right = (np.fromiter((i for x in side for i in x), np.int64) for side in (a, b))
+        x, y = groups(left, right, t) if len(left) else (np.zeros(0, np.int64),) * 2
+        n_a, n_b = (np.array([len(x) for x in side], np.int64) for side in (a, b))
+        n = np.diff(np.searchsorted(x, np.cumsum(n_a)), prepend=0)
+        alone = (np.diff(x, prepend=-1) == 1) & (np.diff(y, prepend=-1) == 1) & (t.same[left[x]] == right[y])
+        self.facts = np.concatenate([self.facts, np.stack([n_a, n_b, n, np.array(good, np.int64)], axis=1)])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(n)])
+        self.links = np.concatenate([self.links, left[x] << _SHIFT | right[y]])
+        self.alone = np.concatenate([self.alone, alone])
+        names, at, s, u = t.names, 0, 0, 0
+        left, right, x, y = (v.tolist() for v in (left, right, x + 1, y + 1))
+        for unit, many in zip(units, n.tolist()):
+            out = []
+            for e, f in zip(x[at : at + many], y[at : at + many]):
+                out.append(f"{','.join([names[i] for i in left[s:e]])}|{','.join([names[i] for i in right[u:f]])}")
+                s, u = e, f
+            at += many
+            self.number[unit] = len(self.spelt)
+            self.spelt.append(";".join(out))
+            self.letters += len(unit)
 
 
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
@@ -150,52 +177,80 @@ _LISTS = ["same", "same_n", "odd", "odd_n"]
 _NUMBERS = ["n_a", "n_b", "n_groups"]
 
 
+def _slices(texts: pa.Array) -> Iterator[list[list[str]]]:
+    """Units of neighbouring texts of together about ``CUT`` characters."""
+    held, size = [], 0
+    for value in texts:
+        text = value.as_py()
+        held.append(units_of(text))
+        size += len(text or "")
+        if size > CUT:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def _encoded(first: str, second: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizers(first, second)
-        vector, odd = np.zeros(len(t.a_bytes), np.int64), Counter()
-        none, kind = np.zeros(0, np.int64), None
+        known, vector, odd, kind = Units(t), np.zeros(len(t.a_bytes), np.int64), Counter(), None
 
-        def made(ids: pa.Array, numbers: list[tuple], shas: list[str], lists: list[tuple], total: bool) -> pa.RecordBatch:
-            columns = [ids, *(pa.array([n[k] for n in numbers], pa.int64()) for k in range(3)), pa.array(shas, pa.string())]
-            columns += [_lists([x[k] for x in lists]) for k in range(4)]
-            columns.append(pa.array([total] * len(ids), pa.bool_()))
-            return pa.RecordBatch.from_arrays(columns, ["doc_id", *_NUMBERS, "groups_sha256", *_LISTS, "total"])
+        def made(ids: pa.Array, numbers: np.ndarray, shas: list[str], lists: list[pa.Array], total: bool) -> pa.RecordBatch:
+            columns = [ids, *(pa.array(numbers[:, k]) for k in range(3)), pa.array(shas, pa.string()), *lists]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([total] * len(ids), pa.bool_())], ["doc_id", *_NUMBERS, "groups_sha256", *_LISTS, "total"])
 
         def totals() -> pa.RecordBatch:
             """What the task has counted; one row."""
             seen = np.flatnonzero(vector)
-            pairs = np.fromiter(odd.keys(), np.int64, len(odd)), np.fromiter(odd.values(), np.int64, len(odd))
-            out = made(pa.nulls(1, kind), [(0, 0, 0)], [""], [(seen, vector[seen], *pairs)], True)
+            pairs = (np.fromiter(x, np.int64, len(odd)) for x in (odd.keys(), odd.values()))
+            out = made(pa.nulls(1, kind), np.zeros((1, 3), np.int64), [""], [_lists([x]) for x in (seen, vector[seen], *pairs)], True)
             vector[:] = 0
             odd.clear()
             return out
 
         for batch in batches:
-            kind = batch.column(0).type
-            numbers, shas, lists = [], [], []
-            for value in batch.column(1):
-                both = t.encode(value.as_py() or "")
-                if both is None:
-                    numbers.append((0, 0, 0))
-                    shas.append("")
-                    lists.append((none,) * 4)
-                    continue
-                a, b = (np.array(x, np.int64) for x in both)
-                x, y = groups(a, b, t)
-                left, right = a[x], b[y]
-                alone = (np.diff(x, prepend=-1) == 1) & (np.diff(y, prepend=-1) == 1) & (t.same[left] == right)
-                same, same_n = np.unique(left[alone], return_counts=True)
-                other, other_n = np.unique(left[~alone] << _SHIFT | right[~alone], return_counts=True)
-                vector[same] += same_n
-                for pair, n in zip(other.tolist(), other_n.tolist()):
-                    odd[pair] += n
-                numbers.append((len(a), len(b), len(x)))
-                shas.append(hashlib.sha256(_spelt(*both, x, y, t.names).encode()).hexdigest())
-                lists.append((same, same_n, other, other_n))
-            yield made(batch.column(0), numbers, shas, lists, False)
-            if len(odd) > HELD:
-                yield totals()
+            kind, start = batch.column(0).type, 0
+            for texts in _slices(batch.column(1)):
+                if len(known.number) > HELD or known.letters > 64 * HELD:
+                    known.forget()
+                known.add([u for u in dict.fromkeys(u for units in texts for u in units) if u not in known.number])
+                sizes = np.array([len(units) for units in texts], np.int64)
+                numbers = [known.number[u] for units in texts for u in units]
+                at, doc = np.array(numbers, np.int64), np.repeat(np.arange(len(texts)), sizes)
+                good = np.bincount(doc, 1 - known.facts[at, 3], len(texts)) == 0
+                good &= sizes > 0
+                facts = np.stack([np.bincount(doc, known.facts[at, k], len(texts)) for k in range(3)], axis=1).astype(np.int64) * good[:, None]
+                shas, place = [], 0
+                for size, fine in zip(sizes.tolist(), good.tolist()):
+                    spelt = ";".join([known.spelt[k] for k in numbers[place : place + size]]) if fine else ""
+                    shas.append(hashlib.sha256(spelt.encode()).hexdigest() if fine else "")
+                    place += size
+                # Distinct units per text, then their links, then distinct links per text.
+                key, many = np.unique((doc * len(known.spelt) + at)[good[doc]], return_counts=True)
+                doc, at = np.divmod(key, max(len(known.spelt), 1))
+                n = known.first[at + 1] - known.first[at]
+                link = np.repeat(known.first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                pairs, name = np.unique(known.links[link], return_inverse=True)
+                alone = np.zeros(len(pairs), bool)
+                alone[name] = known.alone[link]
+                key, where = np.unique(np.repeat(doc, n) * len(pairs) + name, return_inverse=True)
+                sums = np.bincount(where, np.repeat(many, n), len(key)).astype(np.int64)
+                doc, name = np.divmod(key, max(len(pairs), 1))
+                own = alone[name]
+                same, other = pairs[name[own]] >> _SHIFT, pairs[name[~own]]
+                vector += np.bincount(same, sums[own], len(vector)).astype(np.int64)
+                total = np.bincount(name[~own], sums[~own], len(pairs)).astype(np.int64)
+                for k in np.flatnonzero(total).tolist():
+                    odd[int(pairs[k])] += int(total[k])
+                lists = []
+                for which, values in ((own, same), (own, sums[own]), (~own, other), (~own, sums[~own])):
+                    ends = np.searchsorted(doc[which], np.arange(len(texts) + 1))
+                    lists.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64())))
+                yield made(batch.column(0).slice(start, len(texts)), facts, shas, lists, False)
+                start += len(texts)
+                if len(odd) > HELD:
+                    yield totals()
         if kind is not None:
             yield totals()
 

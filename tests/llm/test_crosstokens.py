@@ -78,6 +78,7 @@ def test_links_equal_brute_force(documents, monkeypatch):
     for hot, held in ((crosstokens.HOT_PAIRS, crosstokens.HELD), (3, 5), (0, 5)):
         monkeypatch.setattr(crosstokens, "HOT_PAIRS", hot)
         monkeypatch.setattr(crosstokens, "HELD", held)
+        monkeypatch.setattr(crosstokens, "CUT", 1 << 20 if hot else 300)
         got = crosstokens.aligned(documents(list(enumerate(TEXTS))))
         assert got.columns == NAMES
         assert sorted(map(tuple, got.collect())) == want
@@ -90,12 +91,15 @@ def test_repeated_and_null_ids_and_empty_tables(documents):
     assert crosstokens.aligned(documents([])).count() == 0
 
 
-def test_long_texts_are_cut_where_no_token_crosses():
+def test_no_token_crosses_units():
     t = crosstokens.tokenizers(crosstokens.FIRST, crosstokens.SECOND)
     text = " ".join(x or "" for x in TEXTS if "▁" not in (x or "")) * 3
-    whole = t.a.encode(" " + text, add_special_tokens=False).ids, t.b.encode(text)
-    for size in (1, 7, 100, 3000):
-        parts = list(crosstokens.cuts(" " + text, size))
-        assert "".join(parts) == " " + text and len(parts) > 3
-        encoded = [(t.a.encode(p, add_special_tokens=False).ids, t.b.encode(p[1:])) for p in parts]
-        assert tuple(sum((e[k] for e in encoded), []) for k in (0, 1)) == whole
+    units = crosstokens.units_of(text)
+    assert " ".join(units) == text and len(units) > 1000
+    a, b = t.encode(units)
+    assert sum(a, []) == t.a.encode(" " + text, add_special_tokens=False).ids and sum(b, []) == t.b.encode(text)
+
+
+def test_long_texts(documents):
+    texts = ["w" * 2000 + " end", "日本語" * 500, " ".join(f"n{i % 500}" for i in range(1500))]
+    assert sorted(map(tuple, crosstokens.aligned(documents(list(enumerate(texts)))).collect())) == brute(texts)
