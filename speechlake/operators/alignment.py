@@ -38,17 +38,17 @@ def align_pairs(
 
     Input columns: silent, feat and scores (predicted), y and phones (target).
     Silent pairs are warped; voiced pairs match frame by frame and must be
-    equally long.
+    equally long. Voiced pairs reach the warping as nulls.
     """
     scale = float(dim) ** 0.5 if dimension_norm else 1.0
-    n = F.size("y")
+    n, silent = F.size("y"), F.col("silent")
     align = warp.align_frames(phone_weight, noise, scale)
-    silent, voiced = pairs.where("silent"), pairs.where("NOT silent")
-    warped = silent.withColumn("alignment", align("feat", "scores", "y", "phones"))
-    same = F.when(F.size("feat") == n, F.sequence(F.lit(0), n - 1)).otherwise(
+    warped = pairs.withColumn("_w", align(*(F.when(silent, F.col(c)) for c in ("feat", "scores", "y", "phones"))))
+    # The condition stands before the error, so no plan can raise it for a silent pair.
+    same = F.when(silent, F.lit(None)).when(F.size("feat") == n, F.sequence(F.lit(0), n - 1)).otherwise(
         F.raise_error(F.lit("voiced prediction and target differ in length"))
     )
-    return warped.unionByName(voiced.withColumn("alignment", same))
+    return warped.withColumn("alignment", F.when(silent, F.col("_w")).otherwise(same)).drop("_w")
 
 
 def aligned_frames(aligned: DataFrame, keys: list[str], noise: int | None) -> DataFrame:
@@ -57,7 +57,8 @@ def aligned_frames(aligned: DataFrame, keys: list[str], noise: int | None) -> Da
     feat, scores = F.col("feat"), F.col("scores")
     matched = F.transform("alignment", lambda i: F.struct(F.get(feat, i).alias("feat"), F.get(scores, i).alias("scores")))
     gathered = aligned.select(*keys, "silent", F.arrays_zip("y", "phones", "alignment", matched.alias("m")).alias("_z"))
-    rows = gathered.select(*keys, "silent", F.posexplode("_z").alias("t", "f"))
+    # The inner form would make the planner test the size below, on a copy of the whole expression.
+    rows = gathered.select(*keys, "silent", F.posexplode_outer("_z").alias("t", "f")).where("t IS NOT NULL")
     eps = F.when(F.col("silent"), 0.0).otherwise(1e-6)
     gaps = F.zip_with(F.col("f.y"), F.col("f.m.feat"), lambda y, p: y - p)
     dist = F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda s, g: s + (g + eps) * (g + eps)))

@@ -3,8 +3,7 @@
 A pair is an utterance (prediction) and the next one (target), both whole; even
 utterances are silent, hence warped. Voiced pairs are cut to their common length
 around the centre first, as recordings of one text are. Utterances end after
-``MAX_FRAMES`` frames, as in the batches; the SQL beside the queries leaves
-longer ones out, so the two agree where none is longer.
+``MAX_FRAMES`` frames, as in the batches.
 """
 
 from __future__ import annotations
@@ -58,9 +57,9 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # A voiced side of n samples loses (n - common) // 2 of them at the start.
-PAIRS_SQL = f"""{SAMPLES_SQL}, sz AS (SELECT utt, count(*) AS n FROM samples GROUP BY 1 HAVING count(*) <= {MAX_FRAMES}),
-fr AS (
-  SELECT utt, t::INT AS i, value, value / 100 AS f0, k / 100 AS f1, list_position({PHONES!r}, event_type) - 1 AS phone FROM samples JOIN sz USING (utt)),
+PAIRS_SQL = f"""{SAMPLES_SQL}, fr AS (
+  SELECT utt, t::INT AS i, value, value / 100 AS f0, k / 100 AS f1, list_position({PHONES!r}, event_type) - 1 AS phone FROM samples WHERE t < {MAX_FRAMES}),
+sz AS (SELECT utt, count(*) AS n FROM fr GROUP BY 1),
 pr AS (SELECT p.utt, p.utt % 2 = 0 AS silent, CASE WHEN p.utt % 2 = 0 THEN p.n ELSE least(p.n, y.n) END AS n,
     CASE WHEN p.utt % 2 = 0 THEN y.n ELSE least(p.n, y.n) END AS m,
     CASE WHEN p.utt % 2 = 0 THEN 0 ELSE (p.n - least(p.n, y.n)) // 2 END AS p0,
@@ -111,9 +110,9 @@ frames AS (
 )
 def distance_matrix(spark, sf_dir):
     """All distances inside a pair, reported per predicted frame."""
-    rows = pairs(spark, sf_dir).select(*KEYS, F.posexplode(warp.distance_rows("feat", "y")).alias("pred_t", "row"))
-    total = F.aggregate("row", F.lit(0.0), lambda s, x: s + x)
-    return rows.select(*KEYS, "pred_t", F.round(F.array_min("row"), 6).alias("nearest"), F.round(total, 5).alias("total"))
+    profile = pairs(spark, sf_dir).select(*KEYS, warp.distance_profile("feat", "y").alias("d"))
+    rows = profile.select(*KEYS, F.posexplode_outer(F.arrays_zip("d.nearest", "d.total")).alias("pred_t", "r"))
+    return rows.select(*KEYS, "pred_t", F.round("r.nearest", 6).alias("nearest"), F.round("r.total", 5).alias("total"))
 
 
 @query(
@@ -145,12 +144,15 @@ def warp_cost(spark, sf_dir):
 )
 def align_rows(spark, sf_dir):
     aligned = silent_pairs(spark, sf_dir).withColumn("a", warp.align_rows("y", "feat"))
-    return aligned.select(*KEYS, F.posexplode("a").alias("t", "pred_t"))
+    return aligned.select(*KEYS, F.posexplode_outer("a").alias("t", "pred_t"))
+
+
+def frames_of(both: DataFrame) -> DataFrame:
+    return al.aligned_frames(al.align_pairs(both, WEIGHT, NOISE_ID), KEYS, NOISE_ID)
 
 
 def aligned_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    aligned = al.align_pairs(pairs(spark, sf_dir), WEIGHT, NOISE_ID)
-    return al.aligned_frames(aligned, KEYS, NOISE_ID)
+    return frames_of(pairs(spark, sf_dir))
 
 
 @query(
@@ -170,10 +172,10 @@ def pair_scores(spark, sf_dir):
 )
 def alignment_gather(spark, sf_dir):
     """The predicted sample behind every target frame, by an equality join."""
-    matches = aligned_frames(spark, sf_dir).select(*KEYS, "t", "pred_t")
     both = pairs(spark, sf_dir)
+    matches = frames_of(both).select(*KEYS, "t", "pred_t")
     # The first feature is a hundredth of the value.
-    pred = both.select(*KEYS, F.posexplode("feat").alias("t", "f")).select(*KEYS, "t", (F.get("f", F.lit(0)) * 100).alias("value"))
+    pred = both.select(*KEYS, F.posexplode_outer("feat").alias("t", "f")).select(*KEYS, "t", (F.get("f", F.lit(0)) * 100).alias("value"))
     return al.gather(pred, matches, KEYS).withColumn("value", F.round("value", 6))
 
 

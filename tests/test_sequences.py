@@ -1,14 +1,17 @@
 from __future__ import annotations
 
 import random
+import re
+import tracemalloc
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from speechlake.functions import arrays, warp
 from speechlake.operators import alignment, batches, evaluation, intervals, sequences
-from speechlake.plans import alignments
+from speechlake.plans import REGISTRY, alignments
 
 LENGTHS = "utt int, silent boolean, speech_len int, phone_len int, emg_len int, video_len int, voiced_len int"
 
@@ -149,12 +152,52 @@ def test_warp_equals_the_recursion(spark, monkeypatch, cells):
     rnd = np.random.default_rng(2)
     shapes = [(1, 1), (1, 5), (5, 1), (2, 2)] + [tuple(rnd.integers(1, 20, 2)) for _ in range(60)]
     matrices = [rnd.integers(0, 4, s).astype(float) for s in shapes]
-    for at, cost, found in warp._solve(matrices):
+    for at, cost, found in warp._solve([m.shape for m in matrices], lambda at: lambda i, j: matrices[at][i, j]):
         want, path = brute_warp(matrices[at])
         assert cost == want and found.tolist() == path
         assert all(a <= b for a, b in zip(found, found[1:]))
 
 
+def test_long_warp_equals_the_recursion():
+    rnd = np.random.default_rng(6)
+    for shape in [(1, 1), (1, 7), (7, 1), (2, 2), (3, 90), (90, 3), (41, 57)]:
+        costs = rnd.integers(0, 3, shape).astype(float)  # many ties
+        end, found = warp.long_warp(*shape, lambda i, j: costs[i, j])
+        want, path = brute_warp(costs)
+        assert end == want and found.tolist() == path
+    y, p = rnd.integers(0, 5, (800, 2)).astype(float), rnd.integers(0, 5, (700, 2)).astype(float)
+    cells = warp._distance(y, p)
+    whole = cells(np.arange(800)[:, None], np.arange(700)[None, :])
+    total = warp.warp(whole[None])
+    end, found = warp.long_warp(800, 700, cells)
+    assert end == total[0, -1, -1] and (found == warp.backtrack(total, np.array([800]), np.array([700]))[0]).all()
+
+
+def test_warp_of_long_sequences_in_little_memory():
+    n = 6000  # a matrix of 288 MB
+    step = np.sort(np.random.default_rng(1).random((n, 1)), axis=0)
+    tracemalloc.start()
+    end, found = warp.long_warp(n, n, warp._distance(step, step))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert end == 0 and found.tolist() == list(range(n)) and peak < 60e6
+
+
+def test_empty_sequences_have_no_cost(spark):
+    rows = [(1, [[1.0]], [[2.0], [5.0]]), (2, [], [[1.0]]), (3, None, [[1.0]]), (4, [[1.0]], [])]
+    df = spark.createDataFrame(rows, "i int, a array<array<double>>, b array<array<double>>").coalesce(1)
+    made = {r.i: (r.c, r.m, r.d) for r in df.select("i", warp.warp_cost("a", "b").alias("c"), warp.align_rows("a", "b").alias("m"), warp.distance_profile("a", "b").alias("d")).collect()}
+    assert made[1] == (float("inf"), [0], ([1.0], [5.0]))
+    assert [made[k][:2] for k in (2, 3, 4)] == [(None, []), (None, None), (None, [0])]
+    assert made[2][2] == ([], []) and np.isnan(made[4][2].nearest).all()
+
+
+def test_warping_runs_once_in_a_plan(spark):
+    for query in (alignments.align_rows, alignments.pair_scores, alignments.sequence_losses, alignments.aligned_accuracy, alignments.alignment_gather):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert len(re.findall("ArrowEvalPython", plan)) == 1, query.__name__
+
+
 def test_warp_columns(spark):
     rnd = np.random.default_rng(3)
     rows = [(i, rnd.random((4 + i, 6)).tolist()) for i in range(5)]
@@ -231,3 +274,8 @@ def test_a_long_utterance_is_cut_and_keeps_its_pairs(spark, tmp_path):
     assert [f[0] for f in seqs[5]] == [t / 100 for t in range(800)]
     pairs = {r.utt: (len(r.feat), len(r.y)) for r in alignments.pairs(spark, str(tmp_path)).collect()}
     assert pairs == {4: (30, 800), 5: (20, 20), 8: (800, 5)}
+    made = {r.utt: r.frames for r in alignments.pair_extension(spark, str(tmp_path)).collect()}
+    pandas_side = duckdb.connect().execute(
+        f"CREATE VIEW events AS FROM '{tmp_path}/events.parquet/*.parquet'; " + REGISTRY["pair_extension_u2"].sql
+    ).fetchall()
+    assert dict(pandas_side) == made == {4: 800, 5: 20, 8: 5}
