@@ -23,7 +23,7 @@ from speechlake.plans.statistics import STATS_SQL
 from speechlake.plans.texts import _RATES, _SCORED_SQL, _basic_sql
 from speechlake.sources import arrayfiles, tables
 from speechlake.sources.scratch import scratch_path
-from speechlake.streaming import running
+from speechlake.streaming import moments, running
 
 
 @query(
@@ -295,3 +295,60 @@ def daily_rates(spark, sf_dir):
     )
     made = running.run_append(running.daily_rates(stream, "ts", "event_type", "1 hour"), "daily")
     return made.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "err", "len")
+
+
+@query(
+    "vector_moments_x1",
+    """WITH v AS (SELECT label, d AS dim, embedding[d + 1]::DOUBLE AS x FROM embeddings, (SELECT unnest(range(64))::INT AS d))
+    SELECT label, dim, count(*) AS n, round(avg(x), 6) + 0.0::DOUBLE AS mean, round(var_pop(x) * count(*), 6) AS m2,
+      round(greatest(stddev_pop(x), 1e-8), 6) AS std FROM v GROUP BY 1, 2""",
+)
+def vector_moments(spark, sf_dir):
+    """Whole vectors arrive in two lots of two files, one file a micro-batch; the
+    stream is stopped between the lots and goes on from its state."""
+    path, out = scratch_path(spark, "vectors"), scratch_path(spark, "vector-moments")
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    for lot in range(2):
+        vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(2)) == lot).repartitionByRange(2, "vec_id").write.mode("append").parquet(path)
+        files = len(spark.read.parquet(path).inputFiles()) // (2 * (lot + 1))
+        stream = running.file_stream(spark, path, vectors.schema, files_per_batch=max(files, 1))
+        found = running.run_updated(moments.vector_moments(stream, "label", "embedding"), ["key"], "vector-moments", out)
+    rows = moments.per_dimension(found)
+    r6 = lambda c: (F.round(c, 6) + 0.0).alias(c)
+    return rows.select(F.col("key").alias("label"), "dim", "n", r6("mean"), F.round("m2", 6).alias("m2"), r6("std"))
+
+
+@query(
+    "paired_rates_x2",
+    f"""WITH {_SCORED_SQL} SELECT CAST(conv_id % 4 AS INT) AS session, CAST(sum(char_err) AS BIGINT) AS err, CAST(sum(char_len) AS BIGINT) AS len,
+      count(*) AS pairs FROM counts WHERE conv_id % 10 <> 9 GROUP BY 1""",
+)
+def paired_rates(spark, sf_dir):
+    """Predictions and targets arrive apart, in lots; the stream is stopped after each.
+
+    Conversations 0-3 of ten come first, then 4-7 with every third prediction of
+    the first lot once more, then two lots of number 8 hours later. Number 9 is
+    as old as the first lot and arrives last, after the watermark: it is dropped.
+    """
+    keys, out = ["conv_id", "turn"], scratch_path(spark, "paired-rates")
+    both = turn_pairs(spark, sf_dir)
+    digit, minute = F.col("conv_id") % 10, F.col("turn") % 60
+    hour = lambda h: F.timestamp_seconds(F.lit(1_600_000_000 + 3600 * h) + 60 * minute)
+    lots = [
+        (digit < 4, F.lit(False), hour(0)),
+        ((digit >= 4) & (digit < 8), (digit < 4) & (F.col("conv_id") % 3 == 0), F.when(digit < 4, hour(0)).otherwise(hour(1))),
+        ((digit == 8) & (F.col("turn") % 4 < 2), F.lit(False), hour(12)),
+        ((digit == 8) & (F.col("turn") % 4 >= 2), F.lit(False), hour(13)),
+        (digit == 9, F.lit(False), hour(0)),
+    ]
+    paths = [scratch_path(spark, side) for side in ("arriving-predictions", "arriving-targets")]
+    for fresh, again, ts in lots:
+        both.where(fresh | again).select(*keys, "prediction", ts.alias("ts")).write.mode("append").parquet(paths[0])
+        both.where(fresh).select(*keys, "target", ts.alias("ts")).write.mode("append").parquet(paths[1])
+        sides = [running.file_stream(spark, p, spark.read.parquet(p).schema) for p in paths]
+        scored = evaluation.error_counts(running.paired(*sides, keys, "ts", "2 hours", "1 hour"))
+        rows = scored.select(
+            (F.col("conv_id") % 4).cast("int").alias("session"), F.col("char_err").alias("err"), F.col("char_len").alias("len"), F.lit(1).alias("pairs")
+        )
+        found = running.run_summed(rows, ["session"], ["err", "len", "pairs"], "paired-rates", out)
+    return found

@@ -38,14 +38,51 @@ def daily_rates(stream: DataFrame, ts: str, key: str, delay: str) -> DataFrame:
     )
 
 
-def run_updated(result: DataFrame, keys: list[str], label: str) -> DataFrame:
+def paired(predictions: DataFrame, targets: DataFrame, keys: list[str], ts: str, delay: str, within: str) -> DataFrame:
+    """Join arriving predictions and targets of the same keys, each pair once.
+
+    Both carry an event time. A prediction or target that is sent again within
+    ``delay`` counts once; one that arrives more than ``delay`` behind the newest
+    of its stream, once the watermark has passed it, is dropped. Partners are at
+    most ``within`` apart, so the state of either side ends. Other columns must
+    not share names.
+    """
+    left = predictions.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
+    right = targets.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
+    renamed = right.withColumnsRenamed({c: f"_{c}" for c in [*keys, ts]})
+    span = F.expr(f"INTERVAL {within}")
+    near = (F.col(f"_{ts}") >= F.col(ts) - span) & (F.col(f"_{ts}") <= F.col(ts) + span)
+    same = [F.col(k) == F.col(f"_{k}") for k in keys]
+    return left.join(renamed, [*same, near]).drop(*[f"_{c}" for c in [*keys, ts]])
+
+
+def run_summed(rows: DataFrame, keys: list[str], sums: list[str], label: str, out: str | None = None) -> DataFrame:
+    """Process all available input; return sums of final rows per key.
+
+    A micro-batch writes its own sums to a folder of its own. With the ``out``
+    of an earlier run the stream goes on where that one stopped.
+    """
+    spark = rows.sparkSession
+    out = out or scratch_path(spark, label)
+    total = lambda df: df.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in sums))
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        total(batch).write.mode("overwrite").parquet(f"{out}/table/batch={batch_id}")
+
+    stream = rows.select(*keys, *sums).writeStream.outputMode("append").foreachBatch(save)
+    stream.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return total(spark.read.parquet(f"{out}/table"))
+
+
+def run_updated(result: DataFrame, keys: list[str], label: str, out: str | None = None) -> DataFrame:
     """Process all available input; return the last result of every key.
 
     A micro-batch writes the keys it changed to a folder of its own, so a
-    repeated batch replaces itself; reading takes the latest row per key.
+    repeated batch replaces itself; reading takes the latest row per key. With
+    the ``out`` of an earlier run the stream goes on where that one stopped.
     """
     spark = result.sparkSession
-    out = scratch_path(spark, label)
+    out = out or scratch_path(spark, label)
 
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/table/batch={batch_id}")
