@@ -95,16 +95,17 @@ def features(text: str | None, known: Words) -> np.ndarray:
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = Words()
     for batch in batches:
-        slots = [features(t.as_py(), known) for t in batch.column("text")]
-        ends = np.cumsum([0, *map(len, slots)])
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *slots]), pa.int32()))
-        yield pa.RecordBatch.from_arrays([batch.column("good"), batch.column("fold"), batch.column("mark"), lists], ["good", "fold", "mark", "slots"])
+        steps = [np.diff(features(t.as_py(), known), prepend=0) for t in batch.column("text")]
+        ends = np.cumsum([0, *map(len, steps)])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *steps]), pa.int32()))
+        yield pa.RecordBatch.from_arrays([batch.column("good"), batch.column("fold"), batch.column("mark"), lists], ["good", "fold", "mark", "steps"])
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    lists = batch.column("slots")
+    """Slots of every row."""
+    lists = batch.column("steps")
     ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-    return (values[a:b] for a, b in zip(ends, ends[1:]))
+    return (np.cumsum(values[a:b]) for a, b in zip(ends, ends[1:]))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,13 +125,13 @@ def fold(doc_id: str = "doc_id"):
 
 
 def labelled(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``good, fold, mark, slots`` of the rows to learn from; ``mark`` is a hash
-    of the id."""
+    """``good, fold, mark, steps`` of the rows to learn from; ``mark`` is a hash
+    of the id, ``steps`` lead from slot to slot, as small numbers are stored best."""
     agreed = labels.groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_least"), F.max("quality").alias("_good"))
     agreed = agreed.where("_least = _good AND _good IN (0, 1)").select("_id", F.col("_good").cast("int").alias("good"))
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("text"), fold(doc_id).alias("fold")).where("fold <> 0")
     joined = rows.join(agreed, "_id").select("text", "good", "fold", F.xxhash64("_id").alias("mark"))
-    return stored(joined.mapInArrow(_featured, "good int, fold int, mark long, slots array<int>"), "labelled")
+    return stored(joined.mapInArrow(_featured, "good int, fold int, mark long, steps array<int>"), "labelled")
 
 
 def log_ratios(rows: DataFrame) -> tuple[np.ndarray, int, int]:
@@ -200,7 +201,7 @@ def _fitted(known, most: int):
         for batch in batches:
             for good, own, slots in zip(batch.column("good").to_pylist(), batch.column("fold").to_pylist(), _rows(batch)):
                 if len(parts[own > 1]) < most:
-                    parts[own > 1].append((good, slots.copy()))
+                    parts[own > 1].append((good, slots))
         slots = [s for _, s in parts[True]]
         good = np.array([g for g, _ in parts[True]], bool)
         weights, bias = descent(slots, np.where(good, 1.0, -1.0), ratio)
