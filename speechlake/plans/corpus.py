@@ -53,11 +53,15 @@ SAMPLES_SQL = r"""samples AS (
 
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-channel signal in long view: utt, ch, t, value."""
+    return signal_of(samples(spark, sf_dir))
+
+
+def signal_of(rows: DataFrame) -> DataFrame:
     channels = F.array(
         F.struct(F.lit(0).alias("ch"), F.col("value").alias("value")),
         F.struct(F.lit(1).alias("ch"), F.col("k").cast("double").alias("value")),
     )
-    return samples(spark, sf_dir).select("utt", "t", F.inline(channels)).select("utt", "ch", "t", "value")
+    return rows.select("utt", "t", F.inline(channels)).select("utt", "ch", "t", "value")
 
 
 SIGNAL_SQL = (
@@ -73,9 +77,12 @@ def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Lengths of 0.1 to 0.3 s make neighbours overlap or leave gaps.
     """
-    s = samples(spark, sf_dir)
+    return intervals_of(samples(spark, sf_dir))
+
+
+def intervals_of(rows: DataFrame) -> DataFrame:
     start = F.col("t") * 0.2
-    return s.select(
+    return rows.select(
         "utt",
         F.lit("phones").alias("tier"),
         F.col("t").alias("idx"),

@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 
 from speechlake.functions import arrays
 from speechlake.operators import batches as b
+from speechlake.operators import intervals as iv
 from speechlake.operators import sequences as q
+from speechlake.operators import signals as s
+from speechlake.operators import stats, training
 from speechlake.operators.ordering import dense_index
-from speechlake.plans.corpus import PHONES, SAMPLES_SQL, SIGNAL_SQL, samples, signal, table
+from speechlake.plans.annotations import FRAME_LABELS_SQL, RATE
+from speechlake.plans.corpus import PHONES, SAMPLES_SQL, SIGNAL_SQL, SILENCE, intervals_of, samples, signal, table
 from speechlake.plans.registry import query
-from speechlake.plans.signals import r, rsql
+from speechlake.plans.signals import MEL, _mel_sql, r, rsql
 from speechlake.sources.scratch import stored
 
 KEYS = ["utt", "ch"]
@@ -422,6 +426,114 @@ def padding(spark, sf_dir):
     return b.pad_samples(first_channel(spark, sf_dir), ["utt"], caps, "size", F.lit(0.0))
 
 
+def mel_frames(x: DataFrame) -> DataFrame:
+    """Speech features ``utt, t, x``: log-mel frames of the first channel, one for four samples."""
+    rows = s.log_mel(x.select("utt", F.lit(0).alias("ch"), "t", (F.col("value") / 1000).alias("value")), KEYS, **MEL)
+    return rows.select("utt", F.col("frame").cast("int").alias("t"), F.col("mel").alias("x"))
+
+
+def silence_vector(x: DataFrame) -> DataFrame:
+    """The mean log-mel frame of silence, ``band, x``."""
+    return s.zero_output(s.log_mel(x.select("utt", F.lit(0).alias("ch"), "t", (F.col("value") * 0).alias("value")), KEYS, **MEL))
+
+
+_ZERO_SQL = "zero AS (SELECT band AS dim, ln(greatest(sum(weight) * sqrt(1e-9::DOUBLE), 1e-5)) AS x FROM cells GROUP BY 1)"
+
+
+@query(
+    "speech_padding_b4",
+    f"""WITH {_mel_sql('value / 1000')}, {_ZERO_SQL}, speech AS (SELECT utt, frame AS t, band AS dim, x FROM mel WHERE ch = 0),
+    sizes AS (SELECT utt, max(t) + 1 AS n FROM speech GROUP BY 1),
+    batched AS (SELECT *, (row_number() OVER (ORDER BY md5('{SEED}|0|' || utt), utt) - 1) // 32 AS batch FROM sizes),
+    grid AS (SELECT utt, n, unnest(range(least(max(n) OVER (PARTITION BY batch), 16)))::INT AS t FROM batched)
+    SELECT g.utt, g.t, z.dim, {rsql('CASE WHEN g.t < g.n THEN p.x ELSE z.x END', 'x', 5)}, g.t >= g.n AS padded
+    FROM grid g CROSS JOIN zero z LEFT JOIN speech p ON p.utt = g.utt AND p.t = g.t AND p.dim = z.dim""",
+)
+def speech_padding(spark, sf_dir):
+    """Speech features filled up with the mean frame of silence, a vector per frame."""
+    x = stored(samples(spark, sf_dir).select("utt", "t", "value"), "samples")
+    speech = stored(mel_frames(x), "mel")
+    sizes = stored(speech.groupBy("utt").agg(F.count(F.lit(1)).cast("int").alias("speech_len")), "sizes")
+    batched = b.assign_batches(sizes, "utt", 32, SEED).withColumns({"emg_len": F.lit(0), "video_len": F.lit(0)})
+    caps = stored(b.cap_lengths(batched, FRAME_RATE, 8.0, 4, VIDEO_FPS), "caps")
+    filler = training.vector_of(silence_vector(x), "band", "x")
+    padded = b.pad_samples(speech, ["utt"], caps, "max_target", filler, "x")
+    return padded.select("utt", "t", F.posexplode_outer("x").alias("dim", "x"), "padded").withColumn("x", r("x", 5))
+
+
+EDGE_SECONDS = 1.0
+_LEN = lambda m: f"count(*) FILTER (modality = '{m}' AND dim = 0) AS {m}_len"
+_CHAIN_SQL = f"""{_mel_sql('value / 1000')}, {_ZERO_SQL}{FRAME_LABELS_SQL[len(SAMPLES_SQL):]},
+speech AS (SELECT utt, frame AS t, band AS dim, x FROM mel WHERE ch = 0),
+norm AS (SELECT dim, avg(x) AS mean, greatest(stddev_pop(x), 1e-8) AS std FROM speech GROUP BY 1),
+wanted_labels AS (SELECT utt, size, unnest(range(n))::INT AS frame FROM (SELECT utt, count(*) AS n FROM speech WHERE dim = 0 GROUP BY 1) JOIN sizes USING (utt)),
+mods AS (
+  SELECT utt, 'speech' AS modality, t, dim, (x - mean) / std AS x FROM speech JOIN norm USING (dim)
+  UNION ALL SELECT utt, 'phone', frame, 0, list_position({PHONES!r}, CASE WHEN frame < size THEN coalesce(label, '{SILENCE}') ELSE '{SILENCE}' END) - 1
+    FROM wanted_labels LEFT JOIN winner USING (utt, frame)
+  UNION ALL SELECT utt, 'emg', t, ch, value FROM signal
+  UNION ALL SELECT utt - 1, 'voiced', t, ch, value FROM signal WHERE utt % 2 = 1
+  UNION ALL SELECT utt, 'video', row_number() OVER (PARTITION BY utt ORDER BY t) - 1, 0, k FROM samples WHERE t % 16 = 0 AND k % 3 <> 0),
+counted AS (SELECT utt, {', '.join(map(_LEN, training.MODALITIES))} FROM mods GROUP BY 1),
+lengths AS (SELECT utt, utt % 2 = 0 AS silent, speech_len, phone_len, emg_len, video_len, CASE WHEN utt % 2 = 0 THEN voiced_len END AS voiced_len
+  FROM counted WHERE emg_len > 0){_targets_sql(4)[len(LENGTHS_SQL):]},
+asked AS (
+  SELECT utt, 'speech' AS modality, speech_len AS n, speech_to AS w, 2 AS edge FROM targets UNION ALL SELECT utt, 'phone', phone_len, phone_to, 2 FROM targets
+  UNION ALL SELECT utt, 'emg', emg_len, emg_to, 8 FROM targets UNION ALL SELECT utt, 'video', video_len, video_to, 0 FROM targets
+  UNION ALL SELECT utt, 'voiced', coalesce(voiced_len, 0), coalesce(voiced_to, 0), 8 FROM targets),
+cuts AS (SELECT utt, modality, (n - greatest(least(w, n), 0)) // 2 + edge AS start, greatest(greatest(least(w, n), 0) - 2 * edge, 0) AS keep FROM asked),
+items AS (SELECT utt, max(keep) FILTER (modality = 'speech') AS sk, max(keep) FILTER (modality = 'emg') AS ek, max(keep) FILTER (modality = 'video') AS vk FROM cuts GROUP BY 1),
+batched AS (SELECT *, (row_number() OVER (ORDER BY md5('{SEED}|0|' || utt), utt) - 1) // 32 AS batch FROM items),
+sorted AS (SELECT *, (row_number() OVER (PARTITION BY batch ORDER BY sk DESC, utt) - 1)::INT AS slot FROM batched),
+caps AS (SELECT batch, least(max(sk), 16) AS mt, least(max(ek // 4), 16) AS me, max(vk) AS v FROM batched GROUP BY 1),
+plan AS (SELECT *, least(keep, size) AS kept FROM (SELECT c.*, s.batch, s.slot, (CASE WHEN modality IN ('speech', 'phone') THEN mt
+    WHEN modality = 'video' THEN CASE WHEN v = 0 THEN 0 ELSE least(v, 4, ceil(me / 4)) END ELSE me * 4 END)::INT AS size
+  FROM cuts c JOIN sorted s USING (utt) JOIN caps USING (batch))),
+fillers AS (SELECT 'speech' AS modality, dim, x FROM zero UNION ALL SELECT * FROM (VALUES ('phone', 0, {PHONES.index(SILENCE)}), ('emg', 0, 0), ('emg', 1, 0),
+  ('voiced', 0, 0), ('voiced', 1, 0), ('video', 0, 0))),
+chain AS (
+  SELECT utt, batch, slot, modality, t - start AS t, dim, x, false AS padded FROM plan JOIN mods USING (utt, modality) WHERE t >= start AND t < start + kept
+  UNION ALL SELECT utt, batch, slot, modality, t, dim, x, true FROM (SELECT utt, batch, slot, modality, unnest(range(kept, size)) AS t FROM plan) JOIN fillers USING (modality))"""
+
+
+@query("training_chain_b5", f"WITH {_CHAIN_SQL} SELECT utt, batch, slot, modality, t::INT AS t, dim::INT AS dim, {rsql('x', 'x', 5)}, padded FROM chain")
+def training_chain(spark, sf_dir):
+    """One epoch: features normalised, labels framed, five modalities aligned, edges
+    cut, batched, capped and padded."""
+    x = stored(samples(spark, sf_dir), "samples")
+    speech = stored(mel_frames(x), "mel")
+    normal = stats.normalize(speech, "x", stats.dim_moments(speech, "x"))
+    frames = speech.groupBy("utt").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    phones = iv.frame_labels(intervals_of(x), "phones", RATE, frames, silence=SILENCE)
+    phone = (F.array_position(F.lit(PHONES), F.col("label")) - 1).cast("double")
+    pictures = x.where((F.col("t") % 16 == 0) & (F.col("k") % 3 != 0)).withColumnRenamed("t", "at")
+    emg = F.array(F.col("value"), F.col("k").cast("double"))
+    # A row of the signal serves two utterances: its own, and the silent one before it.
+    own = F.struct("utt", F.lit("emg").alias("modality"))
+    partner = F.struct((F.col("utt") - 1).alias("utt"), F.lit("voiced").alias("modality"))
+    sides = F.when(F.col("utt") % 2 == 1, F.array(own, partner)).otherwise(F.array(own))
+    of = lambda name, df, t, v: df.select("utt", F.lit(name).alias("modality"), F.col(t).cast("int").alias("t"), v.alias("x"))
+    rows = reduce(
+        DataFrame.unionByName,
+        [
+            of("speech", normal, "t", F.col("x")),
+            of("phone", phones, "frame", F.array(phone)),
+            of("video", dense_index(pictures, ["utt"], [F.col("at")], F.col("at")), "t", F.array(F.col("k").cast("double"))),
+            x.select(F.inline(sides), "t", emg.alias("x")),
+        ],
+    )
+    utterances = x.select("utt").distinct().withColumn("silent", F.col("utt") % 2 == 0)
+    items = stored(training.windows(training.modality_lengths(rows, utterances), FRAME_RATE, EDGE_SECONDS, 4, VIDEO_FPS), "items")
+    plan = stored(training.batch_plan(items, 32, SEED, FRAME_RATE, 0, 8.0, 4, VIDEO_FPS), "batch-plan")
+    zeros = lambda n: F.array(*[F.lit(0.0)] * n)
+    fillers = {
+        "speech": training.vector_of(silence_vector(x), "band", "x"), "phone": F.array(F.lit(float(PHONES.index(SILENCE)))),
+        "emg": zeros(2), "voiced": zeros(2), "video": zeros(1),
+    }
+    made = training.training_rows(rows, plan, fillers)
+    return made.select("utt", "batch", "slot", "modality", "t", F.posexplode_outer("x").alias("dim", "x"), "padded").withColumn("x", r("x", 5))
+
+
 @query(
     "label_padding_b4",
     f"""WITH {BATCHES_SQL}, grid AS (SELECT utt, silent, emg_len, speech_len, max_target, unnest(range(max_target))::INT AS t FROM kept)
