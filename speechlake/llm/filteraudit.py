@@ -45,7 +45,7 @@ FILTERS = "ABCDE"
 # Bits of a mask beside those of the filters.
 _COPY, _GOOD, _TOXIC = 1 << 4, 1 << 5, 1 << 6
 # Micro-batches of a first run, if there are as many files.
-BATCHES = 8
+BATCHES = 4
 # Texts of a bucket of the state, on average.
 TEXTS = 512
 
