@@ -11,7 +11,8 @@ fingerprint is the hash of all its words.
 
 Defined results: null, empty and wordless texts have no words and no hits; a
 wordless item is never hit; repeated rows get the same result each; items of
-one id count once; empty tables give no rows or no hits; other columns are not
+one id count once, those without an id as one item, which has no name in the
+digest; empty tables give no rows or no hits; other columns are not
 looked at.
 """
 
@@ -57,7 +58,8 @@ def _spans(texts: DataFrame, size: int, *ids: str) -> DataFrame:
     spans = let(words_of(F.col("text")), lambda w: F.zip_with(_prints(w, size), _hashes(w, size), pair))
     return (
         texts.select(*ids, spans.alias("spans"))
-        .select(*ids, F.posexplode("spans").alias("at", "s"))
+        # The inner form would make the planner test the size below the joins, on a copy of the whole expression.
+        .select(*ids, F.posexplode_outer("spans").alias("at", "s"))
         .select(*ids, F.lit(size).alias("size"), "at", "s.print", "s.span")
     )
 
@@ -68,7 +70,7 @@ def benchmark_spans(benchmark: DataFrame, item_id: str = "item_id", text: str =
     full = _spans(items, WINDOW, "item_id")
     for size in range(1, WINDOW):
         full = full.union(_spans(items.where(F.size(words_of(F.col("text"))) == size), size, "item_id"))
-    return full.select("size", "print", "span", "item_id").distinct()
+    return full.where("print IS NOT NULL").select("size", "print", "span", "item_id").distinct()
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -115,8 +117,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
         none = counted.where(F.lit(False)).select("doc_id", "text_key", F.lit(0).cast("long").alias("n_hit"))
         return counted, none.withColumn("items", F.array().cast("array<bigint>"))
     covered = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["size"] - 1))))
-    grouped = hits.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("size", "at")).alias("spans"), F.collect_set("item_id").alias("items"))
-    return counted, grouped.select("doc_id", "text_key", F.size(covered).cast("long").alias("n_hit"), "items")
+    grouped = hits.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("size", "at")).alias("spans"), F.collect_set(F.struct("item_id")).alias("items"))
+    return counted, grouped.select("doc_id", "text_key", F.size(covered).cast("long").alias("n_hit"), F.col("items.item_id").alias("items"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

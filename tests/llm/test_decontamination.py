@@ -54,3 +54,9 @@ def test_no_items_and_no_documents(spark, documents):
     assert decontamination.drop_leaks(documents([(1, "a b")]), none).count() == 1
     some = spark.createDataFrame([(1, "a b")], "item_id long, text string")
     assert decontamination.drop_leaks(documents([]), some).count() == 0
+
+
+def test_items_without_an_id_count_as_one(spark, documents):
+    items = spark.createDataFrame([(None, "one two"), (None, "three"), (4, "three")], "item_id long, text string")
+    leaks = decontamination.find_leaks(documents([(1, "One two, three."), (2, "one"), (3, "x " * 50_000 + "three")]), items)[1]
+    assert {r.doc_id: (r.n_hit, sorted(r["items"], key=str)) for r in leaks.collect()} == {1: (3, [4, None]), 3: (1, [4, None])}
