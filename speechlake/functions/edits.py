@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from math import isqrt
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
@@ -59,43 +61,55 @@ def word_distance(prediction: Column, target: Column) -> Column:
 MATCH, SUBSTITUTE, DELETE, INSERT = 0, 1, 2, 3
 
 
-def _table(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Distance table (4 bytes a cell, so 400 MB for two texts of 10,000 items); a row is
-    one vector step because insertions are a running minimum."""
-    cols = np.arange(len(y) + 1)
-    out = np.empty((len(x) + 1, len(y) + 1), dtype=np.int32)
-    out[0] = cols
-    for i, item in enumerate(x, start=1):
-        best = np.minimum(out[i - 1, 1:] + 1, out[i - 1, :-1] + (y != item))
-        row = np.concatenate(([i], best)) - cols
-        out[i] = np.minimum.accumulate(row) + cols
-    return out
+def _row(last: np.ndarray, item: int, y: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """The row below ``last`` of the distance table; one vector step, as insertions
+    are a running minimum."""
+    best = np.minimum(last[1:] + 1, last[:-1] + (y != item))
+    return np.minimum.accumulate(np.concatenate(([last[0] + 1], best)) - cols) + cols
+
 
+def script(x: list, y: list) -> tuple[np.ndarray, np.ndarray]:
+    """Operation per item of ``x`` and of ``y``; ties prefer substitute, delete, insert.
 
-def script(x: list, y: list) -> tuple[list[int], list[int]]:
-    """Operation per item of ``x`` and of ``y``; ties prefer substitute, delete, insert."""
+    Every ``step``-th row of the table is kept, with ``step`` about the square
+    root of its rows; the way back makes the rows between two of them again, up
+    to its own column. Two texts of 10,000 items take 8 MB instead of 400.
+    """
     ids = {item: n for n, item in enumerate(dict.fromkeys([*x, *y]))}
     xs = np.array([ids[item] for item in x], dtype=np.int64)
     ys = np.array([ids[item] for item in y], dtype=np.int64)
-    cost = _table(xs, ys)
     ops_x, ops_y = np.full(len(xs), DELETE), np.full(len(ys), INSERT)
+    cols, step = np.arange(len(ys) + 1, dtype=np.int32), isqrt(len(xs)) + 1
+    kept, last = [cols], cols
+    for i, item in enumerate(xs, start=1):
+        last = _row(last, item, ys, cols)
+        if i % step == 0:
+            kept.append(last)
     i, j = len(xs), len(ys)
     while i and j:
-        same = xs[i - 1] == ys[j - 1]
-        if same or cost[i, j] == cost[i - 1, j - 1] + 1:
-            i, j = i - 1, j - 1
-            ops_x[i] = ops_y[j] = MATCH if same else SUBSTITUTE
-        elif cost[i, j] == cost[i - 1, j] + 1:
-            i -= 1
-        else:
-            j -= 1
-    return ops_x.tolist(), ops_y.tolist()
+        start = (i - 1) // step * step
+        rows, width = [kept[start // step][: j + 1]], cols[: j + 1]
+        for item in xs[start:i]:
+            rows.append(_row(rows[-1], item, ys[: len(width) - 1], width))
+        while i > start and j:
+            same = xs[i - 1] == ys[j - 1]
+            here, above = rows[i - start], rows[i - start - 1]
+            if same or here[j] == above[j - 1] + 1:
+                i, j = i - 1, j - 1
+                ops_x[i] = ops_y[j] = MATCH if same else SUBSTITUTE
+            elif here[j] == above[j] + 1:
+                i -= 1
+            else:
+                j -= 1
+    return ops_x, ops_y
 
 
 _SCRIPT = StructType([StructField("x", ArrayType(IntegerType())), StructField("y", ArrayType(IntegerType()))])
 
 
-@F.pandas_udf(_SCRIPT)
-def edit_script(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-    pairs = [script(list(a), list(b)) for a, b in zip(x, y)]
-    return pd.DataFrame({"x": [p[0] for p in pairs], "y": [p[1] for p in pairs]})
+@F.arrow_udf(_SCRIPT)
+def edit_script(x: pa.Array, y: pa.Array) -> pa.Array:
+    """Operations per item of both lists, one pair at a time; null for a null list."""
+    pairs = [script(a.as_py(), b.as_py()) if a.is_valid and b.is_valid else (None, None) for a, b in zip(x, y)]
+    sides = [pa.array([p[k] for p in pairs], pa.list_(pa.int32())) for k in (0, 1)]
+    return pa.StructArray.from_arrays(sides, ["x", "y"])

@@ -209,7 +209,30 @@ def word_distance(spark, sf_dir):
     return scored.select("conv_id", "turn", edits.word_distance(F.col("prediction"), F.col("target")).alias("word_err"))
 
 
-@query("edit_script_t14")
+# The distance table as a list of rows, then the way back one step at a time.
+_SCRIPT_SQL = f"""{PAIRS_SQL}, forms AS (SELECT {_basic_sql('prediction')} AS p, {_basic_sql('target')} AS t FROM pairs),
+listed AS (
+  SELECT row_number() OVER () AS pair, list_filter(string_split(p, ' '), lambda w: w <> '') AS p, list_filter(string_split(t, ' '), lambda w: w <> '') AS t
+  FROM forms),
+tables AS (SELECT pair, p, t, list_reduce(list_transform(range(1, len(p) + 1), lambda i: [[i]]), lambda a, e:
+    list_append(a, list_reduce(range(1, len(t) + 1), lambda row, j:
+      list_append(row, least(a[-1][j + 1] + 1, row[j] + 1, a[-1][j] + (p[e[1][1]] <> t[j])::BIGINT)), [e[1][1]])),
+    [range(0, len(t) + 1)]) AS d FROM listed),
+back AS (
+  SELECT pair, len(p) AS i, len(t) AS j, NULL::INT AS op FROM listed
+  UNION ALL
+  SELECT pair, CASE WHEN crossed OR up THEN i - 1 ELSE i END, CASE WHEN crossed OR NOT up THEN j - 1 ELSE j END,
+    CASE WHEN same THEN 0 WHEN crossed THEN 1 END
+  FROM (SELECT b.pair, i, j, p[i] = t[j] AS same, p[i] = t[j] OR d[i + 1][j + 1] = d[i][j] + 1 AS crossed, d[i + 1][j + 1] = d[i][j + 1] + 1 AS up
+    FROM back b JOIN tables USING (pair) WHERE i > 0 AND j > 0)),
+both_sides AS (SELECT op, count(*) AS n FROM back WHERE op IS NOT NULL GROUP BY 1),
+alone AS (SELECT sum(len(p)) AS p, sum(len(t)) AS t, (SELECT coalesce(sum(n), 0) FROM both_sides) AS met FROM listed),
+totals AS (
+  SELECT side, op, n FROM both_sides, (VALUES ('prediction'), ('target')) s(side)
+  UNION ALL SELECT 'prediction', 2, p - met FROM alone UNION ALL SELECT 'target', 3, t - met FROM alone)"""
+
+
+@query("edit_script_t14", f"WITH RECURSIVE {_SCRIPT_SQL} SELECT side, op::INT AS op, n::BIGINT AS n FROM totals WHERE n > 0")
 def edit_script(spark, sf_dir):
     """Corpus totals of the operations that turn the prediction into the target."""
     pairs = turn_pairs(spark, sf_dir).select(
@@ -224,7 +247,7 @@ def edit_script(spark, sf_dir):
                 F.struct(F.lit("target").alias("side"), F.col("s.y").alias("ops")),
             )
         )
-    ).select("side", F.explode("ops").alias("op"))
+    ).select("side", F.explode_outer("ops").alias("op")).where("op IS NOT NULL")
     return ops.groupBy("side", "op").agg(F.count(F.lit(1)).alias("n"))
 
 

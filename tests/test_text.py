@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import tracemalloc
 import unicodedata
 
 from hypothesis import given, settings
@@ -121,10 +122,27 @@ def test_word_distance(spark):
     assert [r.d for r in rows] == [distance(p.split(), t.split()) for p, t in pairs]
 
 
+def table_script(x, y) -> tuple[list[int], list[int]]:
+    """The same from the whole table."""
+    cost = [[distance(x[:i], y[:j]) for j in range(len(y) + 1)] for i in range(len(x) + 1)]
+    i, j, ops_x, ops_y = len(x), len(y), [2] * len(x), [3] * len(y)
+    while i and j:
+        same = x[i - 1] == y[j - 1]
+        if same or cost[i][j] == cost[i - 1][j - 1] + 1:
+            i, j = i - 1, j - 1
+            ops_x[i] = ops_y[j] = 0 if same else 1
+        elif cost[i][j] == cost[i - 1][j] + 1:
+            i -= 1
+        else:
+            j -= 1
+    return ops_x, ops_y
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from("abc"), max_size=9), st.lists(st.sampled_from("abc"), max_size=9))
 def test_edit_script_is_minimal_and_consistent(x, y):
-    ops_x, ops_y = edits.script(x, y)
+    ops_x, ops_y = (o.tolist() for o in edits.script(x, y))
+    assert (ops_x, ops_y) == table_script(x, y)
     assert len(ops_x) == len(x) and len(ops_y) == len(y)
     kept_x = [(a, o) for a, o in zip(x, ops_x) if o in (0, 1)]
     kept_y = [(b, o) for b, o in zip(y, ops_y) if o in (0, 1)]
@@ -135,9 +153,29 @@ def test_edit_script_is_minimal_and_consistent(x, y):
 
 
 def test_edit_script_ties():
-    assert edits.script(list("ab"), list("b")) == ([2, 0], [0])
-    assert edits.script(list("a"), list("b")) == ([1], [1])
-    assert edits.script([], list("ab")) == ([], [3, 3])
+    ops = lambda x, y: tuple(o.tolist() for o in edits.script(list(x), list(y)))
+    assert ops("ab", "b") == ([2, 0], [0])
+    assert ops("a", "b") == ([1], [1])
+    assert ops("", "ab") == ([], [3, 3])
+
+
+def test_edit_script_of_long_texts_in_little_memory():
+    rnd = random.Random(4)
+    x = [rnd.randrange(50) for _ in range(3000)]
+    y = [v for v in x if rnd.random() < 0.9]
+    y[100:100] = [99] * 200
+    tracemalloc.start()
+    ops_x, ops_y = edits.script(x, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4e6  # the whole table has 35 MB
+    assert (ops_x != 0).sum() + (ops_y == 3).sum() == distance(x, y)
+
+
+def test_edit_scripts_of_columns(spark):
+    rows = [(1, ["a", "b"], ["b"]), (2, [], []), (3, None, ["a"])]
+    df = spark.createDataFrame(rows, "i int, x array<string>, y array<string>").select("i", edits.edit_script("x", "y").alias("s"))
+    assert {r.i: (r.s.x, r.s.y) for r in df.collect()} == {1: ([2, 0], [0]), 2: ([], []), 3: (None, None)}
 
 
 def test_error_counts_follow_the_fuller_form(spark):
