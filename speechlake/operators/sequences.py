@@ -225,22 +225,23 @@ def fill_gaps(df: DataFrame, keys: list[str], column: str = "value", size: int =
 def smooth_landmarks(points: DataFrame, keys: list[str], margin: int = 6, size: int = CHUNK) -> DataFrame:
     """Centred mean that shrinks at the ends, moved back to the frame's own centroid.
 
-    ``points`` has (keys, t, point, x, y).
+    ``points`` has (keys, t, point, x, y). A mean is a difference of two running
+    sums inside a chunk. How far the end is shows in the rows that follow, so no
+    length is joined; points and frames of a chunk share its one shuffle.
     """
-    frames = points.groupBy(*keys).agg((F.max("t") + 1).alias("_n"))
-    haloed = with_halo(attach_stats(points, frames, keys, n="_n"), before=margin, after=margin, size=size)
-    w = chunk_window([*keys, "point"]).rangeBetween(-margin, margin)
-    t = F.col("t")
-    m = F.least(F.lit(margin), t, F.col("_n") - 1 - t).cast("int")
-    left = F.least(F.lit(margin), t).cast("int") - m + 1
+    haloed = with_halo(points, before=margin + 1, after=margin, size=size).repartition(*keys, "chunk")
+    line = chunk_window([*keys, "point"])
+    summed = haloed.withColumns({f"_p{c}": F.sum(c).over(line.rowsBetween(Window.unboundedPreceding, 0)) for c in "xy"})
+    m = F.least(F.lit(margin), F.col("t"), F.count("t").over(line.rowsBetween(1, margin))).cast("int")
+    sized = summed.withColumn("_m", m)
 
     def mean(c: str) -> Column:
-        near = F.slice(F.col(f"_{c}s"), left, 2 * m + 1)
-        return F.aggregate(near, F.lit(0.0), lambda s, v: s + v) / (2 * m + 1)
+        high = F.coalesce(*(F.when(F.col("_m") == k, F.lead(f"_p{c}", k).over(line)) for k in range(margin + 1)))
+        low = F.coalesce(*(F.when(F.col("_m") == k, F.lag(f"_p{c}", k + 1).over(line)) for k in range(margin + 1)), F.lit(0.0))
+        return (high - low) / (2 * F.col("_m") + 1)
 
-    near = haloed.withColumns({"_xs": F.collect_list("x").over(w), "_ys": F.collect_list("y").over(w)})
-    smooth = own_rows(near.withColumns({"_sx": mean("x"), "_sy": mean("y")}))
-    frame = Window.partitionBy(*keys, "t")
+    smooth = own_rows(sized.withColumns({"_sx": mean("x"), "_sy": mean("y")}).withColumn("_chunk", F.col("chunk")))
+    frame = Window.partitionBy(*keys, "_chunk", "t")
     moved = lambda c: F.col(f"_s{c}") + F.avg(c).over(frame) - F.avg(f"_s{c}").over(frame)
     return smooth.select(*keys, "t", "point", moved("x").alias("x"), moved("y").alias("y"))
 

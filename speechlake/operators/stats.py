@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from speechlake.operators.chunks import attach_stats
 from speechlake.operators.ordering import HOT_ROWS, running_offset
 
 STD_FLOOR = 1e-8
@@ -106,3 +107,15 @@ def loudest_channel(signal: DataFrame, keys: list[str]) -> DataFrame:
     return energy.groupBy(*keys).agg(
         F.max_by("ch", F.struct("energy", -F.col("ch"))).alias("ch"), F.max("energy").alias("energy")
     )
+
+
+def loudest_samples(signal: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, t, value`` of the loudest channel of every sequence.
+
+    Energies and lengths come from one partial aggregate; the winners meet the
+    samples on (keys, channel, chunk), so a long sequence is many small keys.
+    """
+    energy = signal.groupBy(*keys, "ch").agg(F.sum(F.col("value") * F.col("value")).alias("energy"), F.count(F.lit(1)).alias("_n"))
+    best = energy.groupBy(*keys).agg(F.max_by(F.struct("ch", "_n"), F.struct("energy", -F.col("ch"))).alias("_w"))
+    winners = best.select(*keys, F.col("_w.ch").alias("ch"), F.col("_w._n").alias("_n"))
+    return attach_stats(signal, winners, [*keys, "ch"], n="_n").select(*keys, "t", "value")

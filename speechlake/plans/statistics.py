@@ -96,6 +96,16 @@ def loudest_channel(spark, sf_dir):
     return loud.select("utt", "ch", F.round("energy", 4).alias("energy"))
 
 
+@query(
+    "loudest_samples_a16",
+    f"""WITH {SIGNAL_SQL}, e AS (SELECT utt, ch, sum(value * value) AS energy FROM signal GROUP BY 1, 2),
+    best AS (SELECT utt, ch FROM e QUALIFY row_number() OVER (PARTITION BY utt ORDER BY energy DESC, ch) = 1)
+    SELECT utt, t, value FROM signal JOIN best USING (utt, ch)""",
+)
+def loudest_samples(spark, sf_dir):
+    return stats.loudest_samples(signal(spark, sf_dir), ["utt"])
+
+
 @query(
     "mean_abs_error_a18",
     f"""WITH {VALUES_SQL}, p AS (SELECT a.label, a.vec_id, avg(abs(a.x - b.x)) AS err FROM vals a
