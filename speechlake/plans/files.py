@@ -106,6 +106,17 @@ def transcripts(spark, sf_dir):
     return tables.read_transcripts(spark, path, multi_line=False).select("text")
 
 
+@query("transcript_files_s6", "SELECT conv_id, max(turn) AS turns, arg_min(text, turn) AS text FROM conversations GROUP BY 1")
+def transcript_files(spark, sf_dir):
+    """One object over several lines per file; the key is in the path, as a folder."""
+    path = scratch_path(spark, "transcript-files")
+    first = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").alias("turns"), F.min_by("text", "turn").alias("text"))
+    value = F.to_json(F.struct("text", "turns"), {"pretty": "true"}).alias("value")
+    first.select("conv_id", value).write.partitionBy("conv_id").text(path)
+    docs = tables.read_transcripts(spark, f"{path}/*", fields="text STRING, turns BIGINT")
+    return docs.select(F.regexp_extract("path", r"conv_id=(\d+)/", 1).cast("long").alias("conv_id"), "turns", "text")
+
+
 def eval_rows(spark, sf_dir):
     """Scored pairs numbered in conversation order."""
     pairs = turn_pairs(spark, sf_dir)

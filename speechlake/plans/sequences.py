@@ -80,22 +80,22 @@ def center_trim(spark, sf_dir):
 
 @query(
     "array_trims_w16",
-    """WITH v AS (SELECT vec_id, embedding AS e, vec_id % 70 AS want FROM embeddings)
-    SELECT vec_id, CAST(CASE WHEN want < 64 THEN want ELSE 64 END AS INT) AS n,
-      round(CASE WHEN want = 0 THEN NULL WHEN want < 64 THEN e[(64 - want) // 2 + 1] ELSE e[1] END::DOUBLE, 6) AS first,
-      CAST(greatest(64 - vec_id % 40 - 30, 0) AS INT) AS edge_n FROM v""",
+    """WITH v AS (SELECT vec_id, embedding AS e, len(embedding) AS size, vec_id % 70 AS want, vec_id % 40 AS l FROM embeddings),
+    cut AS (SELECT vec_id, e[greatest(size - want, 0) // 2 + 1 : greatest(size - want, 0) // 2 + least(want, size)] AS c,
+      CASE WHEN size > l + 30 THEN e[l + 1 : size - 30] ELSE [] END AS t FROM v)
+    SELECT vec_id, len(c)::INT AS n, array_to_string(list_transform(c, lambda x: round(x::DOUBLE * 1e6)::BIGINT), ',') AS centre,
+      len(t)::INT AS edge_n, array_to_string(list_transform(t, lambda x: round(x::DOUBLE * 1e6)::BIGINT), ',') AS middle FROM cut""",
 )
 def array_trims(spark, sf_dir):
-    """The array forms of both trims on whole vectors."""
+    """The array forms of both trims; whole vectors are compared."""
     want = (F.col("vec_id") % 70).cast("int")
     cut = table(spark, sf_dir, "embeddings").select(
         "vec_id",
         arrays.center_trim(F.col("embedding"), want).alias("c"),
         arrays.trim_edges(F.col("embedding"), (F.col("vec_id") % 40).cast("int"), 30).alias("e"),
     )
-    return cut.select(
-        "vec_id", F.size("c").alias("n"), F.round(F.get("c", F.lit(0)).cast("double"), 6).alias("first"), F.size("e").alias("edge_n")
-    )
+    spelt = lambda c: F.array_join(F.transform(c, lambda x: F.round(x.cast("double") * 1e6).cast("long").cast("string")), ",")
+    return cut.select("vec_id", F.size("c").alias("n"), spelt("c").alias("centre"), F.size("e").alias("edge_n"), spelt("e").alias("middle"))
 
 
 def _targets_sql(k: int) -> str:
@@ -595,7 +595,9 @@ def array_padding(spark, sf_dir):
 
 @query(
     "shape_validation_p11",
-    "SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN 'rejected' ELSE 'valid' END AS status, CAST(4 AS INT) AS steps FROM embeddings",
+    """WITH m AS (SELECT vec_id, list_transform(range(4), lambda i: embedding[i * 16 + 1 : i * 16 + CASE WHEN i = 3 AND vec_id % 5 = 0 THEN 15 ELSE 16 END]) AS x
+      FROM embeddings)
+    SELECT vec_id, CASE WHEN len(list_filter(x, lambda r: len(r) <> 16)) = 0 THEN 'valid' ELSE 'rejected' END AS status, len(x)::INT AS steps FROM m""",
 )
 def shape_validation(spark, sf_dir):
     """Vectors as a matrix of 4 x 16 with a unit axis in front; every fifth has a short last frame."""

@@ -73,10 +73,10 @@ def metadata_texts(metadata: DataFrame) -> DataFrame:
     return metadata.select(tail.alias("id"), normalize_basic(F.col("text")).alias("text"))
 
 
-def read_transcripts(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Field ``text`` of JSON files, one object per file (or per line)."""
-    docs = spark.read.schema("text STRING").json(path, multiLine=multi_line)
-    return docs.select(F.col("_metadata.file_path").alias("path"), "text")
+def read_transcripts(spark: SparkSession, path: str, multi_line: bool = True, fields: str = "text STRING") -> DataFrame:
+    """``path`` and fields of JSON files, one object per file (or per line)."""
+    docs = spark.read.schema(fields).json(path, multiLine=multi_line)
+    return docs.select(F.col("_metadata.file_path").alias("path"), "*")
 
 
 def eval_log_lines(df: DataFrame) -> DataFrame:
