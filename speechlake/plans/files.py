@@ -22,7 +22,7 @@ from speechlake.plans.registry import query
 from speechlake.plans.statistics import STATS_SQL
 from speechlake.plans.texts import _RATES, _SCORED_SQL, _basic_sql
 from speechlake.sources import arrayfiles, tables
-from speechlake.sources.scratch import scratch_path
+from speechlake.sources.scratch import scratch_path, stored
 from speechlake.streaming import moments, running
 
 
@@ -195,11 +195,26 @@ def _wav(x: pd.Series) -> pd.Series:
     SELECT vec_id, (i // 8)::INT AS t, (i % 8)::INT AS ch, round(embedding[i + 1]::DOUBLE, 6) + 0.0::DOUBLE AS value FROM d""",
 )
 def array_ingest(spark, sf_dir):
-    """Every vector as an array file of 8 steps and 8 channels, decoded to rows."""
-    vec = table(spark, sf_dir, "embeddings")
-    files = vec.select(F.col("vec_id").cast("string").alias("path"), _npz("embedding").alias("content"))
-    rows = arrayfiles.decode_arrays(files).select("path", "t", F.posexplode("x").alias("ch", "value"))
-    return rows.select(F.col("path").cast("long").alias("vec_id"), "t", "ch", (F.round("value", 6) + F.lit(0.0)).alias("value"))
+    """Array files of 64 vectors, written by tasks, listed and decoded to a stored
+    table; a vector is 8 steps of 8 channels."""
+    blocks, names = _blocks(spark, sf_dir)
+    root = scratch_path(spark, "array-files")
+    arrayfiles.write_binary(blocks.select(F.format_string("block=%d/data.npz", "block").alias("path"), _npz("x").alias("content")), root)
+    rows = stored(arrayfiles.decode_arrays(arrayfiles.read_binary(spark, root, "*.npz")), "decoded-arrays")
+    placed = rows.select(_block_of("path"), F.floor(F.col("t") / 8).cast("int").alias("place"), (F.col("t") % 8).cast("int").alias("t"), "x")
+    long = placed.join(names, ["block", "place"]).select("vec_id", "t", F.posexplode_outer("x").alias("ch", "value"))
+    return long.withColumn("value", F.round("value", 6) + F.lit(0.0))
+
+
+def _blocks(spark, sf_dir):
+    """``block, x``: 64 vectors at most, one after the other; ``block, place, vec_id``."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 64).alias("block"), "vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    grouped = stored(vectors.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("vec_id", "x"))).alias("v")), "vector-blocks")
+    return grouped.select("block", F.flatten("v.x").alias("x")), grouped.select("block", F.posexplode_outer("v.vec_id").alias("place", "vec_id"))
+
+
+def _block_of(path):
+    return F.regexp_extract(path, r"block=(\d+)/", 1).cast("long").alias("block")
 
 
 @query(
@@ -209,11 +224,14 @@ def array_ingest(spark, sf_dir):
       round(trunc(embedding[i + 1]::DOUBLE * 32768) / 32768.0::DOUBLE, 9) + 0.0::DOUBLE AS value FROM d""",
 )
 def sound_ingest(spark, sf_dir):
-    """Every vector as a two-channel sound file."""
-    vec = table(spark, sf_dir, "embeddings").withColumn("x", F.col("embedding").cast("array<double>"))
-    files = vec.select(F.col("vec_id").cast("string").alias("path"), _wav("x").alias("content"))
-    rows = arrayfiles.decode_wav(files, 16000)
-    return rows.select(F.col("path").cast("long").alias("vec_id"), "rate", "t", "ch", (F.round("value", 9) + F.lit(0.0)).alias("value"))
+    """Two-channel sound files of 64 vectors, written, listed and decoded likewise."""
+    blocks, names = _blocks(spark, sf_dir)
+    root = scratch_path(spark, "sound-files")
+    arrayfiles.write_binary(blocks.select(F.format_string("block=%d/sound.wav", "block").alias("path"), _wav("x").alias("content")), root)
+    rows = stored(arrayfiles.decode_wav(arrayfiles.read_binary(spark, root, "*.wav"), 16000), "decoded-sound")
+    t = F.col("t")
+    placed = rows.select(_block_of("path"), F.floor(t / 32).cast("int").alias("place"), "rate", (t % 32).cast("int").alias("t"), "ch", "value")
+    return placed.join(names, ["block", "place"]).select("vec_id", "rate", "t", "ch", (F.round("value", 9) + F.lit(0.0)).alias("value"))
 
 
 @query(
@@ -225,8 +243,8 @@ def normaliser_store(spark, sf_dir):
     path = scratch_path(spark, "normaliser")
     compute = lambda: stats.dim_moments(table(spark, sf_dir, "embeddings"), "embedding")
     tables.stored_or_computed(spark, path, compute)
-    stored = tables.stored_or_computed(spark, path, lambda: stats.dim_moments(table(spark, sf_dir, "embeddings").limit(0), "embedding"))
-    return stored.select("dim", "n", (F.round("mean", 6) + F.lit(0.0)).alias("mean"), F.round("std", 6).alias("std"))
+    again = tables.stored_or_computed(spark, path, lambda: stats.dim_moments(table(spark, sf_dir, "embeddings").limit(0), "embedding"))
+    return again.select("dim", "n", (F.round("mean", 6) + F.lit(0.0)).alias("mean"), F.round("std", 6).alias("std"))
 
 
 @query(

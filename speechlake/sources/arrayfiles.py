@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import io
+import uuid
 import wave
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLICE = 4096
 
@@ -70,6 +73,35 @@ def decode_wav(files: DataFrame, rate: int | None = None) -> DataFrame:
     return files.select("path", "content").mapInPandas(rows, "path string, rate int, ch int, t int, value double")
 
 
+def _file_system(root: str) -> tuple[fs.FileSystem, str]:
+    if root.startswith("file:"):
+        root = "/" + root[5:].lstrip("/")
+    return (fs.LocalFileSystem(), root) if root.startswith("/") else fs.FileSystem.from_uri(root)
+
+
+def write_binary(files: DataFrame, root: str) -> int:
+    """Write (path, content) as files below a shared folder; returns their number.
+
+    Tasks write their own files, each under another name first, so a file is
+    whole or missing and a task that runs again replaces what it wrote.
+    """
+
+    def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = _file_system(root)
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                target = f"{base}/{path}"
+                system.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                hidden = f"{base}/_{uuid.uuid4().hex}"
+                with system.open_output_stream(hidden) as out:
+                    out.write(content)
+                system.move(hidden, target)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    written = files.select("path", "content").mapInPandas(save, "n long").agg(F.sum("n")).first()[0]
+    return written or 0
+
+
 def read_binary(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     return reader.option("pathGlobFilter", pattern).load(root).select("path", "content")

@@ -110,6 +110,16 @@ def test_array_files(spark, tmp_path):
     assert np.array_equal([r.x for r in rows[:12]], x) and [r.x for r in rows[12:]] == [[float(v)] for v in x[:, 0]]
 
 
+def test_files_are_written_by_tasks_and_replace_themselves(spark, tmp_path):
+    rows = [(f"a={i % 3}/{i}.bin", bytearray([i])) for i in range(20)]
+    df = spark.createDataFrame(rows, "path string, content binary").repartition(4)
+    for root in (f"{tmp_path}/x", f"file://{tmp_path}/x"):
+        assert arrayfiles.write_binary(df, root) == 20
+    found = arrayfiles.read_binary(spark, f"{tmp_path}/x", "*.bin").collect()
+    assert {r.path.split("/x/")[1]: r.content for r in found} == dict(rows) and len(found) == 20
+    assert arrayfiles.write_binary(df.limit(0), f"{tmp_path}/y") == 0
+
+
 def test_sound_files(spark):
     out = io.BytesIO()
     with wave.open(out, "wb") as sound:
