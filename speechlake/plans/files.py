@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from speechlake.functions import edits, text
 from speechlake.operators import evaluation, lexicon, stats
+from speechlake.operators.chunks import spread
 from speechlake.operators.ordering import dense_index
 from speechlake.plans.corpus import INTERVALS_SQL, PAIRS_SQL, SAMPLES_SQL, intervals, samples, table, turn_pairs
 from speechlake.plans.manifests import SPLITS_SQL, split_table
@@ -31,15 +32,12 @@ from speechlake.streaming import moments, running
     "SELECT DISTINCT lang AS data_type, source AS session, CAST(doc_id AS INT) AS data_num, 'emg' AS modality, true AS filled FROM documents",
 )
 def manifest_scan(spark, sf_dir):
-    """Recordings written one folder per number, listed again without reading them."""
+    """Recordings written one file per number, listed again without reading them."""
     root = scratch_path(spark, "corpus")
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id", F.col("lang").alias("data_type"), F.col("source").alias("session"), F.lit("data").alias("top"),
-        F.lit("emg").alias("kind"), F.format_string("emg_%04d.npz", F.col("doc_id")).alias("item"),
-    )
-    parts = ["data_type", "session", "top", "kind", "item"]
-    docs.repartition(*parts).write.partitionBy(*parts).parquet(root)
-    files = tables.scan_manifest(spark, root, "*.parquet", foldered=True)
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id")
+    path = F.format_string("%s/%s/data/emg/emg_%04d.npz", "lang", "source", "doc_id")
+    arrayfiles.write_binary(docs.select(path.alias("path"), F.col("doc_id").cast("string").cast("binary").alias("content")), root)
+    files = tables.scan_manifest(spark, root)
     return files.select("data_type", "session", "data_num", "modality", (F.col("length") > 0).alias("filled"))
 
 
@@ -108,13 +106,14 @@ def transcripts(spark, sf_dir):
 
 @query("transcript_files_s6", "SELECT conv_id, max(turn) AS turns, arg_min(text, turn) AS text FROM conversations GROUP BY 1")
 def transcript_files(spark, sf_dir):
-    """One object over several lines per file; the key is in the path, as a folder."""
+    """One object over several lines per file; the key is in the name, a thousand files share a folder."""
     path = scratch_path(spark, "transcript-files")
     first = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").alias("turns"), F.min_by("text", "turn").alias("text"))
     value = F.to_json(F.struct("text", "turns"), {"pretty": "true"}).alias("value")
-    first.select("conv_id", value).write.partitionBy("conv_id").text(path)
-    docs = tables.read_transcripts(spark, f"{path}/*", fields="text STRING, turns BIGINT")
-    return docs.select(F.regexp_extract("path", r"conv_id=(\d+)/", 1).cast("long").alias("conv_id"), "turns", "text")
+    name = F.format_string("part=%d/conv_id=%d.json", F.floor(F.col("conv_id") / 1000), "conv_id")
+    arrayfiles.write_binary(first.select(name.alias("path"), value.cast("binary").alias("content")), path)
+    docs = tables.read_transcripts(spark, path, fields="text STRING, turns BIGINT", pattern="*.json")
+    return docs.select(F.regexp_extract("path", r"conv_id=(-?\d+)\.json$", 1).cast("long").alias("conv_id"), "turns", "text")
 
 
 def eval_rows(spark, sf_dir):

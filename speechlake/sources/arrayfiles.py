@@ -6,6 +6,8 @@ import io
 import uuid
 import wave
 from collections.abc import Iterator
+from fnmatch import fnmatchcase
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,7 +15,12 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from speechlake.operators.chunks import spread
+from speechlake.sources.scratch import stored
+
 SLICE = 4096
+# Bytes of files that a task reads before it passes them on.
+READ = 1 << 24
 
 
 def _load(content: bytes, key: str | None) -> np.ndarray:
@@ -88,11 +95,15 @@ def write_binary(files: DataFrame, root: str) -> int:
 
     def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, base = _file_system(root)
+        made: set[str] = set()
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
                 target = f"{base}/{path}"
-                system.create_dir(target.rsplit("/", 1)[0], recursive=True)
-                hidden = f"{base}/_{uuid.uuid4().hex}"
+                folder = target.rsplit("/", 1)[0]
+                if folder not in made:
+                    system.create_dir(folder, recursive=True)
+                    made.add(folder)
+                hidden = f"{folder}/_{uuid.uuid4().hex}"
                 with system.open_output_stream(hidden) as out:
                     out.write(content)
                 system.move(hidden, target)
@@ -102,6 +113,57 @@ def write_binary(files: DataFrame, root: str) -> int:
     return written or 0
 
 
+def _hidden(name: str) -> bool:
+    return name.startswith(".") or (name.startswith("_") and "=" not in name)
+
+
+def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """(path, length) of all files below a folder whose names fit a shell pattern.
+
+    Tasks list the folders, level by level, so neither the driver nor a task
+    ever holds more than the names in one folder. Hidden names are left out.
+    """
+    root = root.rstrip("/")
+    base = _file_system(root)[1]
+    prefix = root[: len(root) - len(base)] if not root.startswith(("/", "file:")) else "file:"
+
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system = _file_system(root)[0]
+        for batch in batches:
+            for folder in batch["path"]:
+                info = system.get_file_info(folder)
+                found = [info] if info.is_file else system.get_file_info(fs.FileSelector(folder))
+                for at in range(0, len(found), SLICE):
+                    part = [f for f in found[at : at + SLICE] if not _hidden(f.base_name) and (not f.is_file or fnmatchcase(f.base_name, pattern))]
+                    yield pd.DataFrame(
+                        {"path": [f.path for f in part], "length": [f.size or 0 for f in part], "folder": [not f.is_file for f in part]}
+                    ).astype({"path": "object", "length": "int64", "folder": "bool"})
+
+    folders, files = spark.createDataFrame([(base,)], "path string"), []
+    while not files or not folders.isEmpty():
+        level = stored(spread(folders, "path").mapInPandas(entries, "path string, length long, folder boolean"), "listed")
+        files.append(level.where("NOT folder").select(F.concat(F.lit(prefix), "path").alias("path"), "length"))
+        folders = level.where("folder").select("path")
+    return reduce(DataFrame.union, files)
+
+
 def read_binary(spark: SparkSession, root: str, pattern: str) -> DataFrame:
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    return reader.option("pathGlobFilter", pattern).load(root).select("path", "content")
+    """(path, content) of the files that :func:`list_files` finds, read by tasks."""
+    base = _file_system(root)[1].rstrip("/")
+
+    def contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system = _file_system(root)[0]
+        for batch in batches:
+            paths, held, size = [], [], 0
+            for path in batch["path"]:
+                with system.open_input_stream(base + path[path.index(base) + len(base) :]) as file:
+                    paths.append(path)
+                    held.append(file.read())
+                size += len(held[-1])
+                if size >= READ:
+                    yield pd.DataFrame({"path": paths, "content": held})
+                    paths, held, size = [], [], 0
+            if paths:
+                yield pd.DataFrame({"path": paths, "content": held})
+
+    return spread(list_files(spark, root, pattern).select("path"), "path").mapInPandas(contents, "path string, content binary")

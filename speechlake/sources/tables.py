@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from speechlake.functions.text import normalize_basic
 from speechlake.operators.manifest import file_number, path_part
+from speechlake.sources.arrayfiles import list_files, read_binary
 
 SPLIT_DDL = "session STRING, data_type STRING, data_num INT, path STRING, split STRING"
 METADATA_DDL = "id STRING, text STRING, norm STRING"
@@ -18,13 +20,7 @@ RESULT_COLUMNS = ["exp_name", "ckpt_epoch", "split", "cer", "cer_wo_space", "wer
 
 def scan_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """(path, length) of all files below a folder; their content is not read."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", pattern)
-        .load(root)
-    )
-    return files.select("path", "length")
+    return list_files(spark, root, pattern)
 
 
 def scan_manifest(spark: SparkSession, root: str, pattern: str = "*.npz", style: str = "split", foldered: bool = False) -> DataFrame:
@@ -73,10 +69,14 @@ def metadata_texts(metadata: DataFrame) -> DataFrame:
     return metadata.select(tail.alias("id"), normalize_basic(F.col("text")).alias("text"))
 
 
-def read_transcripts(spark: SparkSession, path: str, multi_line: bool = True, fields: str = "text STRING") -> DataFrame:
-    """``path`` and fields of JSON files, one object per file (or per line)."""
-    docs = spark.read.schema(fields).json(path, multiLine=multi_line)
-    return docs.select(F.col("_metadata.file_path").alias("path"), "*")
+def read_transcripts(spark: SparkSession, path: str, multi_line: bool = True, fields: str = "text STRING", pattern: str = "*") -> DataFrame:
+    """``path`` and fields of JSON files, one object per line, or else one object (or
+    a list of them) per file below the folder ``path``; a broken one has null fields."""
+    if not multi_line:
+        docs = spark.read.schema(fields).json(path)
+        return docs.select(F.col("_metadata.file_path").alias("path"), "*")
+    objects = F.from_json(F.col("content").cast("string"), T.ArrayType(T.StructType.fromDDL(fields)))
+    return read_binary(spark, path, pattern).select("path", F.inline_outer(objects))
 
 
 def eval_log_lines(df: DataFrame) -> DataFrame:

@@ -3,13 +3,15 @@ from __future__ import annotations
 import io
 import json
 import wave
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from speechlake.operators import manifest
-from speechlake.sources import arrayfiles, tables, textgrid
+from speechlake.sources import arrayfiles, scratch, tables, textgrid
 from speechlake.streaming import running
 
 INTERVALS = "utt int, tier string, idx int, xmin double, xmax double, label string"
@@ -32,6 +34,25 @@ def test_manifest_of_files(spark, tmp_path):
     assert [r.session for r in tables.sessions(tables.scan_manifest(spark, str(tmp_path))).collect()] == ["s1"]
 
 
+def test_files_are_listed_by_tasks(spark, tmp_path):
+    for name in ("a/b/1.npz", "a/b/_x.npz", "a/.c/2.npz", "key=1/_p=2/3.npz", "4.npz", "a/5.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x" * 3)
+    for root in (str(tmp_path), f"file://{tmp_path}/"):
+        rows = arrayfiles.list_files(spark, root, "*.npz").collect()
+        assert {r.path.split(tmp_path.name + "/")[1] for r in rows} == {"a/b/1.npz", "key=1/_p=2/3.npz", "4.npz"}
+        assert all(r.length == 3 for r in rows)
+    assert arrayfiles.list_files(spark, str(tmp_path / "4.npz")).count() == 1
+
+
+@pytest.mark.parametrize("name, label", [("manifest_scan_s1", "corpus"), ("transcript_files_s6", "transcript-files")])
+def test_a_file_does_not_cost_a_folder(spark, name, label):
+    rows = entry.queries()[name](spark, "/root/testdata/sf0.01").count()
+    root = Path(next(p for p in reversed(scratch._made[spark.sparkContext.applicationId]) if f"/{label}-" in p).removeprefix("file:"))
+    found = list(root.rglob("*"))
+    assert sum(f.is_dir() for f in found) < rows / 3 and sum(f.is_file() and f.name[0] not in "._" for f in found) == rows
+
+
 def test_paths(spark):
     df = spark.createDataFrame([("out/valid/silent/s1/12_emg.npy",)], "path string")
     assert tuple(manifest.keys_from_feature_path(df).first()) == ("out/valid/silent/s1/12_emg.npy", "valid", "silent", "s1", "12")
@@ -87,6 +108,9 @@ def test_transcript_files(spark, tmp_path):
     (tmp_path / "0001_info.json").write_text(json.dumps({"text": "가 나", "x": 1}, indent=1))
     rows = tables.read_transcripts(spark, str(tmp_path)).collect()
     assert rows[0].text == "가 나" and rows[0].path.endswith("0001_info.json")
+    (tmp_path / "0001_info.json").write_text('[{"text": "a"}, {"text": "b"}]')
+    (tmp_path / "broken.json").write_text('{"text": ')
+    assert sorted(str(r.text) for r in tables.read_transcripts(spark, str(tmp_path)).collect()) == ["None", "a", "b"]
 
 
 def test_metadata_lines(spark, tmp_path):
