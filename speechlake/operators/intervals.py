@@ -133,7 +133,8 @@ def inventory(intervals: DataFrame, tier: str, excluded: list[str] | None = None
 
 
 def grid_number(path: Column) -> Column:
-    return F.regexp_extract(path, r"tg_(\d{4})\.TextGrid", 1).try_cast("int")
+    """Number in the name of an annotation file: four digits, more from 10000 on."""
+    return F.regexp_extract(path, r"tg_(\d{4,})\.TextGrid", 1).try_cast("long")
 
 
 def reprocess_report(files: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:

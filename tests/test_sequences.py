@@ -243,6 +243,14 @@ def test_frames_of_intervals(spark):
     assert labels(made) == ["a", "a", "b"] and made.count() == 3
 
 
+def test_files_of_five_digits_are_fixed(spark):
+    rows = [(1, "tg_0001.TextGrid"), (2, "tg_10001.TextGrid"), (3, "tg_001.TextGrid"), (4, "tg_4294967296.TextGrid")]
+    files = spark.createDataFrame(rows, "utt int, path string")
+    noisy = files.select("utt", F.lit(True).alias("found"))
+    made = intervals.reprocess_report(files, noisy, noisy.withColumn("found", F.lit(False))).collect()
+    assert dict(tuple(r) for r in made) == {1: "fixed", 2: "fixed", 3: "failed", 4: "fixed"}
+
+
 def test_grid_in_chunks(spark):
     sizes = spark.createDataFrame([(1, 25), (2, 0), (3, 8)], "utt int, n int")
     rows = intervals.frame_grid(sizes, ["utt"], "n", 8).groupBy("utt").agg(F.sort_array(F.collect_list("frame")).alias("f")).collect()
