@@ -15,15 +15,15 @@ from pyspark.sql.window import WindowSpec
 CHUNK = 1 << 16
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition by key before work that is costly per row.
+def spread(df: DataFrame, *keys: str, least: int = 1) -> DataFrame:
+    """Hash-partition by key, ``least`` ways or more, before work that is costly per row.
 
     The explicit count keeps adaptive execution from merging partitions that are
     small in bytes but not in work; joins and groupings on the keys reuse it.
     """
     session = df.sparkSession
     wanted = int(session.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(wanted, session.sparkContext.defaultParallelism), *keys)
+    return df.repartition(max(wanted, session.sparkContext.defaultParallelism, least), *keys)
 
 
 def chunk_of(t: str | Column = "t", size: int = CHUNK) -> Column:

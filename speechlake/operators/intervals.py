@@ -10,9 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from speechlake.functions.text import phone_label
-from speechlake.operators.chunks import CHUNK
+from speechlake.operators.chunks import CHUNK, spread
+from speechlake.sources.scratch import stored
 
 EPS = 1e-9
+# Frames of one partition of a label grid.
+FRAMES = 1 << 19
 SILENT_LABELS = ["", "spn", "sil"]
 
 
@@ -44,14 +47,18 @@ def frame_labels(
     An interval covers the frames from floor(xmin * rate) up to, not including,
     floor(xmax * rate). The grid ends with the frame of the last interval's end,
     or is cut or filled to the given length per utterance. Intervals and grid
-    meet in one aggregation per (utt, frame), so there is no range join.
+    meet in one aggregation per (utt, frame), so there is no range join. Its
+    sorts are as many as the frames call for, so a task holds ``FRAMES`` or so.
     """
     rows = intervals.where(F.col("tier") == tier)
     scale = lambda c: (F.col(c) * F.lit(float(frame_rate))).cast("long")
-    sizes = rows.groupBy("utt").agg((F.max_by(scale("xmax"), "idx") + 1).alias("_size"))
+    span = F.greatest(scale("xmax") - scale("xmin"), F.lit(0))
+    sizes = rows.groupBy("utt").agg((F.max_by(scale("xmax"), "idx") + 1).alias("_size"), F.sum(span).alias("_covered"))
     sizes = sizes.withColumn("_n", F.col("_size")) if lengths is None else sizes.join(
         lengths.select("utt", F.col(length).alias("_n")), "utt"
     )
+    sizes = stored(sizes, "frame-sizes")
+    frames = sizes.agg(F.sum(F.coalesce("_n", F.lit(0)) + F.coalesce("_covered", F.lit(0)))).first()[0] or 0
     grid = frame_grid(sizes, ["utt"], "_n").select(
         "utt", "frame", (F.col("frame") < F.col("_size")).alias("inside"), F.lit(-1).alias("idx"), F.lit(silence).alias("label")
     )
@@ -61,7 +68,7 @@ def frame_labels(
         .withColumn("frame", F.explode(F.sequence("_lo", F.col("_hi") - 1)))
         .select("utt", F.col("frame").cast("int").alias("frame"), F.lit(None).cast("boolean").alias("inside"), "idx", "label")
     )
-    merged = covered.unionByName(grid).groupBy("utt", "frame").agg(
+    merged = spread(covered.unionByName(grid), "utt", "frame", least=-(-frames // FRAMES)).groupBy("utt", "frame").agg(
         F.max("inside").alias("inside"), F.max_by("label", "idx").alias("label")
     )
     return merged.where(F.col("inside").isNotNull()).select(

@@ -243,6 +243,13 @@ def test_frames_of_intervals(spark):
     assert labels(made) == ["a", "a", "b"] and made.count() == 3
 
 
+def test_frame_sorts_grow_in_number(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "FRAMES", 50)
+    rows = [(u, "phones", i, i * 0.1, i * 0.1 + 0.3, "a") for u in range(20) for i in range(100)]
+    made = intervals.frame_labels(spark.createDataFrame(rows, INTERVALS), "phones", 10.0)
+    assert made.rdd.getNumPartitions() >= 40 and made.count() == 20 * 103
+
+
 def test_files_of_five_digits_are_fixed(spark):
     rows = [(1, "tg_0001.TextGrid"), (2, "tg_10001.TextGrid"), (3, "tg_001.TextGrid"), (4, "tg_4294967296.TextGrid")]
     files = spark.createDataFrame(rows, "utt int, path string")
