@@ -301,11 +301,12 @@ def running_moments(spark, sf_dir):
     f"WITH {_SCORED_SQL} SELECT CAST(conv_id % 4 AS INT) AS session, CAST(sum(char_err) AS BIGINT) AS err, CAST(sum(char_len) AS BIGINT) AS len FROM counts GROUP BY 1",
 )
 def running_rates(spark, sf_dir):
-    """Predictions arrive as files and are scored in the stream."""
+    """Predictions arrive as files, as many as there are tasks, and are scored in the stream."""
     path = scratch_path(spark, "predictions")
-    pairs = turn_pairs(spark, sf_dir).select((F.col("conv_id") % 4).cast("int").alias("session"), "prediction", "target")
-    pairs.repartition(2).write.parquet(path)
-    scored = evaluation.error_counts(running.file_stream(spark, path, pairs.schema))
+    pairs = spread(turn_pairs(spark, sf_dir).select("conv_id", "turn", (F.col("conv_id") % 4).cast("int").alias("session"), "prediction", "target"), "conv_id", "turn")
+    pairs.write.parquet(path)
+    # Few bytes are much work: a task that reads several files deals their pairs out again.
+    scored = evaluation.error_counts(spread(running.file_stream(spark, path, pairs.schema), "conv_id", "turn"))
     sums = running.running_rates(scored.select("session", F.col("char_err").alias("err"), F.col("char_len").alias("len")), "session")
     return running.run_updated(sums, ["session"], "rates")
 

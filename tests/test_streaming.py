@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from speechlake.sources import scratch
 from speechlake.sources.scratch import scratch_path
 from speechlake.streaming import moments, running
 
@@ -67,3 +69,9 @@ def test_resent_rows_count_once_and_late_ones_do_not(spark):
         pairs = running.paired(*sides, ["key"], "ts", "2 hours", "1 hour")
         found = running.run_summed(pairs.withColumn("of", F.lit("all")), ["of"], ["value", "n"], "t", out)
     assert tuple(found.first()) == ("all", 5 + 7 + 11 + 13 + 17, 5)
+
+
+def test_predictions_are_scored_by_all_tasks(spark):
+    assert entry.queries()["running_rates_x2"](spark, "/root/testdata/sf0.01").count() == 4
+    path = next(p for p in reversed(scratch._made[spark.sparkContext.applicationId]) if "/predictions-" in p)
+    assert len(spark.read.parquet(path).inputFiles()) >= spark.sparkContext.defaultParallelism
