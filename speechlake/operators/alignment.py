@@ -6,10 +6,15 @@ their length, as batches do, and so the size of a row.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from speechlake.functions import arrays, warp
+from speechlake.operators.chunks import spread
 
 
 def sequence_arrays(frames: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -85,9 +90,43 @@ def pair_scores(frames: DataFrame, keys: list[str], phone_weight: float) -> Data
 def apply_per_channel(df: DataFrame, fn, keys: list[str], schema: str) -> DataFrame:
     """Extension point: a pandas function per (keys, ch) group.
 
-    Groups must be bounded; add a chunk to the keys for long signals.
+    Groups must be bounded; add a chunk to the keys for long signals. Sorted
+    groups are cut from whole batches, as a batch of its own for each would cost
+    far more than a small group's work. A task holds a batch and a group.
     """
-    return df.groupBy(*keys, "ch").applyInPandas(fn, schema)
+    by = [*keys, "ch"]
+
+    def groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        last = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            codes = [pd.factorize(batch[k], use_na_sentinel=False)[0] for k in by]
+            cuts = np.flatnonzero(np.any([np.diff(c) != 0 for c in codes], axis=0)) + 1
+            starts = [0, *cuts.tolist(), len(batch)]
+            first = [None if pd.isna(v) else v for v in batch.loc[batch.index[0], by].tolist()]
+            made = []
+            if held and first != last:
+                made.append(fn(pd.concat(held, ignore_index=True)))
+                held = []
+            for start, end in zip(starts, starts[1:]):
+                part = batch.iloc[start:end].reset_index(drop=True)
+                if end == len(batch):
+                    held.append(part)
+                elif held:
+                    made.append(fn(pd.concat([*held, part], ignore_index=True)))
+                    held = []
+                else:
+                    made.append(fn(part))
+            last = [None if pd.isna(v) else v for v in batch.loc[batch.index[-1], by].tolist()]
+            made = [m for m in made if len(m)]
+            if made:
+                yield pd.concat(made, ignore_index=True)
+        if held:
+            yield fn(pd.concat(held, ignore_index=True))
+
+    return spread(df, *by).sortWithinPartitions(*by).mapInPandas(groups, schema)
 
 
 def score_pairs(df: DataFrame, fn, keys: list[str], schema: str) -> DataFrame:

@@ -6,6 +6,7 @@ import tracemalloc
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -243,6 +244,23 @@ def test_frames_of_intervals(spark):
     assert labels(made) == ["a", "a", "b"] and made.count() == 3
 
 
+def test_user_function_sees_whole_channels(spark):
+    sizes = {(None, 0): 3, (0, 0): 12_000, (0, 1): 1, (1, None): 2, (1, 1): 20_001, **{(u, 0): 1 for u in range(2, 3000)}}
+    rows = [(u, c, i) for (u, c), n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(pd.DataFrame({"utt": pd.array([r[0] for r in rows], "Int64"), "ch": pd.array([r[1] for r in rows], "Int64"), "t": [r[2] for r in rows]}), "utt long, ch long, t long")
+    calls = spark.sparkContext.accumulator(0)
+
+    def count(pdf):
+        calls.add(1)
+        assert pdf.utt.nunique(dropna=False) == pdf.ch.nunique(dropna=False) == 1 and list(pdf.index) == list(range(len(pdf)))
+        return pdf.head(1).assign(n=len(pdf), total=pdf.t.sum())[["utt", "ch", "n", "total"]] if len(pdf) != 2 else pdf.head(0)
+
+    made = alignment.apply_per_channel(df, count, ["utt"], "utt long, ch long, n long, total long")
+    assert "FlatMapGroupsInPandas" not in made._jdf.queryExecution().executedPlan().toString()
+    got = {(r.utt, r.ch): (r.n, r.total) for r in made.collect()}
+    assert got == {k: (n, n * (n - 1) // 2) for k, n in sizes.items() if n != 2} and calls.value == len(sizes)
+
+
 def test_frame_sorts_grow_in_number(spark, monkeypatch):
     monkeypatch.setattr(intervals, "FRAMES", 50)
     rows = [(u, "phones", i, i * 0.1, i * 0.1 + 0.3, "a") for u in range(20) for i in range(100)]
