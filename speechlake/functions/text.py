@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from speechlake.functions.let import let
 
@@ -30,12 +33,13 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789 "
 # Python's notion of whitespace: Unicode White_Space plus four separators.
 SPACE = r"[\s\x1c-\x1f]"
 NOT_SPACE = r"[^\s\x1c-\x1f]"
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 U = "(?U)"
 
 
 def strip(text: Column) -> Column:
     """Cut all kinds of whitespace at both ends (``trim`` cuts blanks only)."""
-    return F.regexp_replace(text, f"{U}^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def _canonical(form: str):
@@ -80,17 +84,46 @@ def clean_text(text: Column) -> Column:
     return F.lower(F.regexp_replace(plain, r"[\p{Punct}\p{IsPunctuation}]+", ""))
 
 
-def text_to_ids(text: Column) -> Column:
-    """Position of every character of a clean text in the alphabet; any other is an error."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    unknown = lambda c: F.raise_error(F.concat(F.lit("character outside the alphabet: "), c)).cast("int")
-    place = lambda c: F.instr(F.lit(ALPHABET), c)
-    return F.transform(chars, lambda c: F.when(place(c) > 0, place(c) - 1).otherwise(unknown(c)))
+_ID_OF = np.full(256, -1, np.int32)
+_ID_OF[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(len(ALPHABET))
+_BYTE_OF = np.frombuffer(ALPHABET.encode(), np.uint8)
 
 
-def ids_to_text(ids: Column) -> Column:
-    letters = F.array(*[F.lit(c) for c in ALPHABET])
-    return F.array_join(F.transform(ids, lambda i: F.get(letters, i)), "")
+@F.arrow_udf(ArrayType(IntegerType()))
+def text_to_ids(text: pa.Array) -> pa.Array:
+    """Position of every character of a clean text in the alphabet; any other is an error."""
+    ends, held = _flat(text.cast(pa.large_string()))
+    ids = _ID_OF[held]
+    if (ids < 0).any():
+        at = int(np.argmax(ids < 0))
+        char = held[at : at + 4].tobytes().decode(errors="ignore")[:1]
+        raise ValueError(f"character outside the alphabet: {char}")
+    return pa.ListArray.from_arrays(ends, pa.array(ids, pa.int32()), mask=text.is_null())
+
+
+def _flat(text: pa.LargeStringArray) -> tuple[pa.Array, np.ndarray]:
+    """Ends of the texts from 0 on, and their bytes one after the other."""
+    _, ends, held = text.buffers()
+    ends = np.frombuffer(ends, np.int64)[text.offset : text.offset + len(text) + 1]
+    held = np.frombuffer(held, np.uint8)[ends[0] : ends[-1]] if held else np.zeros(0, np.uint8)
+    return pa.array(ends - ends[0], pa.int32()), held
+
+
+@F.arrow_udf(StringType())
+def ids_to_text(ids: pa.Array) -> pa.Array:
+    """The text of a list of positions; places beyond the alphabet are left out."""
+    values, lengths = ids.flatten(), pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    if values.null_count:
+        values = pc.fill_null(values, -1)
+    values = values.to_numpy(zero_copy_only=False)
+    known = (values >= 0) & (values < len(ALPHABET))
+    if not known.all():
+        ends = np.concatenate([[0], np.cumsum(known)])[ends]
+        values = values[known]
+    held, ends = _BYTE_OF[values], ends.astype(np.int32)
+    made = pa.StringArray.from_buffers(len(ids), pa.py_buffer(ends), pa.py_buffer(held))
+    return pc.if_else(ids.is_null(), pa.scalar(None, pa.string()), made)
 
 
 def normalize_basic(text: Column) -> Column:
@@ -149,10 +182,8 @@ def spell_numbers(text: Column) -> Column:
     return F.when(text.rlike(rf"{U}\d"), spoken).otherwise(text)
 
 
-_SINGLE_LETTER = (
-    rf"(?:(?<=^)|(?<=[\s{OPENING}{HANGUL_RANGES}]))[A-Za-z]"
-    rf"(?=$|[\s{CLOSING}{HANGUL_RANGES}])"
-)
+# The letter comes first, then what may not stand beside it, so most places fail at once.
+_SINGLE_LETTER = rf"[A-Za-z](?![^\s{CLOSING}{HANGUL_RANGES}])(?<![^\s{OPENING}{HANGUL_RANGES}][A-Za-z])"
 
 
 def spell_letters(text: Column) -> Column:
@@ -194,9 +225,10 @@ def limit_repeats(text: Column, max_repeat: int = 3) -> Column:
     )
     # Most texts repeat nothing that often; two scans tell and spare them the rest.
     again = f"{{{max_repeat}}}"
-    word_run = rf"{U}(?<!{NOT_SPACE})({NOT_SPACE}++)(?:{SPACE}++\1(?!{NOT_SPACE})){again}"
+    word_run = rf"{U}{SPACE}({NOT_SPACE}++)(?:{SPACE}++\1(?!{NOT_SPACE})){again}"
     char_run = rf"{U}({NOT_SPACE})\1{again}"
-    return strip(F.when(composed.rlike(word_run) | composed.rlike(char_run), chars).otherwise(composed))
+    repeats = F.concat(F.lit(" "), composed).rlike(word_run) | composed.rlike(char_run)
+    return strip(F.when(repeats, chars).otherwise(composed))
 
 
 def foreign_in_composed(text: Column) -> Column:
@@ -205,7 +237,10 @@ def foreign_in_composed(text: Column) -> Column:
 
 
 def has_foreign_chars(text: Column) -> Column:
-    return foreign_in_composed(nfc(text))
+    """The same for any text. No canonical form is made: a character is Hangul or
+    whitespace if and only if all that it decomposes to is, so all forms of a
+    text agree (the tests look at every code point)."""
+    return foreign_in_composed(text)
 
 
 def drop_punctuation(text: Column) -> Column:

@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import itertools
 import random
+import re
 import tracemalloc
 import unicodedata
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -91,6 +93,47 @@ def test_foreign_characters(one):
     assert one(list(cases), text.has_foreign_chars) == list(cases.values())
 
 
+def test_every_code_point_is_as_foreign_as_what_it_decomposes_to(spark):
+    inside = re.compile(rf"[{text.HANGUL_RANGES}\s\x1c-\x1f]")
+    for n in itertools.chain(range(0xD800), range(0xE000, 0x110000)):
+        made = unicodedata.normalize("NFD", chr(n))
+        assert bool(inside.match(chr(n))) == all(inside.match(c) for c in made), hex(n)
+
+
+def test_foreign_characters_need_no_python(spark):
+    df = spark.createDataFrame([("가",)], "s string").select(text.has_foreign_chars(F.col("s")))
+    assert "ArrowEvalPython" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_whitespace_at_the_ends(spark):
+    spaces = [chr(n) for n in range(0x10000) if not 0xD800 <= n < 0xE000 and chr(n).isspace()]
+    assert set(text.SPACES) == set(spaces)
+    df = spark.createDataFrame([(c + "a" + c + "b" + c + c, c) for c in [*spaces, "\u200b"]], "s string, c string")
+    assert all(r.x == (r.s.strip() if r.c.isspace() else r.s) for r in df.withColumn("x", text.strip(F.col("s"))).collect())
+
+
+def test_single_letters_by_their_neighbours(one):
+    marks = ["", " ", "\n", "\u2028", "\xa0", "-", "b", "é", "가", "ᄀ", ")", "(", "“", "”", "/", "\\", "😀", "a"]
+    texts = [x + "a" + y for x in marks for y in marks]
+    opening = set(" \n\u2028\xa0([{\"'“‘,.:;!?/\\가ᄀ")
+    closing = set(" \n\u2028\xa0)]}\"'”’,.:;!?/\\가ᄀ")
+    alone = lambda t, i: (not i or t[i - 1] in opening) and (i + 1 == len(t) or t[i + 1] in closing)
+    want = ["".join(text.LETTERS.get(c, c) if alone(t, i) else c for i, c in enumerate(t)) for t in texts]
+    assert one(texts, text.spell_letters) == want
+
+
+def test_ids_of_texts(spark, one):
+    texts = ["", None, "ab 9", "z"]
+    assert one(texts, text.text_to_ids) == [[], None, [0, 1, 36, 35], [25]]
+    assert one(texts, lambda c: text.ids_to_text(text.text_to_ids(c))) == texts
+    df = spark.createDataFrame([([0, None, 99, -1, 1],), (None,), ([],)], "i array<int>")
+    assert [r[0] for r in df.select(text.ids_to_text("i")).collect()] == ["ab", None, ""]
+    with pytest.raises(Exception, match="outside the alphabet: é"):
+        one(["abé"], text.text_to_ids)
+    plan = spark.createDataFrame([("a",)], "s string").select(text.ids_to_text(text.text_to_ids("s")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "lambda" not in plan
+
+
 def test_normal_forms(one):
     assert one(["A-b  c!", " É x "], text.normalize_basic) == ["a b  c", "x"]
     assert one(["A-b  ç!\t1"], lambda c: text.normalize_unicode(text.nfd(c))) == ["a b c 1"]
