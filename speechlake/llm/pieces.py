@@ -2,14 +2,17 @@
 
 No piece spans a change between blanks-and-letters, digits and other
 characters, so a text falls into units that are encoded by themselves. Over the
-distinct units of the corpus: substrings up to the longest piece are exploded
-and equi-joined to the piece table, which gives the edges of a lattice; the
-edges are grouped by unit, and an aggregate folds Viterbi over them (largest
-sum of piece scores; of equal sums the earliest start of the last piece, which
-is the longest piece, wins). A character without a piece is its UTF-8 bytes.
-
-Documents take their units' ids: those of the most frequent short units from a
-broadcast table of fixed size, all others by a shuffled join.
+most frequent short units of the corpus (a bounded number): substrings up to the
+longest piece are exploded and equi-joined to the piece table, which gives the
+edges of a lattice; the edges are grouped by unit, and an aggregate folds
+Viterbi over them (largest sum of piece scores; of equal sums the earliest start
+of the last piece, which is the longest piece, wins). A character without a
+piece is its UTF-8 bytes.
+
+Documents take these units' ids from a broadcast table of fixed size. All other
+units go through the same lattice where they stand, many at a time: a pair of a
+document and a rare unit costs more to shuffle to its ids and back than to
+encode, and the documents need not move at all.
 
 The scores of the file are used as they are. The file's own library merges
 pairs by rank instead, so its ids differ where the best path is not the one
@@ -23,6 +26,7 @@ looked at.
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections import Counter
@@ -35,14 +39,16 @@ from pyspark.sql import functions as F
 
 from speechlake.functions.let import let
 from speechlake.llm.common import query, ship, table
-from speechlake.llm.tokencounts import PLAIN, frequent
+from speechlake.llm.tokencounts import HOT_LENGTH, PLAIN, frequent
 from speechlake.sources.scratch import stored
 
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
 HOT_UNITS = 65536
-# Distinct units that a task holds before it passes them on.
+# Distinct units that a task holds before it passes them on, or forgets them.
 HELD = 100_000
+# Characters of units whose lattices a task holds, and of one unit at a time.
+CELLS, WINDOW = 1 << 15, 1 << 12
 # Documents whose ids a task holds at once.
 ROWS = 256
 # Characters of a unit whose substrings one row carries.
@@ -85,11 +91,14 @@ def unit_cutter(model: str) -> Callable[[str | None], list[str]]:
 
 
 def _distinct_units(model: str):
+    """Short units and how often they occur."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, seen = unit_cutter(model), Counter()
 
         def passed_on() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["piece", "n"])
+            short = {unit: n for unit, n in seen.items() if len(unit) <= HOT_LENGTH}
+            out = pa.RecordBatch.from_arrays([pa.array(list(short), pa.string()), pa.array(list(short.values()), pa.int64())], ["piece", "n"])
             seen.clear()
             return out
 
@@ -196,68 +205,142 @@ def _with_bytes(ids: Column, unit: Column, first_byte: int) -> Column:
     return F.when(F.exists(ids, lambda i: i < 0), F.flatten(F.transform(ids, of))).otherwise(ids)
 
 
-def encode_units(docs: DataFrame, model: str = MODEL, text: str = "text") -> DataFrame:
-    """``piece, n, ids``: every distinct unit, how often it occurs, its ids."""
-    spark = docs.sparkSession
-    known = piece_list(model)
-    pieces = spark.createDataFrame(known, "piece string, id int, score double")
-    found = docs.select(F.col(text).cast("string")).mapInArrow(_distinct_units(model), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    units = stored(found.select(F.monotonically_increasing_id().alias("uid"), F.col("piece").alias("unit"), "n"), "units")
-    # A character without a piece costs more than any piece (but for those the file rules out).
-    least = min(score for _, _, score in known if score > -1e8) - 10
-    edges = lattice(units, pieces, max(len(p) for p, _, _ in known), least)
-    grouped = edges.groupBy("uid").agg(
-        F.collect_list(F.struct("end", "start", "id", "score")).alias("edges"), F.max("unit").alias("piece"), F.max("n").alias("n")
-    )
-    ids = _with_bytes(best_path(F.col("edges")), F.col("piece"), processor(model).piece_to_id("<0x00>"))
-    return grouped.select("piece", "n", ids.alias("ids"))
-
-
-def _wide(model: str) -> tuple[type, int]:
-    """The type of packed ids, and the value that marks a hole."""
-    kind = np.uint16 if processor(model).get_piece_size() < 2**16 else np.uint32
-    return kind, int(np.iinfo(kind).max)
+@functools.lru_cache(4)
+def _first_byte(model: str) -> int:
+    """The id of the byte 0."""
+    return processor(model).piece_to_id("<0x00>")
 
 
-def _rare_units(model: str, hot):
-    """Distinct units of a document that the broadcast table lacks."""
+def count_units(docs: DataFrame, model: str = MODEL, text: str = "text") -> DataFrame:
+    """``piece, n``: every distinct unit of at most ``HOT_LENGTH`` characters and how often it occurs."""
+    found = docs.select(F.col(text).cast("string")).mapInArrow(_distinct_units(model), "piece string, n long")
+    return found.groupBy("piece").agg(F.sum("n").alias("n"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, known = unit_cutter(model), hot.value
-        for batch in _slices(batches):
-            rare = [[u for u in dict.fromkeys(cut(v.as_py())) if u not in known] for v in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rare, pa.list_(pa.string()))], ["doc_id", "text_key", "rare"])
 
-    return run
+@functools.lru_cache(4)
+def _least(model: str) -> float:
+    """Score of a character without a piece: it costs more than any piece (but
+    for those the file rules out)."""
+    return min(score for _, _, score in piece_list(model) if score > -1e8) - 10
 
 
-def _packed(model: str, hot):
-    """Packed ids of a document with a hole for every rare unit, and which of
-    its distinct rare units (from 1) each hole is."""
-    import zstandard
+def encode_units(counted: DataFrame, model: str = MODEL) -> DataFrame:
+    """``piece, n, ids``: the units with their ids."""
+    spark = counted.sparkSession
+    known = piece_list(model)
+    pieces = spark.createDataFrame(known, "piece string, id int, score double")
+    units = stored(counted.select(F.monotonically_increasing_id().alias("uid"), F.col("piece").alias("unit"), "n"), "units")
+    edges = lattice(units, pieces, max(len(p) for p, _, _ in known), _least(model))
+    grouped = edges.groupBy("uid").agg(
+        F.collect_list(F.struct("end", "start", "id", "score")).alias("edges"), F.max("unit").alias("piece"), F.max("n").alias("n")
+    )
+    ids = _with_bytes(best_path(F.col("edges")), F.col("piece"), _first_byte(model))
+    return grouped.select("piece", "n", ids.alias("ids"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, known = unit_cutter(model), hot.value
-        kind, mark = _wide(model)
-        hole = np.array([mark], kind).tobytes()
-        pack = zstandard.ZstdCompressor(level=5).compress
-        for batch in _slices(batches):
-            out, holes, ends = [], [], [0]
-            for value in batch.column(2):
-                parts: list[bytes] = []
-                rare: dict[str, int] = {}
-                for unit in cut(value.as_py()):
-                    ids = known.get(unit)
-                    if ids is None:
-                        ids = hole
-                        holes.append(rare.setdefault(unit, len(rare) + 1))
-                    parts.append(ids)
-                out.append(pack(b"".join(parts)))
-                ends.append(len(holes))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(holes, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.binary()), lists], ["doc_id", "text_key", "packed", "holes"])
 
-    return run
+@functools.lru_cache(4)
+def _prefixes(model: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """The pieces by their prefixes: steps (prefix and next character plus 1, in
+    order), the prefix each leads to, every prefix's id (-1 without a piece) and
+    score; and the length of the longest piece."""
+    known = piece_list(model)
+    steps: dict[int, int] = {}
+    ids, scores = [-1], [0.0]
+    for piece, number, score in known:
+        prefix = 0
+        for c in piece:
+            key = prefix << 21 | ord(c) + 1
+            if key not in steps:
+                steps[key] = len(ids)
+                ids.append(-1)
+                scores.append(0.0)
+            prefix = steps[key]
+        ids[prefix], scores[prefix] = number, score
+    keys = np.array(sorted(steps), np.int64)
+    return keys, np.array([steps[k] for k in keys.tolist()]), np.array(ids, np.int32), np.array(scores), max(len(p) for p, _, _ in known)
+
+
+def _edges(chars: np.ndarray, low: int, high: int, model: str, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and ids of the edges that end behind the characters ``low`` to
+    ``high``, by end, unit and start (the longest piece first)."""
+    keys, leads, ids, scores, longest = _prefixes(model)
+    first = max(low - longest + 1, 0)
+    block = chars[:, first:high]
+    gain = np.full((high - low, len(chars), longest), -np.inf)
+    kind = np.full(gain.shape, -1, np.int32)
+    gain[:, :, -1] = least
+    unit, at = np.nonzero(block)
+    prefix = np.zeros(len(unit), np.int64)
+    for size in range(1, longest + 1):
+        key = prefix << 21 | block[unit, at]
+        step = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        on = np.flatnonzero(keys[step] == key)
+        unit, at, prefix = unit[on], at[on], leads[step[on]]
+        ends = np.flatnonzero((ids[prefix] >= 0) & (at >= low - first))
+        place = at[ends] + first - low, unit[ends], longest - size
+        gain[place], kind[place] = scores[prefix[ends]], ids[prefix[ends]]
+        more = np.flatnonzero(at + 1 < block.shape[1])
+        unit, at, prefix = unit[more], at[more] + 1, prefix[more]
+    return gain, kind
+
+
+def _best_of(units: list[str], sizes: np.ndarray, model: str, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of units that come in falling order of their lengths, one after the
+    other, and how many each has."""
+    longest, width = _prefixes(model)[-1], int(sizes[0])
+    chars = np.zeros((len(units), width), np.int32)
+    chars[np.arange(width) < sizes[:, None]] = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32) + 1
+    total = np.full((len(units), longest + width + 1), -np.inf)
+    total[:, longest] = 0
+    size_of, id_of = np.zeros(chars.shape, np.int8), np.zeros(chars.shape, np.int32)
+    every = np.arange(len(units))
+    for low in range(0, width, WINDOW):
+        high = min(low + WINDOW, width)
+        gain, kind = _edges(chars, low, high, model, least)
+        for k in range(low, high):
+            live = every[: np.searchsorted(-sizes, -k)]
+            sums = total[: len(live), k + 1 : k + 1 + longest] + gain[k - low, : len(live)]
+            best = sums.argmax(axis=1)  # of equal sums the first, which is the longest piece
+            total[: len(live), longest + k + 1] = sums[live, best]
+            size_of[: len(live), k] = longest - best
+            id_of[: len(live), k] = kind[k - low, live, best]
+    back, at, unit = [], sizes - 1, every
+    while len(unit):
+        back.append((unit, id_of[unit, at], chars[unit, at]))
+        at = at - size_of[unit, at]
+        unit, at = unit[at >= 0], at[at >= 0]
+    unit, ids, char = (np.concatenate(x[::-1]) for x in zip(*back))
+    order = np.argsort(unit, kind="stable")
+    unit, ids, code = unit[order], ids[order], char[order] - 1
+    # A character without a piece as its UTF-8 bytes.
+    n = np.where(ids >= 0, 1, 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000))
+    of = np.repeat(np.arange(len(n)), n)
+    nth = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    bits = code[of] >> 6 * (n[of] - 1 - nth)
+    byte = np.where(nth > 0, bits & 0x3F | 0x80, bits | np.array([0, 0, 0xC0, 0xE0, 0xF0])[n[of]])
+    return np.where(ids[of] >= 0, ids[of], byte + _first_byte(model)), np.bincount(unit[of], minlength=len(units))
+
+
+def best_ids(units: list[str], model: str = MODEL) -> list[bytes]:
+    """The packed ids of each unit, along the same best path as :func:`encode_units`."""
+    least, kind = _least(model), _wide(model)
+    sizes = np.array([len(u) for u in units], np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    found, at = [b""] * len(units), 0
+    while at < len(order):
+        part = order[at : at + max(1, CELLS // int(sizes[order[at]]))]
+        at += len(part)
+        ids, counts = _best_of([units[k] for k in part], sizes[part], model, least)
+        packed, ends = ids.astype(kind).tobytes(), (np.cumsum(counts) * kind().itemsize).tolist()
+        for k, start, end in zip(part.tolist(), [0, *ends], ends):
+            found[k] = packed[start:end]
+    return found
+
+
+@functools.lru_cache(4)
+def _wide(model: str) -> type:
+    """The type of packed ids."""
+    return np.uint16 if processor(model).get_piece_size() <= 2**16 else np.uint32
 
 
 def _speller(model: str) -> Callable[[np.ndarray], str]:
@@ -280,28 +363,23 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, ROWS)
 
 
-def _filled(model: str, spelled: bool):
-    """Puts the rare units' ids into their holes; adds the text if asked for."""
-    import zstandard
+def _encoded(model: str, hot, spelled: bool):
+    """Ids of the documents; adds the text they decode to if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind, mark = _wide(model)
-        unpack = zstandard.ZstdDecompressor().decompress
+        cut, kind, known = unit_cutter(model), _wide(model), dict(hot.value)
         spell = _speller(model) if spelled else None
+        most = len(known) + HELD
         for batch in _slices(batches):
-            lists = []
-            for packed, holes, numbers, found in zip(*(batch.column(n) for n in ("packed", "holes", "numbers", "found"))):
-                ids = np.frombuffer(unpack(packed.as_py()), kind).astype(np.int32)
-                if numbers.is_valid:
-                    own = dict(zip(numbers.as_py(), (np.array(f, np.int32) for f in found.as_py())))
-                    parts, at = [], 0
-                    for place, number in zip(np.flatnonzero(ids == mark), holes.as_py()):
-                        parts += [ids[at:place], own[number]]
-                        at = place + 1
-                    ids = np.concatenate([*parts, ids[at:]])
-                lists.append(ids)
+            units = [cut(v.as_py()) for v in batch.column(2)]
+            fresh = list(set().union(*units).difference(known))
+            if len(known) + len(fresh) > most:
+                known = dict(hot.value)
+                fresh = list(set().union(*units).difference(known))
+            known.update(zip(fresh, best_ids(fresh, model)))
+            lists = [np.frombuffer(b"".join(map(known.__getitem__, u)), kind) for u in units]
             ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
-            values = pa.array(np.concatenate([np.zeros(0, np.int32), *lists]))
+            values = pa.array(np.concatenate([np.zeros(0, kind), *lists]).astype(np.int32))
             columns, names = [*batch.columns[:2], pa.ListArray.from_arrays(pa.array(ends), values)], ["doc_id", "text_key", "ids"]
             if spell:
                 columns, names = [*columns, pa.array([spell(ids) for ids in lists], pa.string())], [*names, "decoded"]
@@ -315,20 +393,13 @@ def encode(docs: DataFrame, model: str = MODEL, doc_id: str = "doc_id", text: st
     With ``spelled`` also ``decoded``, made in the same pass."""
     spark = docs.sparkSession
     ship(spark)
-    units = stored(encode_units(docs, model, text), "unit-ids")
-    kind = _wide(model)[0]
-    hot = spark.sparkContext.broadcast({r.piece: np.array(r.ids, kind).tobytes() for r in frequent(units, HOT_UNITS).select("piece", "ids").collect()})
+    counted = stored(count_units(docs, model, text), "unit-counts")
+    kind = _wide(model)
+    units = encode_units(frequent(counted, HOT_UNITS), model).select("piece", "ids").collect()
+    hot = spark.sparkContext.broadcast({r.piece: np.array(r.ids, kind).tobytes() for r in units})
     id_type = docs.schema[doc_id].dataType.simpleString()
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_key"), F.col(text).cast("string").alias("text"))
-    columns = f"doc_id {id_type}, text_key long"
-    rare = keyed.mapInArrow(_rare_units(model, hot), f"{columns}, rare array<string>")
-    rare = rare.select("doc_id", "text_key", F.posexplode("rare").alias("k", "piece")).join(units.select("piece", "ids"), "piece")
-    own = rare.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct((F.col("k") + 1).alias("k"), "ids")).alias("own"))
-    own = own.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("own.k").alias("numbers"), F.col("own.ids").alias("found"))
-    packed = keyed.mapInArrow(_packed(model, hot), f"{columns}, packed binary, holes array<int>")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
-    joined = packed.join(own, same, "left").select("doc_id", "text_key", "packed", "holes", "numbers", "found")
-    return joined.mapInArrow(_filled(model, spelled), f"{columns}, ids array<int>" + ", decoded string" * spelled)
+    return keyed.mapInArrow(_encoded(model, hot, spelled), f"doc_id {id_type}, text_key long, ids array<int>" + ", decoded string" * spelled)
 
 
 def _decoded(model: str):

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import functools
+import random
 
+import numpy as np
 import public_tokenizers
 from conftest import prose
 from tokenizers import Tokenizer
@@ -86,3 +88,28 @@ def test_lattice_is_viterbi_and_decodes_back(documents, monkeypatch):
         assert all(r.decoded == (TEXTS[r.doc_id] or "") == library.decode(r.ids) for r in got)
     assert pieces.with_pieces(documents([])).count() == 0
     assert all(r.decodes_back for r in pieces.with_pieces(documents(list(enumerate(TEXTS)))).collect())
+
+
+def test_rare_units_are_encoded_where_they_stand(documents):
+    """No shuffle carries documents, or pairs of a document and a unit."""
+    docs = documents([(i, prose(i, 200)) for i in range(20)])
+    plan = pieces.encode(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_units_of_any_kind_take_the_best_path(monkeypatch):
+    best, draw = _viterbi(pieces.MODEL), random.Random(3)
+    signs = ["▁", "a", "e", "th", "ing", "é", "日", "🙂", "\0", "ß", "x", "\U0010ffff", "́"]
+    units = ["".join(draw.choice(signs) for _ in range(draw.randrange(1, 40))) for _ in range(300)] + ["the" * 500, "▁" * 90, "a"]
+    unpacked = lambda found: [np.frombuffer(ids, np.uint16).tolist() for ids in found]
+    assert unpacked(pieces.best_ids(units)) == [best(u) for u in units]
+    monkeypatch.setattr(pieces, "CELLS", 64)
+    monkeypatch.setattr(pieces, "WINDOW", 5)
+    assert unpacked(pieces.best_ids(units)) == [best(u) for u in units]
+    assert pieces.best_ids([]) == []
+
+
+def test_a_unit_of_a_million_letters():
+    unit = "information" * 90_910
+    (ids,) = pieces.best_ids([unit])
+    assert pieces.processor(pieces.MODEL).decode(np.frombuffer(ids, np.uint16).tolist()) == unit
