@@ -37,3 +37,11 @@ def test_pipeline_keeps_columns(spark):
     out = entry.queries()["pipeline"](spark, SF)
     got = [r.doc_id for r in out.select("doc_id").collect()]
     assert len(got) == len(set(got)) and set(got) < ids
+
+
+def test_pipeline_encodes_without_moving_documents(spark):
+    """The stage whose grouped edges took an executor's memory has no shuffle of its own."""
+    out = corpus_pipeline.encoded(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert out.where("decodes_back").count() == out.count() > 0
