@@ -5,7 +5,8 @@ to three neighbouring word shapes. A shape keeps the classes of a word's
 characters without repeats (``Ab,`` or ``A!``), and a word that repeats the one
 before it has a shape of its own. N-grams are hashed into ``1 << BITS`` slots.
 
-Learning joins the labels to the documents, counts each slot's documents per
+Learning joins the labels to the documents (of fixed size, a bitmap of the
+labels' ids spares most other texts the shuffle), counts each slot's documents per
 class over all labelled rows, and takes the log ratio of the two smoothed
 shares. Indicators are scaled by these ratios, rows to length 1, and a linear
 hinge-loss model is fitted by dual coordinate descent, in one task over a sample
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from speechlake.llm.common import query, ship, table
@@ -44,6 +45,8 @@ FIT_ROWS = 10_000
 COST, EPOCHS = 1.0, 12
 THRESHOLD = 0.3
 FOLDS = 5
+# Bits of the labels' ids: 4 MB.
+ID_BITS = 1 << 25
 # Words of a text that are worked on at a time, and words that a task remembers.
 STRETCH, HELD = 1 << 18, 300_000
 
@@ -124,13 +127,30 @@ def fold(doc_id: str = "doc_id"):
     return (F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % FOLDS).cast("int")
 
 
+def _id_bit(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(ID_BITS))
+
+
+def likely_labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows whose ``_id`` has a label, and few others: a task tells by a
+    broadcast bitmap of ``ID_BITS`` hashes, so most texts without one stay."""
+    if rows.schema["_id"].dataType != labels.schema["doc_id"].dataType:
+        return rows  # equal ids of two types have unequal hashes
+    bit = labels.select(_id_bit("doc_id").alias("bit"))
+    bits = bit.groupBy(F.bitmap_bucket_number("bit").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("_bits"))
+    at = F.bitmap_bit_position(_id_bit("_id")).cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    on = F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1
+    return rows.join(F.broadcast(bits), (F.bitmap_bucket_number(_id_bit("_id")) == F.col("_bucket")) & on, "left_semi")
+
+
 def labelled(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``good, fold, mark, steps`` of the rows to learn from; ``mark`` is a hash
     of the id, ``steps`` lead from slot to slot, as small numbers are stored best."""
     agreed = labels.groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_least"), F.max("quality").alias("_good"))
     agreed = agreed.where("_least = _good AND _good IN (0, 1)").select("_id", F.col("_good").cast("int").alias("good"))
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("text"), fold(doc_id).alias("fold")).where("fold <> 0")
-    joined = rows.join(agreed, "_id").select("text", "good", "fold", F.xxhash64("_id").alias("mark"))
+    joined = likely_labelled(rows, labels).join(agreed, "_id").select("text", "good", "fold", F.xxhash64("_id").alias("mark"))
     return stored(joined.mapInArrow(_featured, "good int, fold int, mark long, steps array<int>"), "labelled")
 
 

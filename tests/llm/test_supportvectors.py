@@ -61,6 +61,20 @@ def test_ratios_equal_brute_force(documents, spark):
     assert np.allclose(ratio, want)
 
 
+def test_texts_without_a_label_stay_where_they_are(documents, spark):
+    rows = documents([(i, "a b") for i in range(-2000, 2000)] + [(None, "c")]).withColumnRenamed("doc_id", "_id")
+    own = [*range(-1500, -1400), *range(7, 2000, 9), 5000, None]
+    labels = spark.createDataFrame([(i, 1) for i in own], "doc_id long, quality int")
+    kept = {r["_id"] for r in sv.likely_labelled(rows, labels).collect()} - {None}
+    asked = {i for i in own if i is not None and i < 2000}
+    assert asked <= kept and len(kept - asked) <= 5
+    narrow = labels.withColumn("doc_id", labels.doc_id.cast("int"))
+    assert sv.likely_labelled(rows, narrow).join(narrow, rows["_id"] == narrow["doc_id"]).count() == len(asked)
+    docs = documents([(i, "a b") for i in range(-2000, 2000)])
+    with_all, few = sv.labelled(docs, narrow), sv.labelled(docs, labels)
+    assert sorted(map(tuple, with_all.collect())) == sorted(map(tuple, few.collect()))
+
+
 def test_descent_reaches_the_optimum():
     draw = np.random.default_rng(5)
     slots = [np.sort(draw.choice(30, 6, replace=False)) for _ in range(80)]
