@@ -65,13 +65,15 @@ def split_csv_sink(spark, sf_dir):
     f"""SELECT doc_id::VARCHAR || '.wav' AS id, {_basic_sql("regexp_replace(text, '[|\\n\\r]', ' ', 'g')")} AS text FROM documents""",
 )
 def metadata(spark, sf_dir):
-    """Documents as ``id|text|normalised`` lines, some of them blank, read back as id and text."""
+    """Documents as ``id|text|normalised`` lines, some of them blank, read back as id
+    and text; a document without a number has a name without one."""
     path = scratch_path(spark, "metadata")
     docs = table(spark, sf_dir, "documents")
     body = F.regexp_replace("text", r"[|\n\r]", " ")
-    line = F.concat_ws("|", F.concat(F.lit("wavs/"), F.col("doc_id").cast("string"), F.lit(".wav")), body, F.lower(body))
+    number = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    line = F.concat_ws("|", F.concat(F.lit("wavs/"), number, F.lit(".wav")), body, F.lower(body))
     docs.select(F.explode(F.array(line, F.lit(""))).alias("value")).write.text(path)
-    return tables.metadata_texts(tables.read_metadata(spark, path))
+    return tables.metadata_texts(tables.read_metadata(spark, path)).withColumn("id", F.nullif("id", F.lit(".wav")))
 
 
 @query(

@@ -11,7 +11,7 @@ from speechlake.operators.manifest import file_number, path_part
 from speechlake.sources.arrayfiles import list_files, read_binary
 
 SPLIT_DDL = "session STRING, data_type STRING, data_num INT, path STRING, split STRING"
-METADATA_DDL = "id STRING, text STRING, norm STRING"
+METADATA_FIELDS = ["id", "text", "norm"]
 RESULT_COLUMNS = ["exp_name", "ckpt_epoch", "split", "cer", "cer_wo_space", "wer"]
 
 
@@ -58,9 +58,11 @@ def write_split_csv(df: DataFrame, path: str) -> None:
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """``id|text|normalised`` lines without quoting; blank lines are dropped."""
-    lines = spark.read.schema(METADATA_DDL).option("sep", "|").option("quote", "").option("escape", "").csv(path)
-    return lines.where("id is not null")
+    """``id|text|normalised`` lines without quoting; blank lines and those without
+    an id are dropped. A field that a line lacks is null, an empty one is empty."""
+    fields = F.split("value", r"\|", -1)
+    lines = spark.read.text(path).where(F.col("value").rlike(r"[^\x00-\x20]") & ~F.col("value").startswith("|"))
+    return lines.select(*[F.get(fields, F.lit(k)).alias(name) for k, name in enumerate(METADATA_FIELDS)])
 
 
 def metadata_texts(metadata: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import json
 import wave
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -119,6 +120,18 @@ def test_metadata_lines(spark, tmp_path):
     assert [tuple(r) for r in rows] == [("x-1.wav", "he said hi there"), ("x-2.wav", "b")]
 
 
+def test_empty_and_missing_texts_and_names_equal_sql(spark, tmp_path):
+    texts = ["", None, " ", "|", "\n", "\x00", "\x00a|b\x00 c", '"', '"a|b', "\\|a", "#a", "a\r\nb", "-", "\u0130 \u212a", "plain"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, ""), (None, None), (None, "a b")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in entry.queries()["metadata_s3"](spark, str(tmp_path)).select("id", "text").collect()]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(entry.oracle_sql()["metadata_s3"]).fetchall()
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert dict(got)["0.wav"] == "" and dict(got)["1.wav"] is None
+
+
 def test_cut_off_log(spark):
     lines = ["trgt0 s1 12: a  b", "pred0 s1 12: a c", "0 sample cer: 1.00, wer: 2.00", "trgt1 s1 13: x"]
     df = spark.createDataFrame([(v,) for v in lines], "value string")
