@@ -323,3 +323,41 @@ def test_first_rows_of_keys_meet_the_others_however_batches_are_cut():
         assert sorted((r["a"], r["b"], -r["shift"]) for r in out if r["number"] is not None) == want
         assert sorted((r["key"], r["a"], r["at"]) for r in out if r["number"] is None) == want_left
     assert all(k != 1 for k, *_ in want_left)
+
+
+@pytest.mark.parametrize("tasks, members", [(1, passages.MEMBERS), (60, passages.MEMBERS), (8, passages.MEMBERS), (8, 4)])
+def test_a_text_between_two_others_joins_them(spark, monkeypatch, tasks, members):
+    """Of three texts the second is near the first and the third, which are not near
+    each other; a key's or a task's first text may be any of them."""
+    monkeypatch.setattr(passages, "MEMBERS", members)
+    rows = []
+    for k in range(20):
+        words = prose(20_000 + k, 60).split()
+        for edits in range(3):
+            edited = [f"edit{k}" if i in (20, 40)[:edits] else w for i, w in enumerate(words)]
+            rows.append((3 * k + edits, f"{prose(30_000 + 3 * k + edits, 60)} {' '.join(edited)} {prose(40_000 + 3 * k + edits, 60)}"))
+    sides = [np.array([hash(w) for w in t.split()], np.int64) for _, t in rows[:3]]
+    assert [next(passages.verified(sides[i], sides[j]), None) is not None for i, j in ((0, 1), (1, 2), (0, 2))] == [True, True, False]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(tasks, "doc_id") if tasks > 1 else spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.component_id for r in passages.repeats(docs).collect()}
+    assert {d for d, c in got.items() if c != d - d % 3} == set()
+
+
+def test_windows_with_a_link_meet_those_without():
+    rng = np.random.default_rng(14)
+    line = [rng.integers(1, 1 << 16, 2 * passages.REACH + 1).astype(np.uint16) for _ in range(4)]
+    near = np.stack([line[k % 4] for k in range(40)])
+    near[:, 0] = np.arange(1, 41)
+    text = np.arange(40)
+    # Two groups of one line each, and the others alone.
+    group = np.where(text % 4 < 2, text % 4, text + 10)
+    links = list(passages.linked(text, near, group=group))
+    assert all(k % 4 == x % 4 and k % 4 >= 2 for k, x in links) and len(links) == 18
+    group = np.where((text % 4 == 0) & (text > 0), 0, text + 10)
+    links = list(passages.linked(text, near, group=group))
+    assert sum(0 in pair for pair in links) == 1 and len(links) == 28
+    at = np.zeros(40, np.int32)
+    name = text.astype(np.int64)
+    mate = np.where((text > 1) & (text % 4 == 1), name[np.maximum(text - 4, 0)], 0)
+    number = passages._grouped(np.ones(40, np.int64), name, at, mate)
+    assert len(set(number[1::4].tolist())) == 1 and len(set(number.tolist())) == 31
