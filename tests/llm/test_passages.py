@@ -361,3 +361,48 @@ def test_windows_with_a_link_meet_those_without():
     mate = np.where((text > 1) & (text % 4 == 1), name[np.maximum(text - 4, 0)], 0)
     number = passages._grouped(np.ones(40, np.int64), name, at, mate)
     assert len(set(number[1::4].tolist())) == 1 and len(set(number.tolist())) == 31
+
+
+def test_runs_of_one_token_have_few_windows_and_are_marked_whole(documents):
+    hashes = np.array([0] + [5] * 500 + [0] + [7] * passages.TOKENS + [0], np.uint64)
+    l, c, r = passages.compact_windows(hashes)
+    keep = passages.thinned(hashes, c)
+    assert keep.sum() < len(c) / 30 and {1, 500 - passages.REACH} <= set(c[keep].tolist())
+    reached = np.zeros(len(hashes), bool)
+    for k in c[keep]:
+        reached[k : k + passages.TOKENS] = True
+    assert reached[hashes > 0].all()
+    rows = [(k, f"{prose(50_000 + k, 60)} {'word ' * n} {prose(60_000 + k, 60)}") for k, n in enumerate((900, 60, 300, 700, 120, 55))]
+    for r in passages.repeats(documents(rows)).collect():
+        n = (900, 60, 300, 700, 120, 55)[r.doc_id]
+        marked = np.zeros(n + 120, bool)
+        for s, e in r.spans:
+            marked[s:e] = True
+        assert r.component_id == 0 and marked[60 : 60 + n].all()
+
+
+def test_shared_tokens_of_one_order_are_judged_as_the_verification_does():
+    rng = np.random.default_rng(15)
+    width, seen = 2 * passages.REACH + 1, [0, 0]
+    for _ in range(1500):
+        a = rng.choice(np.arange(1, 1 << 16), width, replace=False).astype(np.uint16)
+        size, start, at = int(rng.integers(38, 80)), int(rng.integers(0, 11)), int(rng.integers(0, 11))
+        b = rng.choice(np.setdiff1d(np.arange(1, 1 << 16), a), width, replace=False).astype(np.uint16)
+        own = a[start : start + size].copy()
+        for _ in range(int(rng.integers(0, 4))):
+            own = np.delete(own, int(rng.integers(len(own)))) if rng.random() < 0.5 else np.insert(own, int(rng.integers(len(own))), b[0] + 0)
+        own = own[np.sort(np.unique(own, return_index=True)[1])]
+        b = np.concatenate([b[1 : 1 + at], own, b[1 + at :]])[:width]
+        b = np.where(np.isin(np.arange(width), np.sort(np.unique(b, return_index=True)[1])), b, 0)
+        a[: int(rng.integers(0, 3)) * 10] = 0
+        b = np.concatenate([b[b > 0], np.zeros((b == 0).sum(), np.uint16)])
+        if min((a > 0).sum(), (b > 0).sum()) < passages.TOKENS:
+            continue
+        place = np.array([np.flatnonzero(a == t)[0] if t and t in a else 0 for t in b])
+        hit = np.isin(b, a) & (b > 0)
+        rising, found = passages._rising(hit[None], place[None])
+        assert rising[0]
+        want = next(passages._matching(a[a > 0], b[b > 0]), None) is not None
+        assert found[0] == want
+        seen[want] += 1
+    assert min(seen) > 100
